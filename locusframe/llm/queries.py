@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import packing, toxicity, url_trie
+from locusframe.llm import line_dedup, media, packing, substring_dedup, toxicity, url_trie
 from locusframe.llm.common import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "text")
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.decode(media.store(table(spark, sf_dir, "documents")))
+    payload = F.col("samples")
+    return files.select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("frames").alias("n_frames"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,9 +46,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_url_filters, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_suffix_array, op4_media_columns, op5_packing, op6_url_filters, op10_toxicity)}
 
 ORACLES = {
+    "op1_line_dedup": """
+with d as (select doc_id, coalesce(text, '') as text from documents),
+raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+l as (select *, trim(line, ' ' || chr(9) || chr(13)) as x from raw),
+n as (select *, row_number() over (partition by doc_id order by i) as k from l where x <> ''),
+u as (select doc_id, k, 3 as size, x || chr(10) || lead(x) over w || chr(10) || lead(x, 2) over w as unit from n window w as (partition by doc_id order by k)
+      union all select doc_id, k, 1, x from n where len(regexp_extract_all(x, '[^ ' || chr(9) || chr(13) || ']+')) >= 50),
+r as (select *, row_number() over (partition by size, unit order by doc_id, k) as nth from u where unit is not null),
+g as (select distinct doc_id, k + s as k from r, (values (0), (1), (2)) t(s) where nth > 1 and s < size),
+m as (select n.*, g.k is not null as gone from n left join g using (doc_id, k)),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by k), false) as head from m),
+s as (select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, count(*) filter (head) as n_runs from e group by doc_id),
+t as (select l.doc_id, string_agg(line, chr(10) order by i) as text from l left join (select doc_id, i from m where gone) z using (doc_id, i) where z.i is null group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs, coalesce(t.text, '') as text
+from d left join s using (doc_id) left join t using (doc_id)""",
     "op6_url_filters": """
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from u),
