@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import line_dedup, media, packing, substring_dedup, toxicity, url_trie
+from locusframe.llm import line_dedup, media, ngram_join, packing, substring_dedup, toxicity, url_trie
 from locusframe.llm.common import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -40,13 +40,17 @@ def _fold(c: str = "doc_id"):
     return F.crc32(F.col(c).cast("string")) % 5
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_suffix_array, op4_media_columns, op5_packing, op6_url_filters, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_suffix_array, op4_media_columns, op5_packing, op6_url_filters, op7_ngram_jaccard, op10_toxicity)}
 
 ORACLES = {
     "op1_line_dedup": """
