@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Deletes tables that materialise() wrote, from the since-th on; call it once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+def recorded(make: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What make returns, and the tables that materialise() wrote meanwhile."""
+    start = len(_written)
+    out = make()
+    return out, _written[start:]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables, and empties the list; call it once nothing reads them any more."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

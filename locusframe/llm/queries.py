@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import line_dedup, media, ngram_join, packing, substring_dedup, toxicity, url_trie
+from locusframe.llm import hash_search, line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, toxicity, url_trie
 from locusframe.llm.common import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def _fold(c: str = "doc_id"):
+    return F.crc32(F.col(c).cast("string")) % 5
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "text")
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
+    return quality.score(docs, model).select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
@@ -36,21 +46,26 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trie.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-def _fold(c: str = "doc_id"):
-    return F.crc32(F.col(c).cast("string")) % 5
-
-
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
     return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_suffix_array, op4_media_columns, op5_packing, op6_url_filters, op7_ngram_jaccard, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ordinal_quality, op3_suffix_array, op4_media_columns, op5_packing, op6_url_filters, op7_ngram_jaccard, op8_temperature_mixing, op9_multi_index_hashing, op10_toxicity)}
 
 ORACLES = {
     "op1_line_dedup": """
