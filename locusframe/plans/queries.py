@@ -257,13 +257,13 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d).select("motif_id", "dtss", F.round("map", 6).alias("map"), F.round("cons", 10).alias("cons"), F.round("motif_score", 6).alias("motif_score"), "tss", "acces", "footprint", "cpg_island")
 
 
-_PRODUCTS = ", ".join(f'round(cast({a} * {b} as double), 5) + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
+_PRODUCTS = ", ".join(f'round(cast({a} * {b} as double), 8) + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
 
 
 @query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null", *_ALL, more=_MATRIX))
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     out = matrix.interactions(_matrix(spark, d).na.drop("any"), _FEATURES, ["motif_id"])
-    return out.select("motif_id", *[(F.round(F.col(f"`{c}`").cast("double"), 5) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
+    return out.select("motif_id", *[(F.round(F.col(f"`{c}`").cast("double"), 8) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
 
 
 _Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null)"
