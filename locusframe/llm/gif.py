@@ -97,30 +97,29 @@ def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
     clear = 1 << bits
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     table, width, last = list(base), bits + 1, None
-    out, got, acc, filled = [], 0, 0, 0
-    for byte in data:
-        acc |= byte << filled
-        filled += 8
+    out, got, acc, filled, at = [], 0, 0, 0, 0
+    while got < n:
+        while filled < width and at < len(data):
+            acc |= data[at] << filled
+            filled += 8
+            at += 1
         if filled < width:
-            continue
+            break
         code = acc & ((1 << width) - 1)
         acc >>= width
         filled -= width
         if code == clear:
             table, width, last = list(base), bits + 1, None
             continue
-        if code == clear + 1 or got >= n:
+        if code == clear + 1:
             break
-        if last is None:
-            word = table[code]
-        else:
-            if code > len(table) or code == clear + 1:
-                raise ValueError("a code outside the table")
-            word = table[code] if code < len(table) else last + last[:1]
-            if len(table) < 4096:
-                table.append(last + word[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
+        if code > len(table) or last is None and code >= clear:
+            raise ValueError("a code outside the table")
+        word = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + word[:1])
+            if len(table) == 1 << width and width < 12:
+                width += 1
         out.append(word)
         got += len(word)
         last = word

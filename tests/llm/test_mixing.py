@@ -28,7 +28,7 @@ def test_budgets_against_a_plain_version(spark, budget, limit, bucket, monkeypat
     want = defaultdict(int)
     for s, t in total.items():
         b = floor(raw[s] * scale + 1e-6)
-        own = sorted((h, d or -1, n) for x, n, h, d in rows if x == s)
+        own = sorted((h, -1 if d is None else d, n) for x, n, h, d in rows if x == s)
         rest, done = b % t, 0
         cut = -1
         for i, (h, _, n) in enumerate(own):
