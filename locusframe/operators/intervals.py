@@ -78,12 +78,21 @@ def block_mean(windows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("covered") > 0, F.col("total") / (F.col("hi") - F.col("lo") + 1)).when(F.col("first") < F.col("lo"), F.lit(None)).otherwise(0.0).alias("mean"))
 
 
-def signal_runs(signal: DataFrame) -> DataFrame:
-    """(chrom, run_start, run_end, val): neighbouring positions of equal value as one run."""
-    by = W.partitionBy("chrom").orderBy("pos")
-    rows = signal.withColumn("new", (F.coalesce(F.lag("pos").over(by) != F.col("pos") - 1, F.lit(True)) | F.coalesce(F.lag("val").over(by) != F.col("val"), F.lit(True))).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return rows.groupBy("chrom", "run").agg(F.min("pos").alias("run_start"), F.max("pos").alias("run_end"), F.first("val").alias("val")).drop("run")
+def signal_runs(signal: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(chrom, run_start, run_end, val): neighbouring positions of equal value as one run.
+
+    Runs are numbered in each (chrom, block); the last point and the number of runs of the blocks before come from a small table.
+    """
+    rows = signal.select("chrom", F.col("pos").cast("long").alias("pos"), "val").withColumn("block", _block("pos", block))
+    line = W.partitionBy("chrom").orderBy("block")
+    last = rows.groupBy("chrom", "block").agg(F.max(F.struct("pos", "val")).alias("last")).select("chrom", "block", F.lag("last").over(line).alias("outer"))
+    by = W.partitionBy("chrom", "block").orderBy("pos")
+    rows = rows.withColumn("inner", F.lag(F.struct("pos", "val")).over(by)).join(last, ["chrom", "block"]).withColumn("prev", F.coalesce("inner", "outer"))
+    same = (F.col("prev.pos") == F.col("pos") - 1) & F.col("prev.val").eqNullSafe(F.col("val"))
+    rows = rows.withColumn("new", 1 - F.coalesce(same, F.lit(False)).cast("int"))
+    counts = rows.groupBy("chrom", "block").agg(F.sum("new").alias("n")).select("chrom", "block", F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.withColumn("upto", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).join(counts, ["chrom", "block"])
+    return rows.groupBy("chrom", (F.col("before") + F.col("upto")).alias("run")).agg(F.min("pos").alias("run_start"), F.max("pos").alias("run_end"), F.first("val").alias("val")).drop("run")
 
 
 def transcript_starts(transcripts: DataFrame) -> DataFrame:

@@ -21,6 +21,14 @@ def test_range_sum_and_nearest_on_any_block_size(spark, block):
         assert (x.info, x.distance) == ((f"{x.chrom}{-near[0][1]}", near[0][0]) if near else (None, None))
 
 
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_runs_across_blocks(spark, block):
+    values = [1, 1, 1, 1, 2, 2, None, None, 1, 1, 3]
+    d = spark.createDataFrame([("a", p, v) for p, v in enumerate(values, 10)] + [("a", 30, 3), ("b", 21, 3)], "chrom string, pos long, val int")
+    got = sorted((r.chrom, r.run_start, r.run_end, r.val) for r in intervals.signal_runs(d, block).collect())
+    assert got == [("a", 10, 13, 1), ("a", 14, 15, 2), ("a", 16, 17, None), ("a", 18, 19, 1), ("a", 20, 20, 3), ("a", 30, 30, 3), ("b", 21, 21, 3)]
+
+
 @pytest.mark.parametrize("bins", [3, 50, 10_000])
 def test_overlaps_once_each(spark, bins):
     r = random.Random(bins)
