@@ -13,14 +13,15 @@ def assemble(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "motif_id"), parts)
 
 
-def derive(d: DataFrame, near: int = 1000) -> DataFrame:
+def derive(d: DataFrame, near: int = 1000, stats_of: DataFrame | None = None) -> DataFrame:
     """Derived columns of (score, dtss, acces, footprint, cpg_wr4, gc_w4, ...).
 
     tss is the level number of dtss < near (1 if it is the same everywhere, else 1 or 2), motif_score is (-ln score -
     mean) / mean with the mean over all rows before any is dropped, acces and footprint move up by 1, cpg_island is 2
-    where cpg_wr4 > 0.6 and gc_w4 > 0.5. The means and levels come from one aggregate, not from a global window.
+    where cpg_wr4 > 0.6 and gc_w4 > 0.5. The means and levels come from one aggregate, not from a global window: of
+    stats_of if given, a cheaper table with score and dtss of the same sites.
     """
-    whole = d.agg(F.avg(-F.ln("score")).alias("__mean"), F.count_distinct(F.col("dtss") < near).alias("__levels"))
+    whole = (d if stats_of is None else stats_of).agg(F.avg(-F.ln("score")).alias("__mean"), F.count_distinct(F.col("dtss") < near).alias("__levels"))
     x = d.crossJoin(F.broadcast(whole))  # one row
     return x.select(
         *[c for c in d.columns if c not in ("score", "acces", "footprint", "cpg_wr4", "gc_w4")],

@@ -210,7 +210,7 @@ def nb_score_grid(spark: SparkSession, d: str) -> DataFrame:
     return acc.score_grid(top, M).select("count", F.round("score", 6).alias("score"))
 
 
-_CALLS = f"{_CUTS}, {_GRID}, calls as (select motif_id, cut_count, score, case when cut_count >= cutoff then 1 else 0 end as accessible from cuts join grid on grid.count = cast(cut_count as bigint) cross join cut)"
+_CALLS = f"{_CUTS}, {_GRID}, calls as (select motif_id, cut_count, score, case when cutoff is null then null when cut_count >= cutoff then 1 else 0 end as accessible from cuts join grid on grid.count = cast(cut_count as bigint) cross join cut)"
 
 
 @query(with_views("select motif_id, cast(cut_count as double) as cut_count, round(score, 6) as score, accessible from calls", "motifs", "signal", more=_CALLS))
@@ -249,7 +249,7 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
         by(intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")), F.col("mean").alias("map"), F.col("mean").alias("cpg_wr4")),
         by(intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")), F.col("mean").alias("cons"), F.coalesce("mean", F.lit(0.0)).alias("gc_w4")),
     ]
-    return matrix.derive(matrix.assemble(parts))
+    return matrix.derive(matrix.assemble(parts), stats_of=parts[0].join(parts[1], "motif_id"))
 
 
 @query(with_views("select motif_id, dtss, round(map, 6) as map, round(cons, 10) as cons, round(motif_score, 6) as motif_score, tss, acces, footprint, cpg_island from fm", *_ALL, more=_MATRIX))
@@ -260,13 +260,13 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 _PRODUCTS = ", ".join(f'round(cast({a} * {b} as double), 8) + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
 
 
-@query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null", *_ALL, more=_MATRIX))
+@query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null and acces is not null", *_ALL, more=_MATRIX))
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     out = matrix.interactions(_matrix(spark, d).na.drop("any"), _FEATURES, ["motif_id"])
     return out.select("motif_id", *[(F.round(F.col(f"`{c}`").cast("double"), 8) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
 
 
-_Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null)"
+_Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null and acces is not null)"
 _WEIGHTS = {"motif_score": 0.4, "map": 0.2, "cons": 0.7, "dtss": -0.3, "acces": 1.1}
 
 

@@ -31,7 +31,7 @@ def rows(df, columns):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
-    assert len(got)
+    assert len(got) or name in ORACLES
     if name in ORACLES:
         want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
