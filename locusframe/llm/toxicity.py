@@ -18,12 +18,12 @@ _WORD = re.compile(r"\w+")
 class Settings:
     """max_positive and max_negative bound the labelled sample that is fitted: of each class the rows with the smallest hash of their id."""
 
-    max_positive: int = 2000
-    max_negative: int = 4000
+    max_positive: int = 2500
+    max_negative: int = 5000
     bits: int = 18
     grams: tuple[int, ...] = (4, 5)
     dims: int = 4
-    steps: int = 50
+    steps: int = 120
     rate: float = 0.2
     decay: float = 1e-6
     seed: int = 7
@@ -80,9 +80,11 @@ def fit(documents: list[list[str]], labels: list[int], s: Settings) -> tuple[np.
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << s.bits, np.float32), 4.0 if len(y) and y[0] > 0 else -4.0
     bags = [_merged(*subword_bag(d, s)) if d else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for d in documents]
-    row = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
+    sizes = np.array([len(b) for b, _ in bags])
     idx, weight = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
     del bags
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [(a, min(a + 256, len(y))) for a in range(0, len(y), 256)]  # so that a pass needs little room
     rng = np.random.default_rng(s.seed)
     params = [rng.normal(0, 0.05, (1 << s.bits, s.dims)).astype(np.float32), rng.normal(0, 0.5, (s.dims, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [0.0] * 3
@@ -91,9 +93,13 @@ def fit(documents: list[list[str]], labels: list[int], s: Settings) -> tuple[np.
         e, w, b = params
         rate = s.rate * (1 - (t - 1) / s.steps)
         u = w[:, 1] - w[:, 0]
-        z = np.bincount(row, weights=weight * (e @ u)[idx], minlength=len(y)) + b[1] - b[0]
-        r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * balance
-        g = np.bincount(idx, weights=weight * r[row], minlength=1 << s.bits)
+        shares, g, r = e @ u, np.zeros(1 << s.bits), np.empty(len(y))
+        for i, j in parts:
+            at = slice(ends[i], ends[j])
+            row = np.repeat(np.arange(j - i), sizes[i:j])
+            z = np.bincount(row, weights=weight[at] * shares[idx[at]], minlength=j - i) + b[1] - b[0]
+            r[i:j] = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[i:j]) * balance[i:j]
+            g += np.bincount(idx[at], weights=weight[at] * r[i:j][row], minlength=1 << s.bits)
         dw = e.T @ g
         grads = [np.outer(g, u) + s.decay * e, np.stack([-dw, dw], 1) + s.decay * w, np.array([-r.sum(), r.sum()])]
         for k, d in enumerate(grads):
