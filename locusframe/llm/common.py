@@ -23,11 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lineage ends at files every executor sees."""
+    """Writes df to the shared folder and reads it back, so that lineage ends at files every executor sees.
+
+    Shuffle files go when the driver finds their plans to be garbage, so it is asked to look once a table is there.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,10 +42,20 @@ def recorded(make: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
     return out, _written[start:]
 
 
+def final_table(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, a table it materialised last; the tables it wrote before that are deleted."""
+    out, written = recorded(make)
+    drop_tables(out.sparkSession, written[:-1])
+    return out
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables, and empties the list; call it once nothing reads them any more."""
     while paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        name = paths.pop()
+        if name in _written:
+            _written.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

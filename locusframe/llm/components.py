@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import materialise
+from locusframe.llm.common import drop_tables, materialise, recorded
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ends at a table in the shared folder. Rounds are logarithmic in the longest path.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    seen, before = None, []
     while True:
-        edges = materialise(_stars(_stars(edges, True), False), "stars")
+        edges, written = recorded(lambda e=edges: materialise(_stars(_stars(e, True), False), "stars"))
+        drop_tables(edges.sparkSession, before)
+        before = written
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == (now.n, now.h):
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

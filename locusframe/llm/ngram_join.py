@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import materialise
+from locusframe.llm.common import drop_tables, final_table, materialise, recorded
 from locusframe.llm.components import components
 from locusframe.llm.signature_tree import bitmap, candidate_pairs, fold
 
@@ -21,7 +22,7 @@ HEAVY, HEAVY_LIST = 48, 1_000_000
 #: Sets of one tree; larger groups are dealt as pairs of blocks.
 BLOCK = 4096
 #: Ids of documents whose texts are fetched are broadcast up to so many.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -57,17 +58,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sets(words: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
-                s = shingles(text or "", words)
+            for text in b.column(1):
+                s = shingles(text.as_py(), words)
                 if len(s):
-                    rows.append((int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True), len(s), _signed(selected(s, percent)), bitmap(s)))
+                    rows.append((_node(s), len(s), _signed(selected(s, percent)), bitmap(s)))
                 else:
                     rows.append((None, 0, None, None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "id", "n", "picked", "bits"])
+            number = pa.array(range(at, at + len(rows)), pa.int64())
+            at += len(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), number, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "row", "id", "n", "picked", "bits"])
 
     return run
 
@@ -76,9 +80,11 @@ def _reselect(words: int, percent: int, heavy) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, picked = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                picked.append(_signed(selected(shingles(text or "", words), percent, heavy.value)))
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = shingles(text.as_py(), words)
+                if i == _node(s):
+                    ids.append(i)
+                    picked.append(_signed(selected(s, percent, heavy.value)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(picked, pa.list_(pa.int64()))], ["id", "picked"])
 
     return run
@@ -106,16 +112,16 @@ def _verified(words: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def of(key: int, text: str) -> np.ndarray:
+        def of(key: int, text: pa.StringScalar) -> np.ndarray:
             if key not in cache:
-                cache[key] = shingles(text, words)
+                cache[key] = shingles(text.as_py(), words)
                 if len(cache) > 64:
                     cache.popitem(last=False)
             return cache[key]
 
         for b in batches:
             keep = []
-            for u, v, x, y in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 p, q = of(u, x), of(v, y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
@@ -165,12 +171,18 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     OR-ed bitmaps and size ranges allow. Surviving pairs are verified on the whole sets.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = materialise(docs.mapInArrow(_sets(words, percent), "doc_id long, id long, n long, picked array<long>, bits binary"), "sets")
-    nodes = materialise(sets.where("id is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("picked").alias("picked"), F.first("bits").alias("bits"), F.min("doc_id").alias("least")), "nodes")
-    texts = _Texts(docs, nodes)
-    nodes = _heavy_last(nodes, texts, words, percent)
-
-    rows = nodes.select("id", "n", F.explode("picked").alias("value"))
+    sets, wide = recorded(lambda: materialise(docs.mapInArrow(_sets(words, percent), "doc_id long, row long, id long, n long, picked array<long>, bits binary"), "sets"))
+    firsts = materialise(sets.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row", F.col("x.doc_id").alias("least")), "firsts")
+    few = firsts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    nodes = sets.join(F.broadcast(firsts) if few else firsts, "row").select("id", "n", "picked", "bits", "least")
+    texts = _Texts(docs, nodes.select("id", "least"))
+    first_nodes = nodes
+    nodes = final_table(lambda: _heavy_last(first_nodes, texts, words, percent))
+    texts = _Texts(docs, nodes.select("id", "least"))
+    sets = materialise(sets.select("doc_id", "n", "id"), "ids")
+    drop_tables(df.sparkSession, wide)
+
+    rows = nodes.select("id", F.explode("picked").alias("value"))
     counts = rows.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     groups = materialise(rows.join(counts, "value"), "groups")
     bits = nodes.select("id", "n", "bits")
@@ -179,15 +191,17 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     central = groups.groupBy("id").agg(F.sum("members").alias("weight"))
     best = groups.join(central, "id").groupBy("value").agg(F.max(F.struct("weight", F.expr("-id").alias("id"))).alias("best"))
     stars = groups.join(best, "value").select(F.col("id").alias("u"), (-F.col("best.id")).alias("v")).where("u != v").distinct()
-    links = _verify(stars, bits, texts, words, percent, "links")
+    links = final_table(lambda: _verify(stars, bits, texts, words, percent, "links"))
 
     # Groups that still have members of different classes.
     label = links.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
     heads = links.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     label = label.unionAll(heads).groupBy("id").agg(F.max(F.struct((F.col("id") == F.col("label")).alias("own"), "label")).alias("x")).select("id", F.col("x.label").alias("label"))
     labelled = groups.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("value")
-    open_rows = labelled.join(mixed, "value").join(bits.select("id", "bits"), "id")
+    # Of groups with the same members one is enough: equal count and two xor-ed hashes of the ids.
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("a != b")
+    mixed = mixed.groupBy("k", "x", "y").agg(F.min("value").alias("value")).select("value")
+    open_rows = labelled.join(mixed, "value").join(bits, "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.hash("id"), blocks)
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
@@ -196,7 +210,7 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Across two blocks a row stands on the side of its block; the pair of a block with itself has one side.
     dealt = dealt.withColumn("side", F.when(F.col("b1") == F.col("b2"), 0).otherwise((F.col("own") == F.col("b2")).cast("int"))).drop("own", "other")
     pairs = dealt.repartition("value", "b1", "b2").sortWithinPartitions("value", "b1", "b2").mapInArrow(_tree_pairs(percent), "u long, v long").distinct()
-    more = _verify(pairs, bits, texts, words, percent, "more", known=True)
+    more = final_table(lambda: _verify(pairs, bits, texts, words, percent, "more", known=True))
 
     roots = components(links.select("u", "v").unionAll(more))
     member = sets.select("doc_id", "n", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -210,20 +224,21 @@ class _Texts:
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
 
-    def of(self, ids: DataFrame, words: int) -> DataFrame:
-        """(id, text) of a table of distinct node ids, one row each."""
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of a table of distinct node ids. Where ids of documents repeat, rows may hold another node's text or come several times."""
         wanted = materialise(self.nodes.select("id", "least").join(ids, "id"), "wanted")
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        found = self.docs.join(F.broadcast(wanted) if few else wanted, self.docs["doc_id"].eqNullSafe(wanted["least"])).select("id", "text")
-        return found.mapInArrow(_own_text(words), "id long, text string").dropDuplicates(["id"])
+        return self.docs.join(F.broadcast(wanted) if few else wanted, self.docs["doc_id"].eqNullSafe(wanted["least"])).select("id", "text")
 
 
-def _own_text(words: int) -> Callable:
-    """Keeps rows whose text has the set of their id: ids of documents may repeat."""
+def _node(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
 
+
+def _own_text(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [i == int.from_bytes(hashlib.blake2b(shingles(t, words).tobytes(), digest_size=8).digest(), "big", signed=True) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            keep = [i == _node(shingles(t.as_py(), words)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -235,11 +250,11 @@ def _heavy_last(nodes: DataFrame, texts: _Texts, words: int, percent: int) -> Da
     frequent = nodes.select(F.explode("picked").alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
     values = [r.value for r in frequent.orderBy(F.desc("n"), "value").limit(HEAVY_LIST).select("value").collect()]
     if not values:
-        return nodes
+        return materialise(nodes, "nodes")
     heavy = spark.sparkContext.broadcast(np.sort(np.array(values, np.int64).view(np.uint64)))
     listed = spark.createDataFrame([(v,) for v in values], "value long")
     touched = nodes.select("id", F.explode("picked").alias("value")).join(F.broadcast(listed), "value").select("id").distinct()
-    again = texts.of(touched, words).mapInArrow(_reselect(words, percent, heavy), "id long, picked array<long>").select(F.col("id").alias("t_id"), F.col("picked").alias("again"))
+    again = texts.of(touched).mapInArrow(_reselect(words, percent, heavy), "id long, picked array<long>").dropDuplicates(["id"]).select(F.col("id").alias("t_id"), F.col("picked").alias("again"))
     return materialise(nodes.join(again, F.col("id") == F.col("t_id"), "left").select("id", "n", F.coalesce("again", "picked").alias("picked"), "bits", "least"), "nodes")
 
 
@@ -252,6 +267,6 @@ def _verify(pairs: DataFrame, bits: DataFrame, texts: _Texts, words: int, percen
         pairs = pairs.join(left, "u").join(right, "v").where(fit).select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(_plausible(percent), "u long, v long")
     pairs = materialise(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = materialise(texts.of(ids, words), "texts")
+    found = materialise(texts.of(ids).mapInArrow(_own_text(words), "id long, text string"), "texts")
     both = pairs.join(found.select(F.col("id").alias("u"), F.col("text").alias("x")), "u").join(found.select(F.col("id").alias("v"), F.col("text").alias("y")), "v")
     return materialise(both.select("u", "v", "x", "y").mapInArrow(_verified(words, percent), "u long, v long"), name)
