@@ -40,8 +40,9 @@ def _ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document once at least, and those of small sources up to twice."""
-    return mixing.mix(docs, keep=[c for c in COLUMNS if c != "source"]).select(*COLUMNS)
+    """Takes every document once at least, and those of small sources up to twice, and lays the copies out by block and slot, so that packing reads the mixed order."""
+    mixed = mixing.mix(docs, keep=[c for c in COLUMNS if c != "source"]).select(*COLUMNS, "block", "slot")
+    return mixed.repartitionByRange("block", "slot").sortWithinPartitions("block", "slot").select(*COLUMNS)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

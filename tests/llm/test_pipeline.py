@@ -2,12 +2,15 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 
 import corpus_pipeline
 from test_line_dedup import brute as lines_brute
 from test_ngram_join import brute as join_brute
 from test_packing import whole
 
+from locusframe.llm import mixing
+
 
 def corpus(spark, folder):
     r = random.Random(5)
@@ -82,3 +85,18 @@ def test_run(spark, tmp_path):
     folder = str(tmp_path / "in")
     corpus(spark, folder)
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_mixing_lays_out_blocks_and_slots(spark, tmp_path, monkeypatch):
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **b: mix(*a, **b, block_tokens=2000))
+    rows = [(i, f"w{i} " * (1 + i % 9), "en", "hot" if i < 1500 else f"s{i % 2}", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)  # the hot source first
+    mixed = mixing.mix(docs).collect()
+    want = [r.doc_id for r in sorted(mixed, key=lambda r: (r.block, r.slot))]
+    assert max(r.block for r in mixed) > 3
+    corpus_pipeline._mixing(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    got = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    assert got == want
+    tenth = len(got) // 10
+    assert all(0.3 < np.mean([d < 1500 for d in got[k : k + tenth]]) < 0.9 for k in range(0, 10 * tenth, tenth))
