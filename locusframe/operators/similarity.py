@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +15,8 @@ from locusframe.kernels.numeric import chi_square_p, kolmogorov_p, ks_statistic
 
 #: Features with at most so many distinct values over both samples are categorical.
 CATEGORIES = 6
+#: Distinct values of a bucket, about; draws in a block of permutations; draws looked up in one group, about.
+BUCKET_VALUES, BLOCK_DRAWS, GROUP_DRAWS = 200_000, 50_000, 1_000_000
 
 
 def ks(values: DataFrame) -> DataFrame:
@@ -39,46 +44,116 @@ def chi2(values: DataFrame) -> DataFrame:
     return grid.agg(F.sum(gap * gap / expected).alias("chi2"), ((F.count_distinct("value") - 1) * (F.count_distinct("side") - 1)).alias("df"))
 
 
-def permutation_p(one: DataFrame, two: DataFrame, columns: list[str], size: int = 500, permutations: int = 1000, seed: int = 1) -> DataFrame:
+def _draw_levels(rng: np.random.Generator, counts: np.ndarray, k: int) -> np.ndarray:
+    """How many of k rows drawn without replacement have each level."""
+    if counts.sum() < 10**9:  # numpy's limit
+        return rng.multivariate_hypergeometric(counts, k, method="marginals")
+    rows = rng.choice(int(counts.sum()), k, replace=False, shuffle=False)
+    return np.bincount(np.searchsorted(np.cumsum(counts), rows, side="right"), minlength=len(counts))
+
+
+def permutation_p(one: DataFrame, two: DataFrame, columns: list[str], size: int = 500, permutations: int = 10_000, seed: int = 1, category_size: int = 10_000) -> DataFrame:
     """(feature, kind, pvalue) for each column: how rarely two sub-samples of the pooled values differ as much as sub-samples of the two tables do.
 
-    Columns of few distinct values are compared by chi-square tests on counts by level (the same levels on both sides),
-    the others by Kolmogorov-Smirnov tests. Both use a table's counts of distinct values, or at most 20 * size values
-    of the smallest hash; one task for each feature, seeded by its name.
+    Columns of few distinct values are compared by chi-square tests on counts by level (the same levels on both sides)
+    of sub-samples of category_size rows, the others by Kolmogorov-Smirnov tests of size rows. Every row of a table can
+    be drawn: a draw is a number among a side's rows, which lie in buckets by a hash of their value and in order of
+    value in these, and each bucket looks up the values of the numbers that fall into it. Seeded by feature and block of
+    permutations. A feature without values on one side has a null pvalue.
     """
+    spark = one.sparkSession
     cols = [c for c in columns if c in one.columns and c in two.columns]
     long = None
     for side, d in ((0, one), (1, two)):
         part = d.select(F.lit(side).alias("side"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x"))
         long = part if long is None else long.unionAll(part)
     counted = long.where("x.value is not null").groupBy("x.feature", "side", "x.value").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("feature", "side").orderBy(F.xxhash64(F.lit(seed), "value"), "value"))
-    levels = counted.groupBy("feature").agg(F.count_distinct("value").alias("levels"))
-    counted = counted.withColumn("nth", rank).where(F.col("nth") <= 20 * size).join(levels, "feature")
-
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, *key[0].encode()])
-        kind = "chi2" if d["levels"].iloc[0] <= CATEGORIES else "ks"
-        values = np.sort(d["value"].unique())
-        counts = np.zeros((2, len(values)), np.int64)
-        np.add.at(counts, (d["side"].to_numpy(), np.searchsorted(values, d["value"].to_numpy())), d["n"].to_numpy())
-        take = min(size, *(int(c.sum()) for c in counts))
-        if not take:
-            return pd.DataFrame({"feature": [key[0]], "kind": [kind], "pvalue": [None]})
-
-        def p(a: np.ndarray, b: np.ndarray) -> float:
-            if kind == "chi2":
-                return chi_square_p(np.stack([a, b]))
-            return kolmogorov_p(ks_statistic(np.repeat(values, a), np.repeat(values, b)), int(a.sum()), int(b.sum()))
-
-        draw = lambda c, k: rng.multivariate_hypergeometric(c, k, method="marginals")
-        seen = np.mean([p(draw(counts[0], take), draw(counts[1], take)) for _ in range(permutations)])
-        pooled = counts.sum(axis=0)
-        null = []
-        for _ in range(permutations):
-            a = draw(pooled, take)
-            null.append(p(a, draw(pooled - a, min(take, int(pooled.sum()) - take))))
-        return pd.DataFrame({"feature": [key[0]], "kind": [kind], "pvalue": [(np.sum(np.array(null) <= seen) + 1) / (permutations + 1)]})
-
-    return counted.groupBy("feature").applyInPandas(run, "feature string, kind string, pvalue double")
-
+    levels = {r["feature"]: r["levels"] for r in counted.groupBy("feature").agg(F.count_distinct("value").alias("levels")).collect()}
+    few = sorted(c for c, n in levels.items() if n <= CATEGORIES)
+    many = sorted(set(levels) - set(few))
+    buckets = max([1, *(-(-levels[c] // BUCKET_VALUES) for c in many)])
+    values = counted.where(F.col("feature").isin(many)).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+
+    tables = {c: np.zeros((2, levels[c]), np.int64) for c in few}  # counts by level
+    at = {c: 0 for c in few}
+    for _, same in itertools.groupby(counted.where(F.col("feature").isin(few)).orderBy("feature", "value").collect(), lambda r: (r["feature"], r["value"])):
+        for r in same:
+            tables[r["feature"]][r["side"], at[r["feature"]]] = r["n"]
+        at[r["feature"]] += 1
+    rows = {c: np.zeros((2, buckets), np.int64) for c in many}  # rows by bucket
+    for r in values.groupBy("feature", "side", "bucket").agg(F.sum("n").alias("n")).collect():
+        rows[r["feature"]][r["side"], r["bucket"]] = r["n"]
+    take = {c: int(min(category_size if c in tables else size, *t.sum(axis=1))) for c, t in (tables | rows).items()}
+    per_block = max(1, BLOCK_DRAWS // (4 * size))
+    parts = max(1, -(-4 * size * permutations // (buckets * GROUP_DRAWS)))  # a bucket's values go to so many groups, each with a share of the blocks
+    shared = spark.sparkContext.broadcast((tables, rows, take))
+
+    def jobs(names: list[str]) -> DataFrame:
+        cells = [(c, b, min(per_block, permutations - b * per_block)) for c in names if take[c] for b in range(-(-permutations // per_block))]
+        return spark.createDataFrame(cells, "feature string, block int, n int").repartition(max(1, min(len(cells), 200)))
+
+    def by_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for c, block, n in d.itertuples(index=False):
+                counts, k, rng = shared.value[0][c], shared.value[2][c], np.random.default_rng([seed, block, *c.encode()])
+                pooled = counts.sum(axis=0)
+                seen, null = [], []
+                for _ in range(n):
+                    seen.append(chi_square_p(np.stack([_draw_levels(rng, x, k) for x in counts])))
+                    first = _draw_levels(rng, pooled, k)
+                    null.append(chi_square_p(np.stack([first, _draw_levels(rng, pooled - first, k)])))
+                yield pd.DataFrame({"feature": [c], "seen": [seen], "null": [null]})
+
+    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for c, block, n in d.itertuples(index=False):
+                ends, k, rng = np.cumsum(shared.value[1][c], axis=1), shared.value[2][c], np.random.default_rng([seed, block, *c.encode()])
+                a, b = int(ends[0, -1]), int(ends[1, -1])
+                row = np.empty((n, 4, k), np.int64)  # samples of the one and the other, and two of the pooled rows; those of the other are numbered from a
+                for i in range(n):
+                    row[i, 0] = rng.choice(a, k, replace=False, shuffle=False)
+                    row[i, 1] = rng.choice(b, k, replace=False, shuffle=False) + a
+                    row[i, 2:] = rng.choice(a + b, 2 * k, replace=False).reshape(2, k)
+                row, sample = row.ravel(), np.repeat(np.arange(4 * n, dtype=np.int32), k)
+                side = (row >= a).astype(np.int64)
+                row = row - a * side
+                bucket = np.where(side, np.searchsorted(ends[1], row, side="right"), np.searchsorted(ends[0], row, side="right"))
+                row = row - np.where(bucket > 0, ends[side, bucket - 1], 0)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                yield pd.DataFrame([(c, int(bucket[x[0]]), block % parts, block, sample[x], side[x].astype(np.int32), row[x]) for x in np.split(order, cuts)], columns=["feature", "bucket", "part", "block", "sample", "side", "row"])
+
+    def look_up(d: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for s in (0, 1):
+            x = held[held["side"] == s].sort_values("value")
+            sides.append((x["value"].to_numpy(float), np.cumsum(x["n"].to_numpy(np.int64))))
+        found = []
+        for side, row in zip(d["side"], d["row"], strict=True):
+            out = np.empty(len(row))
+            for s, (value, upto) in enumerate(sides):
+                mine = np.asarray(side) == s
+                out[mine] = value[np.searchsorted(upto, np.asarray(row)[mine], side="right")]
+            found.append(out)
+        return pd.DataFrame({"feature": d["feature"], "block": d["block"], "sample": d["sample"].astype(object), "value": pd.Series(found, dtype=object)})
+
+    def by_rank(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        k = shared.value[2][key[0]]
+        order = np.argsort(np.concatenate(d["sample"].tolist()), kind="stable")
+        x = np.concatenate(d["value"].tolist())[order].reshape(-1, 4, k)
+        p = lambda a, b: kolmogorov_p(ks_statistic(a, b), k, k)
+        return pd.DataFrame({"feature": [key[0]], "seen": [[p(y[0], y[1]) for y in x]], "null": [[p(y[2], y[3]) for y in x]]})
+
+    def whole(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        seen, null = (np.sort(np.concatenate(d[c].tolist())) for c in ("seen", "null"))  # in one order, so that the mean is one
+        return pd.DataFrame({"feature": [key[0]], "pvalue": [(np.sum(null <= np.mean(seen)) + 1) / (len(null) + 1)]})
+
+    found = jobs(few).mapInPandas(by_level, "feature string, seen array<double>, null array<double>")
+    if many:
+        drawn = jobs(many).mapInPandas(draws, "feature string, bucket int, part int, block int, sample array<int>, side array<int>, row array<long>")
+        held = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        looked = drawn.groupBy("feature", "bucket", "part").cogroup(held.groupBy("feature", "bucket", "part")).applyInPandas(look_up, "feature string, block int, sample array<int>, value array<double>")
+        found = found.unionAll(looked.groupBy("feature", "block").applyInPandas(by_rank, "feature string, seen array<double>, null array<double>"))
+    kinds = spark.createDataFrame([(c, "chi2" if c in tables else "ks") for c in sorted(levels)], "name string, kind string")
+    p = found.groupBy("feature").applyInPandas(whole, "feature string, pvalue double")
+    return kinds.join(p, F.col("name") == F.col("feature"), "left").select(F.col("name").alias("feature"), "kind", "pvalue")

@@ -427,7 +427,7 @@ def footprint_calls_stranded(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def similarity_pvalues(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"), (F.col("label") % 3).alias("c"))
-    return similarity.permutation_p(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), ["a", "b", "c"], 200, 200)
+    return similarity.permutation_p(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), ["a", "b", "c"], 500, 10_000, category_size=10_000)
 
 
 @query()

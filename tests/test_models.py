@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.kernels import mixture, numeric
 from locusframe.kernels.mixture import Mixture
@@ -79,6 +80,23 @@ def test_similarity(spark):
     assert same["x"].kind == "ks" and same["k"].kind == "chi2" and same["x"].pvalue > 0.1 > far["x"]
 
 
+def test_similarity_draws_from_all_rows(spark, monkeypatch):
+    def table(n, shift=0.0):
+        return spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(n) + shift).alias("x"))  # a third of the rows have one value
+
+    got = [similarity.permutation_p(table(30_000), table(2_400), ["x"], 100, 200).first()]
+    assert got[0].pvalue > 0.2
+    monkeypatch.setattr(similarity, "BUCKET_VALUES", 1_000)
+    monkeypatch.setattr(similarity, "GROUP_DRAWS", 1_000)
+    got.append(similarity.permutation_p(table(30_000), table(2_400), ["x"], 100, 200).first())
+    assert all(p.kind == "ks" and p.pvalue > 0.2 for p in got)
+    assert similarity.permutation_p(table(30_000), table(2_400, 0.5), ["x"], 100, 200).first().pvalue < 0.1
+    whole = similarity.permutation_p(table(3_000), table(3_000), ["x"], 3_000, 20).first()  # both samples are the whole tables, which are equal
+    assert whole.pvalue == 1.0
+    empty = similarity.permutation_p(table(30), table(0), ["x"], 10, 10).first()
+    assert empty.kind == "ks" and empty.pvalue is None
+
+
 def test_best_model_ties_and_default(spark):
     cells = [("a", "t", 1.0), ("b", "t", 1.0), ("default", "t", 0.5), ("a", "u", 0.1), ("default", "u", 0.9), ("u", "u", 5.0)]
     got = mapping.best_models(spark.createDataFrame(cells, "model string, target string, value double")).collect()
