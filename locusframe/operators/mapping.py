@@ -126,13 +126,17 @@ def best_models(matrix: DataFrame, gamma: float = 1.0) -> DataFrame:
 def cross_validate(pairs: DataFrame, matrix: DataFrame, features: list[str], grid: list[float], folds: int, gamma: float = 1.0, seed: int = 1) -> DataFrame:
     """(c, target, model, value, base): for each constant and fold, pairs of held-out samples are fitted without their y and the best model of each held-out sample is looked up in the matrix.
 
-    One task for each (c, fold); the pair table, bounded by MAX_PAIRS, goes to each.
+    One task for each (c, fold); the pair table, bounded by MAX_PAIRS, and the cells of its pairs go to each.
     """
     spark = pairs.sparkSession
     _, _, table = _collected(pairs, features)
-    cells = matrix.limit(MAX_PAIRS * 2).toPandas()
-    value = {(m, t): v for m, t, v in zip(cells["model"], cells["target"], cells["value"], strict=True)}
     samples = sorted(set(table["high"]) | set(table["low"]))
+    wanted = [*zip(table["high"], table["low"], strict=True), *zip(table["low"], table["high"], strict=True), *((DEFAULT, s) for s in samples)]
+    wanted = spark.createDataFrame(wanted, "model string, target string")  # of each pair a target can get, so the matrix of other samples stays where it is
+    cells = matrix.join(wanted, ["model", "target"], "left_semi").limit(MAX_PAIRS * 4 + 1).toPandas()
+    if len(cells) > MAX_PAIRS * 4:
+        raise ValueError("too many cells of pairs of samples")
+    value = {(m, t): v for m, t, v in zip(cells["model"], cells["target"], cells["value"], strict=True)}
     order = np.random.default_rng(seed).permutation(len(samples))
     fold_of = {samples[i]: int(k % folds) for k, i in enumerate(order)}
     shared = spark.sparkContext.broadcast((table, value, samples, fold_of))

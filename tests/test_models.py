@@ -97,6 +97,18 @@ def test_similarity_draws_from_all_rows(spark, monkeypatch):
     assert empty.kind == "ks" and empty.pvalue is None
 
 
+def test_cross_validation_has_all_cells_of_its_pairs(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    names = [f"s{i}" for i in range(6)]
+    rows = [(a, b, int(r.integers(0, 2)), float(r.normal())) for a in names for b in names if a > b]
+    pairs = spark.createDataFrame(rows, "high string, low string, f int, y double")
+    more = [*names, *(f"other{i}" for i in range(20))]
+    matrix = spark.createDataFrame([(a, b, 1.0) for a in [*reversed(more), mapping.DEFAULT] for b in reversed(more)], "model string, target string, value double")
+    monkeypatch.setattr(mapping, "MAX_PAIRS", len(rows))
+    got = mapping.cross_validate(pairs, matrix, ["f"], [8.0], 3).collect()
+    assert sorted(x.target for x in got) == names and all(x.value == 1.0 and x.base == 1.0 for x in got)
+
+
 def test_best_model_ties_and_default(spark):
     cells = [("a", "t", 1.0), ("b", "t", 1.0), ("default", "t", 0.5), ("a", "u", 0.1), ("default", "u", 0.9), ("u", "u", 5.0)]
     got = mapping.best_models(spark.createDataFrame(cells, "model string, target string, value double")).collect()
