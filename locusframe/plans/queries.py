@@ -441,8 +441,10 @@ def l1_fit(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("label") == 0).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
-    model = LogisticRegression(elasticNetParam=1.0, regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=[f"x{i}" for i in range(8)], outputCol="features").transform(e))
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    terms = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0])]
+    e = e.select((F.col("label") == 0).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(t) for i, t in enumerate(terms)])
+    model = LogisticRegression(elasticNetParam=1.0, regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=terms, outputCol="features").transform(e))
     return spark.createDataFrame([(f"x{i}", float(c)) for i, c in enumerate(model.coefficients)] + [("intercept", float(model.intercept))], "term string, coefficient double")
 
 
@@ -455,10 +457,10 @@ def robust_fit(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mapping_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     pairs, cells, names = _pairs(spark, d)
-    return mapping.cross_validate(pairs, cells, names, [15.0, 8.0, 2.0], 5)
+    return mapping.cross_validate(pairs, cells, names, mapping.grid(), 8)
 
 
 @query()
 def sample_mapping(spark: SparkSession, d: str) -> DataFrame:
     pairs, cells, names = _pairs(spark, d)
-    return mapping.map_samples(pairs, cells, names, [15.0, 8.0, 4.0, 2.0], 5)[1]
+    return mapping.map_samples(pairs, cells, names)[1]

@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from locusframe.operators import mapping
 from locusframe.plans.queries import ORACLES, QUERIES
 from locusframe.testbed import TABLES
 
@@ -41,6 +42,18 @@ def test_query(spark, duck, name):
             assert all(p == q or (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-6 * max(1, abs(p))) for p, q in zip(x, y)), (x, y)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_mapping_and_fit_take_the_whole_job(spark, monkeypatch):
+    asked = []
+    validate = mapping.cross_validate
+    monkeypatch.setattr(mapping, "cross_validate", lambda p, m, f, grid, folds, *a: asked.append((grid, folds)) or validate(p, m, f, grid[:1], folds, *a))
+    for name in ("mapping_cross_validation", "sample_mapping"):
+        assert QUERIES[name](spark, SF).count() > 0
+    assert asked == [(mapping.grid(), 8)] * 2 and len(mapping.grid()) == 66
+    size = len(spark.read.parquet(f"{SF}/embeddings.parquet").first()["embedding"])
+    assert [r.term for r in QUERIES["l1_fit"](spark, SF).collect()] == [*(f"x{i}" for i in range(size)), "intercept"] and size > 8
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     import __spark_entry__ as e
