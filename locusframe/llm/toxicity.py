@@ -69,20 +69,32 @@ def _merged(buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return buckets[first], np.add.reduceat(weights, first)
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(words: list[str], s: Settings) -> Bag:
+    """A document's buckets, each once, and their weights."""
+    return _merged(*subword_bag(words, s)) if words else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
 def fit(documents: list[list[str]], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
+    """Trains on the words of documents; see fit_bags()."""
+    return fit_bags([bag(d, s) for d in documents], labels, s)
+
+
+def fit_bags(bags: list[Bag], labels: list[int], s: Settings) -> tuple[np.ndarray, float]:
     """Trains embeddings and softmax together; returns each bucket's share of the logit of label 1, and the bias.
 
     Everything before the softmax is linear, so a bucket's embedding times (softmax column 1 - column 0) is one number,
     and with two labels the gradient of the embeddings is the outer product of one number a bucket with that difference.
-    With one class or no rows the buckets are 0 and the bias gives that class (label 0 without rows).
+    With one class or no rows the buckets are 0 and the bias gives that class (label 0 without rows). bags is emptied.
     """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << s.bits, np.float32), 4.0 if len(y) and y[0] > 0 else -4.0
-    bags = [_merged(*subword_bag(d, s)) if d else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for d in documents]
     sizes = np.array([len(b) for b, _ in bags])
     idx, weight = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
-    del bags
+    bags.clear()
     ends = np.concatenate([[0], np.cumsum(sizes)])
     parts = [(a, min(a + 256, len(y))) for a in range(0, len(y), 256)]  # so that a pass needs little room
     rng = np.random.default_rng(s.seed)
@@ -118,14 +130,16 @@ def probability(words: list[str], model: tuple[np.ndarray, float], s: Settings)
     return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", label_col: str = "toxic") -> tuple[list[list[str]], list[int]]:
-    """The words and labels of the fitted sample: per class the ids of smallest hash, each with its texts."""
+def sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, label, words) of the fitted sample: per class the ids of smallest hash, each with one text, the least in words if an id repeats in docs.
+
+    Rows without id or label are left out; of several labels of an id the largest counts.
+    """
     rated = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     order = (F.xxhash64(F.col("doc_id")), F.col("doc_id"))
     picked = rated.where("label <= 0").orderBy(*order).limit(s.max_negative).unionAll(rated.where("label > 0").orderBy(*order).limit(s.max_positive))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").mapInArrow(_distinct_words, "doc_id long, label int, words string").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.words))
-    return [r.words.split(" ") if r.words else [] for r in rows], [int(r.label > 0) for r in rows]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").mapInArrow(_distinct_words, "doc_id long, label int, words string")
+    return rows.groupBy("doc_id", "label").agg(F.min("words").alias("words"))
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +149,19 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    return fit(*sample(docs, labels, s, id_col, label_col), s)
+    """The model of a sample of at most max_positive + max_negative documents, fitted in one task; it has 2^bits numbers and a bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, y = [], []
+        for b in batches:
+            bags += [bag(w.split(" ") if w else [], s) for w in b.column("words").to_pylist()]
+            y += [int(x > 0) for x in b.column("label").to_pylist()]
+        shares, bias = fit_bags(bags, y, s)
+        yield pa.RecordBatch.from_arrays([pa.array([shares.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["shares", "bias"])
+
+    rows = sample(docs, labels, s, id_col, label_col).repartition(1).sortWithinPartitions("doc_id")
+    made = rows.mapInArrow(run, "shares binary, bias double").collect()
+    return (np.frombuffer(made[0].shares, np.float32), made[0].bias) if made else fit_bags([], [], s)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
