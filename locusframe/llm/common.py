@@ -1,62 +1,15 @@
-"""Helpers shared by the training-data operators: shared scratch tables and column guards."""
+"""Helpers shared by the training-data operators: scratch tables, column guards and row keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one is made only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="locusframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lineage ends at files every executor sees.
-
-    Shuffle files go when the driver finds their plans to be garbage, so it is asked to look once a table is there.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
+from locusframe.scratch import drop_tables, final_table, materialise, recorded, shared_dir
 
-def recorded(make: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
-    """What make returns, and the tables that materialise() wrote meanwhile."""
-    start = len(_written)
-    out = make()
-    return out, _written[start:]
+__all__ = ["ascii_lower", "drop_tables", "final_table", "materialise", "recorded", "row_keys", "shared_dir", "table", "text_or_empty"]
 
-
-def final_table(make: Callable[[], DataFrame]) -> DataFrame:
-    """What make returns, a table it materialised last; the tables it wrote before that are deleted."""
-    out, written = recorded(make)
-    drop_tables(out.sparkSession, written[:-1])
-    return out
-
-
-def drop_tables(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables, and empties the list; call it once nothing reads them any more."""
-    while paths:
-        name = paths.pop()
-        if name in _written:
-            _written.remove(name)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -70,3 +23,16 @@ def text_or_empty(name: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_keys(df: DataFrame, id_col: str, text: Column) -> tuple[list[Column], bool]:
+    """Columns none, doc and sub that tell texts apart and order them, and whether ids repeat.
+
+    none says that the id is null, which comes last; doc is the id, or a hash of the text without one; sub is a hash of
+    the text, 0 where no id of df repeats. So rows are one document only if they share id and text: null ids have 128
+    bits of hash, and texts of a repeated id 64.
+    """
+    i = F.col(id_col).cast("long")
+    repeats = not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    sub = F.xxhash64(text) if repeats else F.when(i.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    return [i.isNull().alias("none"), F.coalesce(i, F.xxhash64(F.lit(1), text)).alias("doc"), sub.alias("sub")], repeats
