@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import materialise
 
-#: Rows of one sorted bucket, about; sections of the exponent tried in one pass; sources up to which budgets are broadcast.
+#: Rows of one sorted bucket, about; sections of the exponent tried in one pass; rows of budgets and of bucket sums that are broadcast.
 BUCKET_ROWS, SECTIONS, BROADCAST_SOURCES = 20_000, 64, 200_000
 
 
@@ -43,8 +43,6 @@ def entropy_exponent(sources: DataFrame, target: float) -> float:
         for i, a in enumerate(tried):
             cells += [F.sum(F.exp(share * a)).alias(f"z{i}"), F.sum(F.exp(share * a) * share * a).alias(f"x{i}")]
         r = sources.agg(*cells).first()
-
-
         entropy = [log(r[f"z{i}"]) - r[f"x{i}"] / r[f"z{i}"] for i in range(len(tried))]  # falls as the exponent grows
         if target >= entropy[0]:
             return tried[0]
@@ -64,12 +62,17 @@ def mix(
     Weights are token shares to an exponent, found for the target entropy if given, else for the repetition limit: how
     many times as often the smallest source may repeat as the largest. The budget is budget_tokens, or without it the
     least that takes every row once. A source's budget is as many whole epochs as fit and the rows with the smallest
-    hash (seed, id, text) that fit into the rest. Each epoch is a permutation by hash, spread evenly over blocks of about
-    block_tokens: block and slot give a copy's place, so every block has the sources in proportion to their weights.
+    hash (seed, id, text) that fit into the rest.
+
+    Each epoch of a source is a permutation by hash. The blocks, of about block_tokens, have equal shares of each
+    source's budget: a copy belongs to the block in which its first token falls when the source's copies stand in order,
+    so a block has the tokens of a source that its weight gives it, but for the document at each end. slot is the copy's
+    place in its block, from 0, in an order by hash. Rows come in ranges of blocks, ordered by block and slot.
 
     A row has its words as tokens, 1 at least, so null and empty texts take part. Null sources are one source. Repeated
     rows are taken or left together. Null ids are rows like any other. Columns in keep may not be named like the
-    results, which win. An empty df gives an empty result. No text is shuffled.
+    results, which win. An empty df gives an empty result. What keep names is shuffled twice, by bucket of a source and
+    by block; no other text is.
     """
     results = ["source", "n_tokens", "epoch", "block", "slot"]
     keep = [c for c in keep or [id_col] if c not in results]
@@ -100,15 +103,28 @@ def mix(
     running = F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("u", "h"))  # rows of equal hash together
     placed = part.withColumn("upto", running).join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
     cut = placed.where(F.col("before") + F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("u", "h")).alias("cut")).select(F.col("source").alias("c_source"), "cut")
-    plan = materialise(plan.join(cut, F.col("p_source").eqNullSafe(F.col("c_source")), "left").select("p_source", "total", "budget", "whole", "cut"), "budgets")
+    plan = materialise(plan.join(cut, F.col("p_source").eqNullSafe(F.col("c_source")), "left").select("p_source", "rows", "budget", "whole", "cut"), "budgets")
 
     blocks = max(1, ceil(scale * (norm.z or 0) / block_tokens))
-    rows = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"), n_tokens(text_col).alias("n_tokens"), hashed.alias("h")).withColumn("u", unit)
-    rows = rows.join(small(plan), F.col("source").eqNullSafe(F.col("p_source")))
-    copies = F.col("whole") + F.coalesce((F.struct("u", "h") <= F.col("cut")).cast("int"), F.lit(0))
-    rows = rows.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    # Epoch 0 keeps the order of the hash; later ones permute anew.
-    again = F.when(F.col("epoch") == 0, F.col("u")).otherwise((F.shiftrightunsigned(F.xxhash64("h", "epoch"), 11) / F.lit(float(1 << 53))).cast("double"))
-    at = (F.col("epoch") + again) * F.col("total") / F.greatest("budget", F.lit(1).cast("long"))
-    block = F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("long")
-    return rows.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), block.alias("block"), F.xxhash64("h", "epoch", F.lit("slot")).alias("slot"))
+    # Tokens of a source before each bucket of its copies, from a narrow pass.
+    def copied(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("u", unit).join(small(plan), F.col("source").eqNullSafe(F.col("p_source")))
+        copies = F.col("whole") + F.coalesce((F.struct("u", "h") <= F.col("cut")).cast("int"), F.lit(0))
+        rows = rows.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
+        # Epoch 0 keeps the order of the hash; later ones permute anew.
+        again = F.when(F.col("epoch") == 0, F.col("u")).otherwise((F.shiftrightunsigned(F.xxhash64("h", "epoch"), 11) / F.lit(float(1 << 53))).cast("double"))
+        return rows.withColumn("order", again).withColumn("bucket", F.floor(F.col("order") * F.ceil(F.col("rows") / BUCKET_ROWS)))
+
+    sums = copied(narrow).groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("n"))
+    line = W.partitionBy("source").orderBy("epoch", "bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = materialise(sums.select(F.col("source").alias("b_source"), F.col("epoch").alias("b_epoch"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before")), "before")
+    rows = copied(df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"), n_tokens(text_col).alias("tokens"), hashed.alias("h")))
+    inside = F.sum("tokens").over(W.partitionBy("source", "epoch", "bucket").orderBy("order", "h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
+    rows = rows.select(*[f"__k{i}" for i in range(len(keep))], "source", "tokens", "h", "epoch", "bucket", "budget", inside.alias("inside"))
+    few = before.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(before) if few else before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("epoch") == F.col("b_epoch")) & (F.col("bucket") == F.col("b_bucket")))
+    at = (F.col("before") + F.col("inside")) / F.greatest("budget", F.lit(1).cast("long"))
+    rows = rows.withColumn("block", F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("long"))
+    slot = F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("h", "epoch", F.lit("slot")), "h", "epoch")) - 1
+    out = rows.repartitionByRange("block").withColumn("slot", slot.cast("long"))
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "source", F.col("tokens").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch"), "block", "slot")

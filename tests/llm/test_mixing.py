@@ -58,3 +58,26 @@ def test_entropy(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(corpus(spark).limit(0)).count() == 0
+
+
+def test_blocks_and_slots_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    out = mixing.mix(corpus(spark), repetition_limit=3.0, block_tokens=5000).collect()
+    blocks = defaultdict(list)
+    tokens, longest = defaultdict(int), defaultdict(int)
+    for r in out:
+        blocks[r.block].append(r)
+        tokens[r.source] += r.n_tokens
+        longest[r.source] = max(longest[r.source], r.n_tokens)
+    assert sorted(blocks) == list(range(len(blocks))) and len(blocks) > 10
+    part = defaultdict(int)
+    for b, rows in blocks.items():
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))  # places, each once
+        for r in rows:
+            part[b, r.source] += r.n_tokens
+    # Each block has its share of each source, but for a document at each end; rows that a budget can't split may lack at the very end.
+    for s, total in tokens.items():
+        for b in range(len(blocks) - 1):
+            assert abs(part[b, s] - total / len(blocks)) <= 2 * longest[s] + 1, (b, s)
+    # Sources are mixed inside a block, not one after the other.
+    assert all(len({r.source for r in sorted(rows, key=lambda r: r.slot)[:20]}) > 1 for rows in blocks.values() if len(rows) > 100)
