@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from locusframe.llm import common, line_dedup, mixing, ngram_join, packing, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids of kept documents are broadcast up to so many.
-BROADCAST_IDS = 2_000_000
+#: Ids of kept documents, two long columns, are broadcast up to so many.
+BROADCAST_IDS = 500_000
 _scratch: list[str] = []
 
 
@@ -40,12 +40,12 @@ def _ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes every document once at least, and those of small sources up to twice, and lays the copies out by block and slot, so that packing reads the mixed order."""
-    mixed = mixing.mix(docs, keep=[c for c in COLUMNS if c != "source"]).select(*COLUMNS, "block", "slot")
-    return mixed.repartitionByRange("block", "slot").sortWithinPartitions("block", "slot").select(*COLUMNS)
+    """Takes every document once at least, and those of small sources up to twice. The copies come by block and slot, so packing reads the mixed order. Null sources are one source; an empty table stays empty."""
+    return mixing.mix(docs, keep=[c for c in COLUMNS if c != "source"]).select(*COLUMNS)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in pieces of at most 1024 tokens; empty and null texts are one end id, an empty table gives no rows."""
     return packing.pack(docs)
 
 
@@ -68,11 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
+    """All stages over documents, each but the last written to the shared folder and read again; a stage's table goes once the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents").select(*COLUMNS), []
     for _, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         path = f"{common.shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        common.drop_tables(spark, before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
