@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.scratch import drop_tables, final_table, materialise, recorded, shared_dir
 
-__all__ = ["ascii_lower", "drop_tables", "final_table", "materialise", "recorded", "row_keys", "shared_dir", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "drop_tables", "final_table", "materialise", "pieces", "recorded", "row_keys", "shared_dir", "table", "text_or_empty"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of so many rows, so that what is made of a batch at once stays small."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def row_keys(df: DataFrame, id_col: str, text: Column) -> tuple[list[Column], bool]:
     """Columns none, doc and sub that tell texts apart and order them, and whether ids repeat.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import drop_tables, final_table, materialise, recorded
+from locusframe.llm.common import drop_tables, final_table, materialise, pieces, recorded
 from locusframe.llm.components import components
 from locusframe.llm.signature_tree import LEAF, bitmap, bytes_of, candidate_pairs, earlier, may_reach
 
@@ -84,7 +84,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _sets(words: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for text in b.column(1):
                 s = shingles(text.as_py(), words)
@@ -106,7 +106,7 @@ def _touched(heavy) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(heavy.value, np.uint64)
-        for b in batches:
+        for b in pieces(batches):
             lists = b.column(1)
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
             late = held(words, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
@@ -118,7 +118,7 @@ def _touched(heavy) -> Callable:
 def _reselect(words: int, percent: int, heavy) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(heavy.value, np.uint64), set()
-        for b in batches:
+        for b in pieces(batches):
             ids, picked = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if i in seen:

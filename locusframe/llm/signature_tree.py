@@ -40,7 +40,7 @@ def may_reach(bitmaps: tuple[np.ndarray, np.ndarray], n: np.ndarray, i: np.ndarr
     for k in np.unique(kind[keep]):
         short, long = int(k >> 32), int(k & 0xFFFFFFFF)
         rows = np.flatnonzero(keep & (kind == k))
-        for at in np.array_split(rows, -(-len(rows) * long // (1 << 24))):
+        for at in np.array_split(rows, -(-len(rows) * long // (1 << 22))):
             p = data[ends[a[at]][:, None] + np.arange(short)]
             q = np.bitwise_or.reduce(data[ends[b[at]][:, None] + np.arange(long)].reshape(len(at), -1, short), axis=1)
             ones = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
