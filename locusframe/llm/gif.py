@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
-#: With codes of 8-bit samples, a table of 258 + 253 entries still has 9-bit codes: so many samples follow each clear code.
-_RUN, _CLEAR, _END = 254, 256, 257
-
-
 @dataclass
 class Frame:
     left: int
@@ -22,107 +19,99 @@ class Frame:
     canvas: np.ndarray  # height x width x 4 of the whole picture as shown: RGBA
 
 
-def _bits(codes: np.ndarray, width: int) -> bytes:
-    return np.packbits(((codes[:, None] >> np.arange(width, dtype=codes.dtype)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+#: Codes have at most so many bits, and a table so many entries.
+_MOST_BITS, _ENTRIES = 12, 4096
+
+
+@cache
+def _widths(bits: int) -> np.ndarray:
+    """Bits of each code after a clear code: a table has an entry more for each, and codes grow when its size needs it."""
+    first = (1 << bits) + 2
+    return np.array([min(_MOST_BITS, max(bits + 1, (first + i - 1).bit_length())) for i in range(2 * _ENTRIES)], np.int64)
 
 
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """A code stream of 8-bit samples that clears its table before codes grow: larger by an eighth, but made without a loop."""
-    n = len(samples)
-    runs = -(-n // _RUN)
-    codes = np.zeros((runs, _RUN + 1), np.uint16)
-    codes[:, 0] = _CLEAR
-    body = np.zeros(runs * _RUN, np.uint16)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(runs, _RUN)
-    return _bits(np.concatenate([codes.ravel()[: n + runs], np.array([_END], np.uint16)]), 9)
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    ends = np.cumsum(widths)
+    at = ends - widths
+    value, byte, size = codes << (at & 7), at >> 3, int(ends[-1] + 7) // 8
+    parts = [np.bincount(byte + k, weights=value >> 8 * k & 255, minlength=size + 2) for k in range(3)]  # bits don't overlap, so sums are unions
+    return sum(parts)[:size].astype(np.uint8).tobytes()
 
 
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
-    """The usual compressing code stream."""
+    """The compressing code stream of samples below 2^bits; the table is cleared when it is full."""
     clear = 1 << bits
-    out, filled, acc = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width, following = bits + 1, clear + 2
-
-    def put(code: int) -> None:
-        nonlocal acc, filled
-        acc |= code << filled
-        filled += width
-        while filled >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            filled -= 8
-
-    put(clear)
-    word = b""
-    for k in range(len(samples)):
-        longer = word + samples[k : k + 1]
-        if len(longer) == 1 or longer in table:
-            word = longer
+    following, codes, starts = clear + 2, [clear], [1]
+    put, table = codes.append, {}
+    find, rest = table.get, iter(samples)
+    code = next(rest, None)
+    for sample in rest:
+        key = code << 8 | sample
+        longer = find(key)
+        if longer:
+            code = longer
             continue
-        put(table[word] if len(word) > 1 else word[0])
-        if following < 4096:
-            table[longer] = following
+        put(code)
+        code = sample
+        if following < _ENTRIES:
+            table[key] = following
             following += 1
-            if following > 1 << width and width < 12:
-                width += 1
         else:
             put(clear)
-            table, width, following = {}, bits + 1, clear + 2
-        word = samples[k : k + 1]
-    if word:
-        put(table[word] if len(word) > 1 else word[0])
-        if following < 4096 and following + 1 > 1 << width and width < 12:
-            width += 1
+            table.clear()
+            following = clear + 2
+            starts.append(len(codes))
+    if code is not None:
+        put(code)
     put(clear + 1)
-    if filled:
-        out.append(acc & 255)
-    return bytes(out)
+    first = np.zeros(len(codes), np.int64)
+    first[starts] = starts
+    place = np.arange(len(codes)) - np.maximum.accumulate(first)
+    place[0] = 0
+    return _packed(np.array(codes, np.int64), _widths(bits)[place])
 
 
 def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
-    """The n samples of a code stream. Streams of 9-bit literals with regular clear codes are read without a loop."""
-    if bits == 8 and n:
-        runs = -(-n // _RUN)
-        size = (n + runs + 1) * 9
-        if len(data) * 8 >= size:
-            raw = np.unpackbits(np.frombuffer(data, np.uint8)[: -(-size // 8)], bitorder="little")[:size].reshape(-1, 9)
-            codes = raw[:, 8].astype(np.uint16) << 8 | np.packbits(raw[:, :8], axis=1, bitorder="little").ravel()
-            literal = np.ones(len(codes), bool)
-            literal[: -1 : _RUN + 1] = False
-            literal[-1] = False
-            if codes[-1] == _END and (codes[: -1 : _RUN + 1] == _CLEAR).all() and int(codes[literal].max()) < _CLEAR:
-                return codes[literal].astype(np.uint8)
+    """The n samples of a code stream. Codes are cut out in blocks, as their widths follow from their number since the last clear code; strings are looked up one by one."""
     clear = 1 << bits
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last = list(base), bits + 1, None
-    out, got, acc, filled, at = [], 0, 0, 0, 0
+    table, last, since, at, got = list(base), b"", 0, 0, 0
+    out: list[bytes] = []
+    widths = _widths(bits)
     while got < n:
-        while filled < width and at < len(data):
-            acc |= data[at] << filled
-            filled += 8
-            at += 1
-        if filled < width:
+        w = widths[since : since + _ENTRIES]
+        ends = at + np.cumsum(w)
+        k = int(np.searchsorted(ends, len(data) * 8, side="right"))
+        if not k:
             break
-        code = acc & ((1 << width) - 1)
-        acc >>= width
-        filled -= width
-        if code == clear:
-            table, width, last = list(base), bits + 1, None
-            continue
-        if code == clear + 1:
+        w, ends = w[:k], ends[:k]
+        place = ends - w
+        byte = place >> 3
+        codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7) & ((1 << w) - 1)
+        special = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        stop = int(special[0]) if len(special) else k
+        size = len(table)
+        for code in codes[:stop].tolist():
+            if code < size:
+                word = table[code]
+            elif code == size and last:
+                word = last + last[:1]
+            else:
+                raise ValueError("a code outside the table")
+            if last and size < _ENTRIES:
+                table.append(last + word[:1])
+                size += 1
+            out.append(word)
+            last = word
+        if stop == k:
+            since, at = min(since + k, _ENTRIES), int(ends[-1])  # beyond a full table all codes have one width
+        elif codes[stop] == clear:
+            table, last, since, at = list(base), b"", 0, int(ends[stop])
+        else:
             break
-        if code > len(table) or last is None and code >= clear:
-            raise ValueError("a code outside the table")
-        word = table[code] if code < len(table) else last + last[:1]
-        if last is not None and len(table) < 4096:
-            table.append(last + word[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        got += len(word)
-        last = word
+        out = [b"".join(out)]
+        got = len(out[0])
     samples = np.frombuffer(b"".join(out)[:n], np.uint8)
     if len(samples) < n:
         raise ValueError("a code stream that ends early")
@@ -138,15 +127,26 @@ def _blocks(data: bytes) -> bytes:
     return rows.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def write(frames: list[dict], width: int, height: int, palette: np.ndarray, compress: bool = False) -> bytes:
-    """frames: pixels (rows x columns of palette indices) and, if given, left, top, delay_ms, disposal, transparent."""
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
+def _table(palette: np.ndarray) -> tuple[int, bytes]:
+    """The exponent less one of a colour table's size, and its bytes, filled up."""
+    k = max(1, int(len(palette) - 1).bit_length())
+    full = np.zeros((1 << k, 3), np.uint8)
+    full[: len(palette)] = palette
+    return k - 1, full.tobytes()
+
+
+def write(frames: list[dict], width: int, height: int, palette: np.ndarray) -> bytes:
+    """frames: pixels (rows x columns of palette indices) and, if given, left, top, delay_ms, disposal, transparent and a palette of their own."""
+    size, colours = _table(palette)
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF0 | size, 0, 0), colours]
     for f in frames:
         pixels = np.ascontiguousarray(f["pixels"], np.uint8)
-        clear = f.get("transparent")
+        clear, own = f.get("transparent"), f.get("palette")
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, f.get("disposal", 1) << 2 | (clear is not None), f.get("delay_ms", 100) // 10, clear or 0, 0))
-        out.append(struct.pack("<BHHHHBB", 0x2C, f.get("left", 0), f.get("top", 0), pixels.shape[1], pixels.shape[0], 0, 8))
-        out.append(_blocks(lzw_encode(pixels.tobytes()) if compress else lzw_literal(pixels.ravel())))
+        mine, local = (size, b"") if own is None else _table(own)
+        bits = max(2, mine + 1)
+        out.append(struct.pack("<BHHHHBB", 0x2C, f.get("left", 0), f.get("top", 0), pixels.shape[1], pixels.shape[0], 0 if own is None else 0x80 | mine, 0)[:-1] + local + bytes([bits]))
+        out.append(_blocks(lzw_encode(pixels.tobytes(), bits)))
     return b"".join([*out, b";"])
 
 
