@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of the sample that codes and radius are learned on; rows of an index shard and of a query block, about.
 SAMPLE, SHARD, BLOCK = 8192, 16_384, 4096
 #: The share of true neighbours in the sample that the radius is to hold.
-AIM = 0.985
+AIM = 0.95
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -45,7 +45,8 @@ class Codes:
 
 def learn(sample: np.ndarray, k: int = 5, max_bits: int = 64, rounds: int = 25, seed: int = 5) -> Codes:
     """Principal axes, turned so that signs lose least (iterative quantisation); the radius holds AIM of the sample's own nearest pairs."""
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = scaled(sample)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     bits = min(max_bits, x.shape[1])
     centre = x.mean(axis=0)
     _, _, axes = np.linalg.svd(x - centre, full_matrices=False)
@@ -70,8 +71,14 @@ def learn(sample: np.ndarray, k: int = 5, max_bits: int = 64, rounds: int = 25,
     return Codes(centre, basis @ turn, widths, int(distances[min(len(distances) - 1, int(ceil(AIM * len(distances))))]))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to 0.5 or more and below 1: cosines stay as they are, and no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    return np.ldexp(x, -exponent)
+
+
 def _vectors(t: pa.Table, dims: int) -> np.ndarray:
-    return t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return scaled(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
 
 
 class Index:

@@ -38,3 +38,13 @@ def test_odd_rows(spark):
     got = hs.search(df, df.where("vec_id % 50 = 0")).collect()
     assert [(g.query_id, g.rank, g.vec_id) for g in got] == [(0, 1, 1)]
     assert hs.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1.0, 1.0]), (50, [1e-200, 0.0]), (3, [1e-320, 1e-320])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in hs.search(df, df.where("vec_id % 50 = 0")).collect()}
+    near = 1 / np.hypot(1, 0.1)
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [50, 1, 2, 3] and [got[50, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]
+    for q in (0, 50):
+        assert np.allclose([got[q, k][1] for k in (1, 2, 3, 4)], [1, near, np.sqrt(0.5), np.sqrt(0.5)], rtol=1e-12)
