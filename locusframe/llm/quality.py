@@ -44,11 +44,11 @@ def features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     if n:
         shapes = Counter(_DIGITS.sub("0", _LETTERS.sub("a", _UPPER.sub("A", text))).split())
         for shape, k in shapes.items():
-            found["s" + shape[:40]] = float(np.sqrt(k / n))
+            found["s" + shape] = float(np.sqrt(k / n))
         counts = Counter(words)
         each = 1 / np.sqrt(len(counts))
         for w in counts:
-            found["w" + w.lower()[:64]] = each
+            found["w" + w.lower()] = each
         for name, ratio in (("distinct", len(counts) / n), ("top", max(counts.values()) / n), ("upper", sum(map(str.isupper, words)) / n), ("size", min(1.0, len(text) / n / 20)), ("lines", min(1.0, 8 * text.count("\n") / n))):
             found[f"{name} {int(ratio * 10)}"] = 1.0
     idx = np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) >> (32 - s.bits) for k in found], np.int32)

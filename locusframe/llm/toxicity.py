@@ -92,29 +92,14 @@ def fit_bags(bags: list[Bag], labels: list[int], s: Settings) -> tuple[np.ndarra
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(1 << s.bits, np.float32), 4.0 if len(y) and y[0] > 0 else -4.0
-    sizes = np.array([len(b) for b, _ in bags])
-    idx, weight = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
+    data = _Sample(bags, y)
     bags.clear()
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    parts = [(a, min(a + 256, len(y))) for a in range(0, len(y), 256)]  # so that a pass needs little room
     rng = np.random.default_rng(s.seed)
     params = [rng.normal(0, 0.05, (1 << s.bits, s.dims)).astype(np.float32), rng.normal(0, 0.5, (s.dims, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [0.0] * 3
-    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for t in range(1, s.steps + 1):
-        e, w, b = params
         rate = s.rate * (1 - (t - 1) / s.steps)
-        u = w[:, 1] - w[:, 0]
-        shares, g, r = e @ u, np.zeros(1 << s.bits), np.empty(len(y))
-        for i, j in parts:
-            at = slice(ends[i], ends[j])
-            row = np.repeat(np.arange(j - i), sizes[i:j])
-            z = np.bincount(row, weights=weight[at] * shares[idx[at]], minlength=j - i) + b[1] - b[0]
-            r[i:j] = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[i:j]) * balance[i:j]
-            g += np.bincount(idx[at], weights=weight[at] * r[i:j][row], minlength=1 << s.bits)
-        dw = e.T @ g
-        grads = [np.outer(g, u) + s.decay * e, np.stack([-dw, dw], 1) + s.decay * w, np.array([-r.sum(), r.sum()])]
-        for k, d in enumerate(grads):
+        for k, d in enumerate(data.gradients(params, s.decay)):
             first[k] = (0.9 * first[k] + 0.1 * d).astype(params[k].dtype)
             second[k] = 0.98 * second[k] + 0.02 * float((d * d).mean())
             params[k] = (params[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.98**t)) + 1e-9)).astype(params[k].dtype)
@@ -122,6 +107,33 @@ def fit_bags(bags: list[Bag], labels: list[int], s: Settings) -> tuple[np.ndarra
     return (e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0])
 
 
+class _Sample:
+    """Bags in one array, labels, and weights by which both labels count alike."""
+
+    def __init__(self, bags: list[Bag], y: np.ndarray):
+        self.y, self.sizes = y, np.array([len(b) for b, _ in bags])
+        self.idx, self.weight = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+
+    def gradients(self, params: list[np.ndarray], decay: float) -> list[np.ndarray]:
+        """Of the weighted cross-entropy plus decay / 2 of the squares of embeddings and softmax, in parts of rows so that a pass needs little room."""
+        e, w, _ = params
+        u = w[:, 1] - w[:, 0]
+        g, total = np.zeros(len(e)), 0.0
+        shares = e @ u
+        for i in range(0, len(self.y), 256):
+            j = min(i + 256, len(self.y))
+            at = slice(self.ends[i], self.ends[j])
+            row = np.repeat(np.arange(j - i), self.sizes[i:j])
+            z = np.bincount(row, weights=self.weight[at] * shares[self.idx[at]], minlength=j - i) + params[2][1] - params[2][0]
+            r = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - self.y[i:j]) * self.balance[i:j]
+            g += np.bincount(self.idx[at], weights=self.weight[at] * r[row], minlength=len(e))
+            total += float(r.sum())
+        dw = e.T @ g
+        return [np.outer(g, u) + decay * e, np.stack([-dw, dw], 1) + decay * w, np.array([-total, total])]
+
+
 def probability(words: list[str], model: tuple[np.ndarray, float], s: Settings) -> float:
     z = model[1]
     if words:

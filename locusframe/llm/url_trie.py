@@ -14,6 +14,9 @@ from locusframe.llm.common import ascii_lower
 MAX_TRIE_RULES, MAX_TRIE_CHARS = 500_000, 32_000_000
 
 
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null or without '://'."""
     u = F.coalesce(url, F.lit(""))
@@ -75,7 +78,7 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     """
     host, path = url_parts(F.col(url_col))
     parts = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rules = [(v, h.lower(), p) for v, h, p in rules]
+    rules = [(v, h.translate(_LOWER), p) for v, h, p in rules]
     if len(rules) > MAX_TRIE_RULES or sum(len(h) + len(p) for _, h, p in rules) > MAX_TRIE_CHARS:
         return _by_join(parts, rules, id_col, default)
     trie = df.sparkSession.sparkContext.broadcast(build_trie(rules))

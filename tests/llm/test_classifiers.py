@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -52,3 +55,93 @@ def test_cumulative_link_gradient():
     y = np.searchsorted([-1.0, 0.5], 2 * x + r.logistic(size=500)).astype(float)
     m = quality.fit([(np.array([1], np.int32), np.array([v], np.float32)) for v in x], y.tolist(), s)
     assert abs(m.weights[1] - 2) < 0.5 and np.abs(m.thresholds - [-1.0, 0.5]).max() < 0.5
+
+
+def fnv_bucket(gram, bits):
+    h = gram[0]
+    for c in gram[1:]:
+        h = (h * 16777619 + c) & 0xFFFFFFFF
+    x = (h ^ (len(gram) * 2654435761 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+    x = (x ^ (x >> 15)) * 0xC2B2AE35 & 0xFFFFFFFF
+    return x >> (32 - bits)
+
+
+def plain_toxicity(text, model, s):
+    words = sorted(set(re.findall(r"\w+", text.lower())))
+    z = model[1]
+    for w in words:
+        b = f"<{w}>".encode()
+        grams = [b[i : i + n] for n in s.grams for i in range(len(b) - n + 1)]
+        z += sum(float(model[0][fnv_bucket(g, s.bits)]) for g in grams) / (len(grams) * math.sqrt(len(words))) if grams else 0
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_scores_against_plain_loops(spark):
+    s = toxicity.Settings(bits=12)
+    r = np.random.default_rng(4)
+    model = (r.normal(size=1 << 12).astype(np.float32), -0.3)
+    texts = ["", "a", "Scumbag and SCUMBAG, ünï-code 12", "x" * 5000, "w " * 30_000 + "tail", "<b> a_b </b>", "漢字" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for g in toxicity.score(df, model, s).collect():
+        assert abs(g.score - plain_toxicity(texts[g.doc_id], model, s)) < 1e-4, g.doc_id
+
+
+def test_toxicity_gradient_by_differences():
+    s = toxicity.Settings(bits=6, dims=3, decay=0.01)
+    r = np.random.default_rng(5)
+    bags = [toxicity.bag(["".join(r.choice(list("abc"), 6)) for _ in range(5)], s) for _ in range(300)]
+    y = (r.random(300) < 0.3).astype(float)
+    data = toxicity._Sample(bags, y)
+    params = [r.normal(size=(64, 3)), r.normal(size=(3, 2)), r.normal(size=2)]
+
+    def loss(p):
+        e, w, b = p
+        total = 0.0
+        for (idx, weight), label, k in zip(bags, y, data.balance):
+            logits = (weight[:, None].astype(float) * e[idx]).sum(axis=0) @ w + b
+            total += k * (np.log(np.exp(logits).sum()) - logits[int(label)])
+        return total + 0.005 * ((e**2).sum() + (w**2).sum())
+
+    for k, g in enumerate(data.gradients(params, 0.01)):
+        for _ in range(6):
+            at = tuple(r.integers(n) for n in params[k].shape)
+            up, down = [p.copy() for p in params], [p.copy() for p in params]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-5, (k, at)
+
+
+def plain_quality(text, model, bits):
+    words = text.split()
+    n, counts = len(words), {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    found = {"bias of length %d" % int(np.log2(n + 1)): 0.5}
+    shapes = {}
+    for w in re.sub(r"\d+", "0", re.sub(r"[^\W\dA_]+", "a", re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", text))).split():
+        shapes[w] = shapes.get(w, 0) + 1
+    for w, k in shapes.items():
+        found["s" + w] = math.sqrt(k / n)
+    for w in counts:
+        found["w" + w.lower()] = 1 / math.sqrt(len(counts))
+    if n:
+        for name, x in (("distinct", len(counts) / n), ("top", max(counts.values()) / n), ("upper", sum(w.isupper() for w in words) / n), ("size", min(1, len(text) / n / 20)), ("lines", min(1, 8 * text.count("\n") / n))):
+            found[f"{name} {int(x * 10)}"] = 1.0
+    z = sum(v * model.weights[zlib.crc32(k.encode()) >> (32 - bits)] for k, v in found.items())
+    tail = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+    return model.grades[0] + sum((b - a) * p for a, b, p in zip(model.grades, model.grades[1:], tail)), tail[-1]
+
+
+def test_quality_scores_against_plain_loops(spark):
+    s = quality.Settings(bits=12)
+    r = np.random.default_rng(6)
+    model = quality.Model([0.0, 1.0, 4.0], r.normal(size=1 << 12), np.array([-0.5, 0.7]))
+    long = "é" * 100
+    texts = ["", "a b", "One TWO three3\n\nOne", "w " * 30_000 + "tail", f"{long}x {long}y", "漢字" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for g in quality.score(df, model, s).collect():
+        want = plain_quality(texts[g.doc_id], model, 12)
+        assert abs(g.expected_grade - want[0]) < 1e-4 and abs(g.tail_probability - want[1]) < 1e-4, g.doc_id
+    # Tokens that differ behind a long common beginning have features of their own.
+    a, b = (set(quality.features(t, s)[0].tolist()) for t in (long + "x", long + "y"))
+    assert a != b
