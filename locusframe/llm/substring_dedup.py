@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import materialise
+from locusframe.llm.common import materialise, pieces, row_keys
 from locusframe.llm.suffix_array import suffix_array
 
 _PRIME = 0x100000001B3
@@ -61,10 +62,11 @@ def sampled_positions(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum, 0) == hashes)
 
 
-_SAMPLES = "name long, ctx long, doc long, sub int, pos int"
-_MARKS = "open boolean, name long, doc long, sub int, pos int"
-_CONTEXTS = "name long, doc long, sub int, start int, bytes binary"
-_RANGES = "doc long, sub int, lo int, hi int, key1 long, key2 long"
+_KEY = "none boolean, doc long, sub long"
+_SAMPLES = f"name long, ctx long, {_KEY}, pos int, again boolean"
+_MARKS = f"open boolean, name long, {_KEY}, pos int"
+_CONTEXTS = f"name long, {_KEY}, start int, bytes binary"
+_RANGES = f"{_KEY}, lo int, hi int, key1 long, key2 long"
 
 
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -78,37 +80,57 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in ddl.split(", ")])
 
 
+def _repeats(ctx: np.ndarray, name: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
+    """Which samples have one of their name and context at an earlier place among these; a place that comes twice is no earlier one."""
+    order = np.argsort(ctx, kind="stable")
+    same = ctx[order][1:] == ctx[order][:-1]
+    several = order[np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))]
+    out = np.zeros(len(ctx), bool)
+    if len(several):
+        several = several[np.lexsort([*(p[several] for p in place[::-1]), name[several], ctx[several]])]
+        new = np.concatenate([[True], (ctx[several][1:] != ctx[several][:-1]) | (name[several][1:] != name[several][:-1])])
+        first = several[np.flatnonzero(new)][np.cumsum(new) - 1]
+        out[several] = np.any([p[several] != p[first] for p in place], axis=0)
+    return out
+
+
 def _sampler(length: int, gram: int) -> Callable:
     reach, schema = length - gram, _schema(_SAMPLES)
 
+    def sampled(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        parts: list[tuple] = []
+        for i, value in enumerate(b.column(3)):
+            text = value.as_buffer() if value.is_valid else b""
+            data = np.frombuffer(text, np.uint8) if text else np.zeros(0, np.uint8)
+            if len(data) < length:
+                continue
+            hashes = window_hash(data, gram)
+            at = sampled_positions(hashes, reach + 1)
+            # The context is hashed as the names of its two ends and its middle, with its lengths at the text's ends.
+            lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, len(data))
+            ctx = np.zeros(len(at), np.uint64)
+            for step in range(0, 2 * length - gram, gram):
+                ctx = (ctx ^ hashes[np.minimum(lo + step, hi - gram)]) * np.uint64(0x9E3779B97F4A7C15)
+                ctx ^= ctx >> np.uint64(29)
+            ctx = (ctx + (at - lo).astype(np.uint64) * np.uint64(1_000_003) + (hi - at).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            parts.append((hashes[at].view(np.int64), ctx.view(np.int64), np.full(len(at), i), at.astype(np.int32)))
+        if not parts:
+            return None
+        name, ctx, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        none, doc, sub = (b.column(k).to_numpy(zero_copy_only=False)[row] for k in range(3))
+        again = _repeats(ctx, name, [none, doc, sub, pos])
+        return _batch([pa.array(x) for x in (name, ctx, none, doc, sub, pos, again)], schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts: list[tuple] = []
-            docs = b.column(0)
-            for i, (sub, value) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
-                text = value.as_buffer() if value.is_valid else b""
-                data = np.frombuffer(text, np.uint8) if text else np.zeros(0, np.uint8)
-                if len(data) < length:
-                    continue
-                hashes = window_hash(data, gram)
-                at = sampled_positions(hashes, reach + 1)
-                # The context is hashed as the names of its two ends and its middle, with its lengths at the text's ends.
-                lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, len(data))
-                ctx = np.zeros(len(at), np.uint64)
-                for step in range(0, 2 * length - gram, gram):
-                    ctx = (ctx ^ hashes[np.minimum(lo + step, hi - gram)]) * np.uint64(0x9E3779B97F4A7C15)
-                    ctx ^= ctx >> np.uint64(29)
-                ctx = (ctx + (at - lo).astype(np.uint64) * np.uint64(1_000_003) + (hi - at).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                parts.append((hashes[at].view(np.int64), ctx.view(np.int64), np.full(len(at), i), np.full(len(at), sub, np.int32), at.astype(np.int32)))
-            if parts:
-                name, ctx, row, sub, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield _batch([pa.array(name), pa.array(ctx), docs.take(pa.array(row)), pa.array(sub), pa.array(pos)], schema)
+        for b in pieces(batches, 5000):
+            if (out := sampled(b)) is not None:
+                yield out
 
     return run
 
 
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by name, ctx and place. The first row of each ctx is open if its name has several ctx; every later row is repeated with all its context."""
+    """Rows come sorted by name, ctx and place. The first row of each ctx is open if its name has several ctx; every later row, and every one marked before, is repeated with all its context."""
     schema = _schema(_MARKS)
     last: tuple | None = None  # the previous row
     first: list[pa.Array] = []  # the first row of its name
@@ -116,17 +138,20 @@ def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(b: pa.RecordBatch, at: np.ndarray, is_open: np.ndarray) -> list[pa.Array]:
         take = pa.array(at)
-        return [pa.array(is_open), *(b.column(k).take(take).cast(schema.field(c).type) for c, k in (("name", 0), ("doc", 2), ("sub", 3), ("pos", 4)))]
+        return [pa.array(is_open), *(b.column(k).take(take).cast(schema.field(c).type) for c, k in (("name", 0), ("none", 2), ("doc", 3), ("sub", 4), ("pos", 5)))]
 
     for b in batches:
+        again = np.flatnonzero(b.column(6).to_numpy(zero_copy_only=False))
+        if len(again):
+            yield pa.RecordBatch.from_arrays(out(b, again, np.zeros(len(again), bool)), schema=schema)
+            b = b.filter(pc.invert(b.column(6)))
         if not b.num_rows:
             continue
-        rows = [b.column(0), b.column(1), b.column(2).fill_null(0), b.column(2).is_null().cast(pa.int8()), b.column(3), b.column(4)]
-        rows = [c.to_numpy(zero_copy_only=False) for c in rows]
+        rows = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
         moved = [np.concatenate([[last is None or r[0] != last[i]], r[1:] != r[:-1]]) for i, r in enumerate(rows)]
         new_name = moved[0]
         new_ctx = new_name | moved[1]
-        same_row = ~(new_ctx | moved[2] | moved[3] | moved[4] | moved[5])
+        same_row = ~np.any([new_ctx, *moved[2:]], axis=0)
         group = np.cumsum(new_name)
         several = np.bincount(group, weights=new_ctx & ~new_name, minlength=group[-1] + 1) > 0
         if several[0] and not told:
@@ -148,10 +173,10 @@ def _cutter(length: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, sub, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).to_pylist(), strict=True):
+            for none, doc, sub, text, marks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 for m in marks:
                     lo = max(0, m["pos"] - reach)
-                    rows.append((m["name"], doc, sub, lo, text[lo : m["pos"] + length]))
+                    rows.append((m["name"], none, doc, sub, lo, text[lo : m["pos"] + length]))
                     if len(rows) == 20_000:
                         yield _batch(list(zip(*rows, strict=True)), schema)
                         rows = []
@@ -197,22 +222,22 @@ def _comparer(length: int, most: int) -> Callable:
     schema = _schema(_RANGES)
 
     def compare(rows: list[tuple]) -> pa.RecordBatch:
-        keys = [(r[1] is None, r[1] or 0, r[2]) for r in rows]
+        keys = [r[1:4] for r in rows]
         ranks = {k: i for i, k in enumerate(sorted(set(keys)))}
-        context, start = repeated_starts([r[4] for r in rows], np.array([ranks[k] for k in keys]), np.array([r[3] for r in rows]), length)
+        context, start = repeated_starts([r[5] for r in rows], np.array([ranks[k] for k in keys]), np.array([r[4] for r in rows]), length)
         order = np.lexsort((start, context))
         context, start = context[order], start[order]
         cut = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (start[1:] > start[:-1] + length)])) if len(start) else np.zeros(0, np.int64)
         last = np.concatenate([cut[1:], [len(start)]]).astype(np.int64) - 1 if len(cut) else cut
         who = [rows[i] for i in context[cut]]
-        return _batch([[r[1] for r in who], [r[2] for r in who], start[cut].astype(np.int32), (start[last] + length).astype(np.int32), [None] * len(who), [None] * len(who)], schema)
+        return _batch([*([r[k] for r in who] for k in (1, 2, 3)), start[cut].astype(np.int32), (start[last] + length).astype(np.int32), [None] * len(who), [None] * len(who)], schema)
 
     def wide(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for _, doc, sub, lo, text in rows:
+        for _, none, doc, sub, lo, text in rows:
             for i in range(len(text) - length + 1):
                 d = hashlib.blake2b(text[i : i + length], digest_size=16).digest()
-                out.append((doc, sub, lo + i, lo + i + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                out.append((none, doc, sub, lo + i, lo + i + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
         return _batch(list(zip(*out, strict=True)), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +246,13 @@ def _comparer(length: int, most: int) -> Callable:
         group: list[tuple] = []  # rows of one name; once it is too large for one array its rows go on as strings
         name, large = None, False
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != name:
                     if large and group:
                         yield wide(group)
                     elif not large:
                         whole += group
-                        size += sum(len(r[4]) for r in group)
+                        size += sum(len(r[5]) for r in group)
                     if size >= SORT_BYTES:
                         yield compare(whole)
                         whole, size = [], 0
@@ -247,7 +272,7 @@ def _comparer(length: int, most: int) -> Callable:
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         out = []
         for doc, text, ranges in zip(*(b.column(i).to_pylist() for i in range(2)), b.column(2).to_pylist(), strict=True):
             text = text or b""
@@ -282,31 +307,39 @@ def substring_dedup(df: DataFrame, length: int = 100, gram: int = 32, id_col: st
     neighbours that share length bytes are compared. Groups of over SORT_CONTEXTS different contexts are joined by a
     128-bit hash of each string instead. No step holds more than one text or one such group.
 
+    Within a task, a sample whose name and context an earlier one there has is known to be repeated before any shuffle,
+    so a frequent passage sends one row a task and context to the group of its name.
+
     Null texts count as empty. Null ids come after all others; rows with the same id are ordered by a hash of their
     text, and rows that repeat both id and text count as one document: each gets the same result. Other columns of df
     are not carried. An empty df gives an empty result.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("sub"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    samples = docs.mapInArrow(_sampler(length, gram), _SAMPLES)
-    marks = samples.repartition("name").sortWithinPartitions("name", "ctx", F.col("doc").asc_nulls_last(), "sub", "pos").mapInArrow(_marker, _MARKS)
+    plain = F.coalesce(F.col(text_col), F.lit(""))
+    keys, _ = row_keys(df, id_col, plain)
+    key = [k.split()[0] for k in _KEY.split(", ")]
+    docs = df.select(F.col(id_col).cast("long").alias("id"), *keys, F.encode(plain, "UTF-8").alias("text"))
+    samples = docs.select(*key, "text").mapInArrow(_sampler(length, gram), _SAMPLES)
+    # Known repeats only pass through, so they are spread by place.
+    spread = F.when(F.col("again"), F.xxhash64("doc", "pos")).otherwise(F.col("name"))
+    marks = samples.repartition(spread).sortWithinPartitions("name", "ctx", *key, "pos").mapInArrow(_marker, _MARKS)
     marks = materialise(marks, "samples")
     reach = length - gram
-    both = [F.col("doc").eqNullSafe(F.col("m_doc")), F.col("sub") == F.col("m_sub")]
 
     def per_doc(rows: DataFrame, *what: str) -> DataFrame:
-        return rows.groupBy(F.col("doc").alias("m_doc"), F.col("sub").alias("m_sub")).agg(F.collect_list(F.struct(*what)).alias("found"))
+        return rows.groupBy(*[F.col(k).alias(f"m_{k}") for k in key]).agg(F.collect_list(F.struct(*what)).alias("found"))
 
+    both = [F.col(k) == F.col(f"m_{k}") for k in key]
     opened = per_doc(marks.where("open"), "name", "pos")
-    contexts = docs.join(opened, both).select("doc", "sub", "text", "found").mapInArrow(_cutter(length, gram), _CONTEXTS)
-    compared = contexts.repartition("name").sortWithinPartitions("name", F.col("doc").asc_nulls_last(), "sub", "start").mapInArrow(_comparer(length, SORT_CONTEXTS), _RANGES)
+    contexts = docs.join(opened, both).select(*key, "text", "found").mapInArrow(_cutter(length, gram), _CONTEXTS)
+    compared = contexts.repartition("name").sortWithinPartitions("name", *key, "start").mapInArrow(_comparer(length, SORT_CONTEXTS), _RANGES)
     compared = materialise(compared, "ranges")
     keyed = compared.where("key1 is not null")
-    place = F.struct(F.col("doc").isNull().alias("n"), "doc", "sub", "lo")
+    place = F.struct(*key, "lo")
     firsts = keyed.groupBy("key1", "key2").agg(F.min(place).alias("first"))
-    later = keyed.join(firsts, ["key1", "key2"]).where(place > F.col("first")).select("doc", "sub", "lo", "hi")
+    later = keyed.join(firsts, ["key1", "key2"]).where(place > F.col("first")).select(*key, "lo", "hi")
     ranges = (
-        marks.where("not open").select("doc", "sub", (F.col("pos") - reach).alias("lo"), (F.col("pos") + length).alias("hi"))
-        .unionAll(compared.where("key1 is null").select("doc", "sub", "lo", "hi")).unionAll(later)
+        marks.where("not open").select(*key, (F.col("pos") - reach).alias("lo"), (F.col("pos") + length).alias("hi"))
+        .unionAll(compared.where("key1 is null").select(*key, "lo", "hi")).unionAll(later)
     )
-    out = docs.join(per_doc(ranges, "lo", "hi"), both, "left").select("doc", "text", "found")
+    out = docs.join(per_doc(ranges, "lo", "hi"), both, "left").select("id", "text", "found")
     return out.mapInArrow(_remover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")

@@ -73,3 +73,25 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed) for r in sd.substring_dedup(df).collect())
     assert got == [(1, 0), (1, 0), (2, len(text))]
     assert sd.substring_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeats_of_rows_in_one_task_and_rows_without_id(spark, parts):
+    r = random.Random(9)
+    text = lambda: " ".join(str(r.randrange(10**6)) for _ in range(40))
+    shared = text()
+    ids = [(1, shared + "!"), (1, shared + "!"), (1, shared + "?"), (2, text() + "*" + shared), (3, text())]
+    none = [(None, text() + chr(65 + i) + shared) for i in range(30)]  # no two have the same byte before the passage
+    none += [(None, text()) for _ in range(30)]
+    none += [none[0], none[40]]
+    got = sd.substring_dedup(spark.createDataFrame(ids + none, "doc_id long, text string").repartition(parts)).collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.doc_id, []).append(g)
+    assert len(got) == len(ids) + len(none)
+    # Of the two texts of id 1 one comes first, by a hash; its two rows, or its one, keep everything.
+    assert sorted(g.n_removed for g in by[1]) in ([0, 0, len(shared)], [0, len(shared), len(shared)])
+    assert [g.n_removed for g in by[2]] == [len(shared)] and by[3][0].n_removed == 0
+    # Each text without id loses the shared passage and no other text's ranges; repeats of a whole row are one document.
+    assert sorted(g.n_removed for g in by[None]) == [0] * 31 + [len(shared)] * 31
+    assert {g.kept_sha256 for g in by[None]} == {hashlib.sha256(t.replace(shared, "").encode()).hexdigest() for _, t in none}
