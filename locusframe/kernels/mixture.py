@@ -39,6 +39,24 @@ def log_likelihood(count: np.ndarray, n: np.ndarray, m: Mixture) -> float:
     return float((n * np.log(np.maximum(zero + one + two, _TINY))).sum())
 
 
+def expected_log_likelihood(count: np.ndarray, n: np.ndarray, m: Mixture, zero: np.ndarray, one: np.ndarray) -> tuple[float, np.ndarray]:
+    """What the EM steps bring down, and the test value of each count, for shares zero and one of the first two components.
+
+    The first is minus the sum over rows and components of z * ln(p / z), the second -2 (ln(p2 / z2) - ln(p1 / z1)).
+    Shares and probabilities of 0 count as the smallest positive number.
+    """
+    some = lambda x: np.where(np.asarray(x, float) == 0, _TINY, x)
+    z = [some(zero), some(one), some(1 - np.asarray(zero, float) - np.asarray(one, float))]
+    p0, rest, p1, p2 = (float(some(x)) for x in (m.prob0, 1 - m.prob0, m.prob1, 1 - m.prob1))
+    parts = [p0 * (np.asarray(count) == 0), rest * p1 * np.exp(negative_binomial_log_pmf(count, m.mu1, m.theta1)), rest * p2 * np.exp(negative_binomial_log_pmf(count, m.mu2, m.theta2))]
+    with np.errstate(divide="ignore"):
+        logs = [np.log(p / k) for p, k in zip(parts, z, strict=True)]
+    logs = [np.where(np.isneginf(x), np.log(_TINY), x) for x in logs]
+    third = 1 - z[0] - z[1]
+    total = float((n * (logs[0] * z[0] + logs[1] * z[1] + logs[2] * third)).sum())
+    return -total, -2 * (logs[2] - logs[1])
+
+
 def _theta(count: np.ndarray, weight: np.ndarray, mu: float, lo: float = 1e-3, hi: float = 1e4) -> float:
     """The dispersion of most weighted likelihood at a mean, by golden section in its logarithm."""
     a, b = np.log(lo), np.log(hi)

@@ -131,17 +131,20 @@ def simulate_counts(spark: SparkSession, num: int, m: Mixture, seed: int = 1, ch
     return spark.range(0, -(-num // chunk)).mapInPandas(run, "id long, count long")
 
 
-def q_values(values: DataFrame, column: str) -> DataFrame:
-    """(value, q) for each distinct value in [0, 1], rounded to 6 places (a million values at most), by the tail-area rule."""
+def q_values(values: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in [0, 1] of a column, in order, and the q-value of each by the tail-area rule. More than MAX_COUNTS distinct values raise."""
     from locusframe.kernels.numeric import tail_q_values
 
-    rows = values.where(F.col(column).isNotNull()).groupBy(F.round(F.col(column).cast("double"), 6).alias("value")).agg(F.count("*").alias("n")).orderBy("value").collect()
-    v, n = np.array([r["value"] for r in rows]), np.array([r["n"] for r in rows])
-    q = tail_q_values(v, n) if len(v) else np.zeros(0)
-    return values.sparkSession.createDataFrame(pd.DataFrame({"value": v.astype(float), "q": q.astype(float)}), "value double, q double")
+    rows = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n")).limit(MAX_COUNTS + 1).toArrow()
+    if rows.num_rows > MAX_COUNTS:
+        raise ValueError("too many distinct values")
+    v, n = rows.column("value").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(v)
+    return v[order], tail_q_values(v[order], n[order]) if len(v) else np.zeros(0)
 
 
 def mappable(d: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Rows of d whose q-value of the column is above the threshold."""
-    q = q_values(d, column).where(F.col("q") > threshold).select(F.col("value").alias("__value"))
-    return d.join(q, F.round(F.col(column).cast("double"), 6) == F.col("__value"), "left_semi")
+    """Rows of d whose q-value of the column is above the threshold. q-values never fall as values grow, so these are the rows from some value on."""
+    values, q = q_values(d, column)
+    kept = values[q > threshold]
+    return d.where(F.col(column).cast("double") >= F.lit(float(kept[0])) if len(kept) else F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusframe.operators.matrix import interactions, linear_score, standardise
+
 
 def curve(scored: DataFrame, buckets: int = 256) -> DataFrame:
     """(rank, prec, rec, fpr) for scored (id, score, gs): one step a row, by falling score, ties by id.
@@ -44,3 +46,14 @@ def metrics(scored: DataFrame) -> DataFrame:
     means = c.agg(F.avg(F.when((F.col("rec") >= 0.05) & (F.col("rec") < 0.15), F.col("prec"))).alias("rec10"), F.avg(F.when((F.col("fpr") >= 0.005) & (F.col("fpr") < 0.015), F.col("rec"))).alias("fpr1"))
     pr, roc = area(c, "rec", "prec").withColumnRenamed("area", "aupr"), area(c, "fpr", "rec").withColumnRenamed("area", "auroc")
     return pr.crossJoin(means.select("rec10")).crossJoin(roc).crossJoin(means.select("fpr1"))  # one row each
+
+
+def evaluate(d: DataFrame, weights: dict[str, float], intercept: float, label: str = "gs", id_col: str = "id", products: bool = False) -> DataFrame:
+    """metrics() of a linear model on d: its columns, or with products their pairwise products too, standardised over d, then weighted. A column that is the same everywhere counts 0."""
+    columns = [c for c in weights if " x " not in c]
+    x = interactions(d, columns, [id_col, label]) if products else d.select(id_col, label, *columns)
+    names = [c for c in x.columns if c not in (id_col, label)]
+    plain = x.select(id_col, label, *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)])
+    scaled = standardise(plain, [f"f{i}" for i in range(len(names))], [id_col, label]).na.fill(0.0, [f"f{i}" for i in range(len(names))])
+    scored = linear_score(scaled, {f"f{i}": weights[c] for i, c in enumerate(names) if c in weights}, intercept, [id_col, label])
+    return metrics(scored.select(F.col(id_col).alias("id"), "score", F.col(label).alias("gs")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.kernels.numeric import binomial_cdf
-from locusframe.operators.intervals import overlaps, range_sum
+from locusframe.operators.intervals import overlaps, range_sums
 
 #: Flank widths in site lengths, permutations, and which smallest value is the cutoff.
 FLANK, STRANDED_FLANK, PERMUTATIONS, NTH = 1.75, 2.0, 500, 5
@@ -24,23 +24,19 @@ def with_flanks(sites: DataFrame, factor: float) -> DataFrame:
 
 def flank_counts(sites: DataFrame, signal: DataFrame, width: int = 100) -> DataFrame:
     """(id, cent, count): cuts in the site, and within width of it without the site."""
-    cent = range_sum(sites.select("id", "chrom", "lo", "hi"), signal).withColumnRenamed("total", "cent")
-    wide = range_sum(sites.select("id", "chrom", (F.col("lo") - width).alias("lo"), (F.col("hi") + width).alias("hi")), signal)
-    return wide.join(cent, "id").select("id", "cent", (F.col("total") - F.col("cent")).alias("count"))
+    sums = range_sums(sites, {"cent": ("lo", "hi"), "wide": (F.col("lo") - width, F.col("hi") + width)}, signal)
+    return sums.select("id", "cent", (F.col("wide") - F.col("cent")).alias("count"))
 
 
 def side_totals(sites: DataFrame, left: DataFrame, right: DataFrame, factor: float = FLANK, two_base: bool = True) -> DataFrame:
     """(id, left_total, right_total): sums over the left side [fl, hi) and the right side [lo, fr) of windows of two bases, or one."""
     s = with_flanks(sites, factor)
     extra = 1 if two_base else 0
-
-    def total(lo: str, hi: str, signal: DataFrame) -> DataFrame:
-        # The sum of val[i] + val[i + 1] over [lo, hi) is that over [lo, hi - 1] and that over [lo + 1, hi].
-        a = range_sum(s.select("id", "chrom", F.col(lo).alias("lo"), (F.col(hi) - 1).alias("hi")), signal)
-        b = range_sum(s.select("id", "chrom", (F.col(lo) + 1).alias("lo"), F.col(hi).alias("hi")), signal)
-        return a.join(b.withColumnRenamed("total", "next"), "id").select("id", (F.col("total") + extra * F.col("next")).alias("total"))
-
-    return total("fl", "hi", left).withColumnRenamed("total", "left_total").join(total("lo", "fr", right).withColumnRenamed("total", "right_total"), "id")
+    # The sum of val[i] + val[i + 1] over [lo, hi) is that over [lo, hi - 1] and that over [lo + 1, hi].
+    ahead = {"left_total": ("fl", F.col("hi") - 1), "left_next": (F.col("fl") + 1, "hi")}
+    behind = {"right_total": ("lo", F.col("fr") - 1), "right_next": (F.col("lo") + 1, "fr")}
+    sums = range_sums(s, ahead | behind, left) if left is right else range_sums(s, ahead, left).join(range_sums(s, behind, right), "id")
+    return sums.select("id", *[(F.col(f"{x}_total") + extra * F.col(f"{x}_next")).alias(f"{x}_total") for x in ("left", "right")])
 
 
 def footprints(sites: DataFrame, left: DataFrame, right: DataFrame, cutoff: float, factor: float = FLANK, two_base: bool = True, seed: int = 1, stranded: bool = False) -> DataFrame:

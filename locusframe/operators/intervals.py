@@ -15,22 +15,50 @@ def _block(at: str, size: int) -> Column:
 
 
 def range_sum(windows: DataFrame, signal: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, total) for windows (id, chrom, lo, hi): the sum of signal (chrom, pos, val) over [lo, hi]; 0 where there is none.
+    """(id, total) for windows (id, chrom, lo, hi): the sum of signal (chrom, pos, val) over [lo, hi]; 0 where there is none."""
+    return range_sums(windows, {"total": ("lo", "hi")}, signal, block=block)
 
-    Prefix sums: signal points and window edges in one sort, a running sum in each (chrom, block), and the sums of the
-    blocks before added. Linear in windows and points, whatever the windows' width. Exact for whole-number values.
+
+def range_sums(sites: DataFrame, spans: dict[str, tuple[Column | str, Column | str]], signal: DataFrame, values: tuple[str, ...] = ("val",), block: int = BLOCK) -> DataFrame:
+    """The id of each of sites (id, chrom, ...) and, for each span (name: its closed ends), the sum of each value column of signal (chrom, pos, values) in it; 0 where there is none.
+
+    Sums are named by the span, and by span_value if there are several values. All spans and values share one pass:
+    prefix sums over signal points and window edges in one sort, a running sum in each (chrom, block), and the sums of
+    the blocks before added. Linear in spans and points, whatever their width. Exact for whole-number values.
     """
-    points = signal.where("val is not null").select("chrom", F.col("pos").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("val").cast("double").alias("val"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("sign"))
-    edges = windows.select("chrom", F.explode(F.array(F.struct(F.col("hi").cast("long").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("lo") - 1).cast("long").alias("at"), F.lit(-1).alias("sign")))).alias("e"), F.col("id").cast("long").alias("id"))
-    edges = edges.select("chrom", F.col("e.at").alias("at"), F.lit(1).alias("kind"), F.lit(0.0).alias("val"), "id", F.col("e.sign").alias("sign"))
+    names = list(spans)
+    end = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+    points = signal.where(F.coalesce(*values).isNotNull()).select("chrom", F.col("pos").cast("long").alias("at"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("edge"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(values)])
+    # Edges 2i and 2i + 1 are the end of span i and the place before its start.
+    ends = F.array(*[F.struct(at.alias("at"), F.lit(2 * i + j).alias("edge")) for i, n in enumerate(names) for j, at in ((0, end(spans[n][1])), (1, end(spans[n][0]) - 1))])
+    edges = sites.select("chrom", F.explode(ends).alias("e"), F.col("id").cast("long").alias("id")).select("chrom", F.col("e.at").alias("at"), "id", F.col("e.edge").alias("edge"), *[F.lit(0.0).alias(f"v{k}") for k in range(len(values))])
     rows = points.unionAll(edges).withColumn("block", _block("at", block))
-    running = rows.withColumn("upto", F.sum("val").over(W.partitionBy("chrom", "block").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    sums = points.withColumn("block", _block("at", block)).groupBy("chrom", "block").agg(F.sum("val").alias("total"))
+    upto = W.partitionBy("chrom", "block").orderBy("at", F.col("edge").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = rows.select("chrom", "block", "id", "edge", *[F.sum(f"v{k}").over(upto).alias(f"u{k}") for k in range(len(values))]).where("edge is not null")
     # The sum of all blocks before an edge's block: blocks with signal and blocks asked for, in one small running sum.
-    asked = edges.select("chrom", _block("at", block).alias("block")).distinct().select("chrom", "block", F.lit(0.0).alias("total"))
-    before = sums.unionAll(asked).groupBy("chrom", "block").agg(F.sum("total").alias("total"))
-    before = before.withColumn("before", F.coalesce(F.sum("total").over(W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).drop("total")
-    return running.where("kind = 1").join(before, ["chrom", "block"]).groupBy("id").agg(F.sum(F.col("sign") * (F.col("upto") + F.col("before"))).alias("total"))
+    asked = edges.select("chrom", _block("at", block).alias("block"), *[F.col(f"v{k}") for k in range(len(values))]).distinct()
+    sums = points.select("chrom", _block("at", block).alias("block"), *[f"v{k}" for k in range(len(values))]).groupBy("chrom", "block").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(values))])
+    line = W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.unionAll(asked).groupBy("chrom", "block").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(values))])
+    before = before.select("chrom", "block", *[F.coalesce(F.sum(f"v{k}").over(line), F.lit(0.0)).alias(f"b{k}") for k in range(len(values))])
+    total = lambda i, k: F.sum(F.when(F.col("edge") == 2 * i, F.col(f"u{k}") + F.col(f"b{k}")).when(F.col("edge") == 2 * i + 1, -(F.col(f"u{k}") + F.col(f"b{k}"))).otherwise(0.0))
+    return running.join(before, ["chrom", "block"]).groupBy("id").agg(*[total(i, k).alias(n if len(values) == 1 else f"{n}_{v}") for i, n in enumerate(names) for k, v in enumerate(values)])
+
+
+def range_query(windows: DataFrame, signal: DataFrame, clamp: bool = False, block: int = BLOCK) -> DataFrame:
+    """(id, average, size, total) of signal (chrom, pos, val) over windows (id, chrom, lo, hi): size is the window's length, average is total / size.
+
+    clamp moves both ends into [first covered position, last one + 1] of the chromosome first, so a window left of all
+    data becomes its first position. A chromosome without data, and without clamp a window without data, have total 0;
+    windows without length have a null average.
+    """
+    w = windows.select("id", "chrom", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    if clamp:
+        ends = signal.where("val is not null").groupBy("chrom").agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"))
+        into = lambda c: F.when(F.col("first").isNull(), F.col(c)).otherwise(F.greatest("first", F.least(F.col(c), F.col("last")))).cast("long").alias(c)
+        w = w.join(ends, "chrom", "left").select("id", "chrom", into("lo"), into("hi"))
+    size = F.col("hi") - F.col("lo") + 1
+    return w.join(range_sum(w, signal, block), "id").select("id", F.try_divide("total", size).alias("average"), size.alias("size"), "total")
 
 
 def overlaps(left: DataFrame, right: DataFrame, bin_size: int = 1024) -> DataFrame:
@@ -70,12 +98,18 @@ def block_mean(windows: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Blocks wholly inside a window count too.
     """
+    return block_means(windows, blocks, ("val",)).withColumnRenamed("val", "mean")
+
+
+def block_means(windows: DataFrame, blocks: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
+    """The id and the mean of each track, in their order, as block_mean() has it, for blocks (chrom, pos, tracks ...): one pass for all tracks. A position that a track doesn't cover is null in it."""
     w = windows.select("id", "chrom", "lo", "hi")
-    sums = range_sum(w, blocks).select("id", "total")
-    counts = range_sum(w, blocks.select("chrom", "pos", F.lit(1.0).alias("val"))).select("id", F.col("total").alias("covered"))
-    first = blocks.groupBy(F.col("chrom").alias("b_chrom")).agg(F.min("pos").alias("first"))
-    rows = w.join(sums, "id").join(counts, "id").join(first, F.col("chrom") == F.col("b_chrom"), "left")
-    return rows.select("id", F.when(F.col("covered") > 0, F.col("total") / (F.col("hi") - F.col("lo") + 1)).when(F.col("first") < F.col("lo"), F.lit(None)).otherwise(0.0).alias("mean"))
+    counted = blocks.select("chrom", "pos", *tracks, *[F.col(t).isNotNull().cast("int").alias(f"{t}__n") for t in tracks])
+    sums = range_sums(w, {"s": ("lo", "hi")}, counted, (*tracks, *[f"{t}__n" for t in tracks]))
+    first = blocks.groupBy(F.col("chrom").alias("b_chrom")).agg(*[F.min(F.when(F.col(t).isNotNull(), F.col("pos"))).alias(f"{t}__first") for t in tracks])
+    rows = w.join(sums, "id").join(first, F.col("chrom") == F.col("b_chrom"), "left")
+    mean = lambda t: F.when(F.col(f"s_{t}__n") > 0, F.col(f"s_{t}") / (F.col("hi") - F.col("lo") + 1)).when(F.col(f"{t}__first") < F.col("lo"), F.lit(None)).otherwise(0.0).alias(t)
+    return rows.select("id", *[mean(t) for t in tracks])
 
 
 def signal_runs(signal: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -113,11 +147,12 @@ def nearest(points: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFr
     t = targets.select("chrom", F.col("ts").cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.struct(F.col("ts").cast("long").alias("ts"), F.col("info").alias("info")).alias("t"))
     p = points.select("chrom", F.col("mid").cast("long").alias("at"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast(t.schema["t"].dataType).alias("t"))
     rows = t.unionAll(p).withColumn("block", _block("at", block))
-    by = W.partitionBy("chrom", "block").orderBy("at", "kind")
-    rows = rows.withColumn("left", F.last("t", True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("right", F.first("t", True).over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    # Two sorts in each block, each with a running last target: a frame that looks ahead would be walked anew for each row.
+    by = W.partitionBy("chrom", "block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("left", F.last("t", True).over(by.orderBy("at", "kind"))).withColumn("right", F.last("t", True).over(by.orderBy(F.desc("at"), F.desc("kind"))))
     ends = rows.groupBy("chrom", "block").agg(F.max("t").alias("most"), F.min("t").alias("least"))
-    line = W.partitionBy("chrom").orderBy("block")
-    ends = ends.select("chrom", "block", F.max("most").over(line.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min("least").over(line.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    line = W.partitionBy("chrom").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("chrom", "block", F.max("most").over(line.orderBy("block")).alias("before"), F.min("least").over(line.orderBy(F.desc("block"))).alias("after"))
     rows = rows.where("kind = 1").join(ends, ["chrom", "block"]).select("id", "chrom", F.col("at").alias("mid"), F.coalesce("left", "before").alias("left"), F.coalesce("right", "after").alias("right"))
     take_right = F.col("right").isNotNull() & (F.col("left").isNull() | (F.col("mid") - F.col("left.ts") >= F.col("right.ts") - F.col("mid")))
     rows = rows.withColumn("t", F.when(take_right, F.col("right")).otherwise(F.col("left")))

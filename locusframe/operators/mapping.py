@@ -50,6 +50,11 @@ def thresholded(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("value", F.when((F.col("model") != DEFAULT) & (F.col("value") <= LOW), LOW_VALUE).otherwise(F.col("value")))
 
 
+def selected_matrix(y: DataFrame, gamma: float) -> DataFrame:
+    """The matrix that models are fitted on: logs, weighted by row, centred, thresholded."""
+    return thresholded(centred(weighted(log_matrix(y), row_weights(y, gamma))))
+
+
 def symmetric(matrix: DataFrame) -> DataFrame:
     """(high, low, value): the mean of both directions of each pair of different samples."""
     return matrix.where((F.col("model") != F.col("target")) & (F.col("model") != DEFAULT)).groupBy(F.greatest("model", "target").alias("high"), F.least("model", "target").alias("low")).agg(F.avg("value").alias("value"))
@@ -117,64 +122,141 @@ def fitted_pairs(d: pd.DataFrame, features: list[str], c: float) -> pd.DataFrame
 
 
 def best_models(matrix: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(target, model): the model of largest value, ties to the larger name; 'default' where its value is above the best one's over gamma."""
-    models = matrix.where((F.col("model") != DEFAULT) & (F.col("model") != F.col("target"))).groupBy("target").agg(F.max(F.struct("value", "model")).alias("best"))
-    base = matrix.where(F.col("model") == DEFAULT).select(F.col("target").alias("d_target"), F.col("value").alias("base"))
-    return models.join(base, F.col("target") == F.col("d_target"), "left").select("target", F.when(F.col("base") > F.col("best.value") / gamma, DEFAULT).otherwise(F.col("best.model")).alias("model"))
+    """(target, model): the model of largest value; of equal ones that with the largest default value of its own, then the larger name. 'default' where the model's own default value is above its value over gamma."""
+    base = matrix.where(F.col("model") == DEFAULT).select(F.col("target").alias("d_model"), F.col("value").alias("base"))
+    models = matrix.where((F.col("model") != DEFAULT) & (F.col("model") != F.col("target"))).join(base, F.col("model") == F.col("d_model"), "left")
+    best = models.groupBy("target").agg(F.max(F.struct("value", "base", "model")).alias("best"))
+    return best.select("target", F.when(F.col("best.base") > F.col("best.value") / gamma, DEFAULT).otherwise(F.col("best.model")).alias("model"))
+
+
+def _training(cells: pd.DataFrame, out: set[str]) -> tuple[dict, dict]:
+    """The symmetric value of each pair and the default value of each sample from logs of pairs without the samples in out: centred by target, thresholded."""
+    d = cells[~cells["model"].isin(out) & ~cells["target"].isin(out)]
+    v = d["value"] - d.groupby("target")["value"].transform("mean")
+    model, target = d["model"].to_numpy(object), d["target"].to_numpy(object)
+    base = {t: x for m, t, x in zip(model, target, v, strict=True) if m == DEFAULT}
+    sums: dict[tuple, list[float]] = {}
+    for m, t, x in zip(model, target, v, strict=True):
+        if m != DEFAULT and m != t:
+            sums.setdefault((max(m, t), min(m, t)), []).append(LOW_VALUE if x <= LOW else x)
+    return {k: float(np.mean(x)) for k, x in sums.items()}, base
+
+
+def _chosen(fitted: pd.DataFrame, targets: list[str], models: set[str], base: dict, gamma: float) -> list[tuple[str, list[str], float]]:
+    """(target, models, fitted value): the models of largest fitted value, of several those with the largest default value of their own; 'default' where that is above the fitted value over gamma."""
+    out = []
+    for t in targets:
+        mine = fitted[(fitted["high"] == t) | (fitted["low"] == t)]
+        others = np.where(mine["high"] == t, mine["low"], mine["high"])
+        found = [(f, m) for f, m in zip(mine["fitted"], others, strict=True) if m in models]
+        if not found:
+            out.append((t, [], np.nan))
+            continue
+        top = max(f for f, _ in found)
+        best = [m for f, m in found if f == top]
+        own = max(base.get(m, -np.inf) for m in best)
+        best = sorted(m for m in best if base.get(m, -np.inf) == own)
+        out.append((t, [DEFAULT] if own > top / gamma else best, top))
+    return out
 
 
-def cross_validate(pairs: DataFrame, matrix: DataFrame, features: list[str], grid: list[float], folds: int, gamma: float = 1.0, seed: int = 1) -> DataFrame:
-    """(c, target, model, value, base): for each constant and fold, pairs of held-out samples are fitted without their y and the best model of each held-out sample is looked up in the matrix.
+def cross_validate(pairs: DataFrame, matrix: DataFrame, features: list[str], grid: list[float], folds: int, gamma: float = 1.0, seed: int = 1, logs: DataFrame | None = None, held: list[str] | None = None) -> DataFrame:
+    """(c, target, model, fitted, value, base): for each constant and fold, pairs of the fold's samples are fitted without their y, and each of these samples gets a model of the other folds.
 
-    One task for each (c, fold); the pair table, bounded by MAX_PAIRS, and the cells of its pairs go to each.
+    model joins several equally good ones by commas; value is what they reach in the matrix, base what 'default' does.
+    With logs (weighted logs of pairs, not centred) a fold's y are made without its samples; else y of pairs and the
+    default row of the matrix are taken. held names samples that no fold knows and that get no model here. One task for
+    each (c, fold); the pair table, bounded by MAX_PAIRS, and the cells of its pairs go to each.
     """
+    shared, samples = _shared(pairs, matrix, features, logs)
+    rest = [s for s in samples if s not in set(held or [])]
+    order = np.random.default_rng(seed).permutation(len(rest))
+    fold_of = {rest[i]: int(k % folds) for k, i in enumerate(order)}
+    never = set(held or [])
+
+    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
+        c, fold = key
+        mine = sorted(s for s, f in fold_of.items() if f == fold)
+        rows = _mapped(shared.value, features, c, gamma, set(mine) | never, mine)
+        return pd.DataFrame([(c, *r) for r in rows], columns=["c", "target", "model", "fitted", "value", "base"])
+
+    jobs = pairs.sparkSession.createDataFrame([(float(c), f) for c in grid for f in range(folds)], "c double, fold int")
+    return jobs.groupBy("c", "fold").applyInPandas(run, "c double, target string, model string, fitted double, value double, base double")
+
+
+def _shared(pairs: DataFrame, matrix: DataFrame, features: list[str], logs: DataFrame | None):
+    """The broadcast pair table, cells and logs of its samples, and the samples."""
     spark = pairs.sparkSession
     _, _, table = _collected(pairs, features)
     samples = sorted(set(table["high"]) | set(table["low"]))
-    wanted = [*zip(table["high"], table["low"], strict=True), *zip(table["low"], table["high"], strict=True), *((DEFAULT, s) for s in samples)]
+    wanted = [*zip(table["high"], table["low"], strict=True), *zip(table["low"], table["high"], strict=True), *((DEFAULT, s) for s in samples), *((s, s) for s in samples)]
     wanted = spark.createDataFrame(wanted, "model string, target string")  # of each pair a target can get, so the matrix of other samples stays where it is
-    cells = matrix.join(wanted, ["model", "target"], "left_semi").limit(MAX_PAIRS * 4 + 1).toPandas()
-    if len(cells) > MAX_PAIRS * 4:
-        raise ValueError("too many cells of pairs of samples")
-    value = {(m, t): v for m, t, v in zip(cells["model"], cells["target"], cells["value"], strict=True)}
-    order = np.random.default_rng(seed).permutation(len(samples))
-    fold_of = {samples[i]: int(k % folds) for k, i in enumerate(order)}
-    shared = spark.sparkContext.broadcast((table, value, samples, fold_of))
 
-    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-        c, fold = key
-        d, values, names, folds_of = shared.value
-        held = {s for s in names if folds_of[s] == fold}
-        d = d.copy()
-        out = d["high"].isin(held) | d["low"].isin(held)
-        d.loc[out, "y"] = np.nan
-        fitted = fitted_pairs(d, features, c)
-        rows = []
-        for t in sorted(held):
-            mine = fitted[(fitted["high"] == t) | (fitted["low"] == t)]
-            others = np.where(mine["high"] == t, mine["low"], mine["high"])
-            pick = max((f, m) for f, m in zip(mine["fitted"], others, strict=True))[1] if len(mine) else None
-            rows.append((c, t, pick, values.get((pick, t)), values.get((DEFAULT, t))))
-        return pd.DataFrame(rows, columns=["c", "target", "model", "value", "base"])
-
-    jobs = spark.createDataFrame([(float(c), f) for c in grid for f in range(folds)], "c double, fold int")
-    return jobs.groupBy("c", "fold").applyInPandas(run, "c double, target string, model string, value double, base double")
+    def cells(m: DataFrame) -> pd.DataFrame:
+        found = m.join(wanted, ["model", "target"], "left_semi").limit(MAX_PAIRS * 4 + 1).toPandas()
+        if len(found) > MAX_PAIRS * 4:
+            raise ValueError("too many cells of pairs of samples")
+        return found.sort_values(["model", "target"])
+
+    found = cells(matrix)
+    value = {(m, t): v for m, t, v in zip(found["model"], found["target"], found["value"], strict=True)}
+    return spark.sparkContext.broadcast((table, value, None if logs is None else cells(logs))), samples
+
+
+def _mapped(shared: tuple, features: list[str], c: float, gamma: float, out: set[str], targets: list[str]) -> list[tuple]:
+    """(target, model, fitted, value, base) of targets, from a fit without the samples in out, whose models aren't chosen."""
+    table, values, logs = shared
+    d = table.copy()
+    if logs is None:
+        d.loc[d["high"].isin(out) | d["low"].isin(out), "y"] = np.nan
+        base = {t: v for (m, t), v in values.items() if m == DEFAULT and t not in out}
+    else:
+        y, base = _training(logs, out)
+        d["y"] = [y.get(k, np.nan) for k in zip(d["high"], d["low"], strict=True)]
+    fitted = fitted_pairs(d, features, c)
+    models = (set(d["high"]) | set(d["low"])) - out
+    rows = []
+    for t, best, top in _chosen(fitted, targets, models, base, gamma):
+        got = [values[m, t] for m in best if (m, t) in values]
+        rows.append((t, ",".join(best) or None, None if np.isnan(top) else float(top), float(np.mean(got)) if got else None, values.get((DEFAULT, t))))
+    return rows
 
 
 def grid(high: float = 15.0, low: float = 2.0, step: float = 0.2) -> list[float]:
     return [round(high - step * i, 10) for i in range(int(round((high - low) / step)) + 1)]
 
 
-def map_samples(pairs: DataFrame, matrix: DataFrame, features: list[str], constants: list[float] | None = None, folds: int = 8, gamma: float = 1.0) -> tuple[float, DataFrame]:
-    """The constant with the largest gain over 'default' in cross-validation, and the result of each target: fitted choice, own, default, best and mean value."""
-    constants = constants or grid()
-    cv = cross_validate(pairs, matrix, features, constants, folds, gamma)
-    gains = cv.groupBy("c").agg(F.sum(F.col("value") - F.col("base")).alias("gain")).orderBy(F.desc_nulls_last("gain"), "c").first()
-    chosen = cv.where(F.col("c") == gains["c"]).select("target", "model", F.col("value").alias("fitted"))
-    others = matrix.where((F.col("model") != DEFAULT) & (F.col("model") != F.col("target"))).groupBy("target").agg(F.max("value").alias("best"), F.avg("value").alias("expected_random"))
+def best_constant(validated: DataFrame) -> float:
+    """The constant with the largest gain over 'default'; of equal ones the largest, which is tried first."""
+    return float(validated.groupBy("c").agg(F.sum(F.col("value") - F.col("base")).alias("gain")).orderBy(F.desc_nulls_last("gain"), F.desc("c")).first()["c"])
+
+
+def map_samples(pairs: DataFrame, matrix: DataFrame, features: list[str], constants: list[float] | None = None, folds: int | None = 8, gamma: float = 1.0, logs: DataFrame | None = None, held: list[str] | None = None, seed: int = 1) -> tuple[float, DataFrame]:
+    """The constant that gains most over 'default' in cross-validation without the held samples, and each sample's row: target, held_out, model, fitted, value, own, base, random and best.
+
+    The final fit knows all samples but the held ones, and only their models are chosen. value, own, base, random and
+    best are the matrix's values of the chosen model, the sample's own, 'default', one model by a seeded hash, and the
+    best model or 'default'; null where the matrix has none, as for samples that are new. folds None leaves one sample
+    out at a time.
+    """
+    constants, held = constants or grid(), sorted(set(held or []))
+    if folds is None:
+        folds = pairs.select("high").union(pairs.select("low")).distinct().count() - len(held)
+    c = best_constant(cross_validate(pairs, matrix, features, constants, folds, gamma, seed, logs, held))
+    shared, samples = _shared(pairs, matrix, features, logs)
+
+    def run(batches):
+        for _ in batches:
+            yield pd.DataFrame(_mapped(shared.value, features, c, gamma, set(held), samples), columns=["target", "model", "fitted", "value", "base"])
+
+    chosen = pairs.sparkSession.range(0, 1, 1, 1).mapInPandas(run, "target string, model string, fitted double, value double, base double")
+    known = matrix.where(~F.col("model").isin(held)) if held else matrix
+    others = known.where(F.col("model") != F.col("target")).groupBy("target").agg(
+        F.min_by(F.when(F.col("model") != DEFAULT, F.col("value")), F.when(F.col("model") != DEFAULT, F.struct(F.xxhash64(F.lit(seed), "model", "target"), "model"))).alias("random"), F.max("value").alias("best")
+    )
     own = matrix.where(F.col("model") == F.col("target")).select("target", F.col("value").alias("own"))
-    base = matrix.where(F.col("model") == DEFAULT).select("target", F.col("value").alias("base"))
-    return float(gains["c"]), chosen.join(own, "target", "left").join(base, "target", "left").join(others, "target", "left")
+    rows = chosen.join(own, "target", "left").join(others, "target", "left")
+    return c, rows.select("target", F.col("target").isin(held).alias("held_out") if held else F.lit(False).alias("held_out"), "model", "fitted", "value", "own", "base", "random", "best")
 
 
 def gamma_runs(run: Callable[[float], DataFrame], gammas: list[float]) -> DataFrame:

@@ -28,10 +28,23 @@ def derive(d: DataFrame, near: int = 1000, stats_of: DataFrame | None = None) ->
         ((-F.ln("score") - F.col("__mean")) / F.col("__mean")).alias("motif_score"),
         F.when(F.col("__levels") < 2, 1).otherwise((F.col("dtss") < near).cast("int") + 1).alias("tss"),
         (F.col("acces") + 1).alias("acces"), (F.col("footprint") + 1).alias("footprint"),
-        (((F.col("cpg_wr4") > 0.6) & (F.col("gc_w4") > 0.5)).cast("int") + 1).alias("cpg_island"),
+        F.when((F.col("cpg_wr4") > 0.6) & (F.col("gc_w4") > 0.5), 2).otherwise(1).alias("cpg_island"),
     )
 
 
+def finish(d: DataFrame, mappable: DataFrame | None = None, n: int | None = None, seed: int = 1, drop: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of d that are in mappable (motif_id), if given, and complete; n of them by take_sample(), if given; without the columns in drop, such as coordinates."""
+    rows = d if mappable is None else d.join(mappable.select("motif_id"), "motif_id", "left_semi")
+    rows = rows.na.drop("any", subset=[c for c in d.columns if c not in drop])
+    return (rows if n is None else take_sample(rows, n, seed)).drop(*drop)
+
+
+def cut_counts(counts: DataFrame, mappable: DataFrame, one_in: float = 1.0, seed: int = 1) -> DataFrame:
+    """counts (motif_id, cut_count, ...) at mappable sites, and of them one in so many, rounded, without replacement."""
+    kept = counts.join(mappable.select("motif_id"), "motif_id", "left_semi")
+    return kept if one_in == 1 else take_sample(kept, int(kept.count() / one_in + 0.5), seed)
+
+
 def take_sample(d: DataFrame, n: int, seed: int = 1, id_col: str = "motif_id") -> DataFrame:
     """n rows without replacement: those of smallest seeded hash, the same on any partitioning."""
     return d.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)

@@ -37,11 +37,16 @@ def single_cuts(reads: DataFrame, min_mapq: int = 25, cap: int = 50, minus_flag:
     return kept.select("file_row", "rname", "flag", (F.col("pos") + F.when(minus, F.col("rlen") - 1).otherwise(0)).alias("cut"), F.when(minus, "-").otherwise("+").alias("strand"))
 
 
-def duplicate_counts(reads: DataFrame, min_mapq: int = 30) -> DataFrame:
-    """(rname, cut, n): paired cut positions and how many reads share each."""
-    minus = F.col("flag").isin(*MINUS)
-    kept = reads.where((F.col("mapq") >= min_mapq) & F.col("flag").isin(*MINUS, *PLUS))
-    return kept.groupBy("rname", (F.col("pos") + F.when(minus, F.col("rlen") - 5).otherwise(4)).alias("cut")).agg(F.count("*").alias("n"))
+def duplicate_counts(reads: DataFrame, min_mapq: int = 30, minus: tuple[int, ...] = MINUS, plus: tuple[int, ...] = PLUS) -> DataFrame:
+    """(rname, cut, n): cut positions and how many reads share each; by default of paired reads."""
+    back = F.col("flag").isin(*minus)
+    kept = reads.where((F.col("mapq") >= min_mapq) & F.col("flag").isin(*minus, *plus))
+    return kept.groupBy("rname", (F.col("pos") + F.when(back, F.col("rlen") - 5).otherwise(4)).alias("cut")).agg(F.count("*").alias("n"))
+
+
+def single_duplicate_counts(reads: DataFrame, min_mapq: int = 20, minus_flag: int = 16, plus_flag: int = 0) -> DataFrame:
+    """duplicate_counts() of single reads, without those marked as duplicates (is_dup)."""
+    return duplicate_counts(reads.where(F.col("is_dup").cast("int") == 0), min_mapq, (minus_flag,), (plus_flag,))
 
 
 def shifted(reads: DataFrame, above_mapq: int = 30) -> DataFrame:

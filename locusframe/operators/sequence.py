@@ -34,3 +34,24 @@ def sequence_features(sites: DataFrame, windows: tuple[int, ...] = WINDOWS) -> D
         part = F.substr(F.col("seq"), lo, F.greatest(hi - lo + 1, F.lit(0)))
         out += [c.alias(f"{k}_{w}") for k, c in composition(part).items()]
     return sites.select(*out)
+
+
+def with_sequence(sites: DataFrame, chunks: DataFrame, reach: int = max(WINDOWS), piece: int = 4096) -> DataFrame:
+    """sites (id, chrom, lo, hi) as (id, lo, hi, seq): the sequence from lo - reach to hi + reach, clipped to the chromosome, with lo and hi counted in it.
+
+    chunks (chrom, start, seq) are parts of chromosomes of any length, from 1, without gaps. Both sides are cut at
+    multiples of `piece` bases and joined by (chrom, piece), so no row and no task holds a chromosome. Sites beyond their
+    chromosome have an empty sequence.
+    """
+    bin_of = lambda c: F.floor((c - 1) / F.lit(piece)).cast("long")
+    end = F.col("start") + F.length("seq") - 1
+    parts = chunks.where(F.length("seq") > 0).select(F.col("chrom").alias("p_chrom"), "start", "seq", end.alias("end"), F.explode(F.sequence(bin_of(F.col("start")), bin_of(end))).alias("p_bin"))
+    first, last = F.greatest(F.col("start"), F.col("p_bin") * piece + 1), F.least(F.col("end"), (F.col("p_bin") + 1) * piece)
+    parts = parts.select("p_chrom", "p_bin", first.alias("first"), last.alias("last"), F.substr(F.col("seq"), (first - F.col("start") + 1).cast("int"), (last - first + 1).cast("int")).alias("part"))
+    s = sites.select("id", "chrom", "lo", "hi", F.greatest(F.lit(1), F.col("lo") - reach).cast("long").alias("a"), (F.col("hi") + reach).cast("long").alias("b"))
+    wanted = s.where("a <= b").select("id", "chrom", "a", "b", F.explode(F.sequence(bin_of(F.col("a")), bin_of(F.col("b")))).alias("bin"))
+    hit = wanted.join(parts, (F.col("chrom") == F.col("p_chrom")) & (F.col("bin") == F.col("p_bin")) & (F.col("first") <= F.col("b")) & (F.col("last") >= F.col("a")))
+    low = F.greatest("first", "a")
+    cut = F.substr(F.col("part"), (low - F.col("first") + 1).cast("int"), (F.least("last", "b") - low + 1).cast("int"))
+    found = hit.select("id", F.struct(low.alias("at"), cut.alias("cut")).alias("x")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["cut"]), "").alias("seq"))  # bounded by the window
+    return s.join(found, "id", "left").select("id", (F.col("lo") - F.col("a") + 1).cast("int").alias("lo"), (F.col("hi") - F.col("a") + 1).cast("int").alias("hi"), F.coalesce("seq", F.lit("")).alias("seq"))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import accessibility as acc
 from locusframe.operators import curves, footprint, intervals, mapping, matrix, reads, sequence, similarity
+from locusframe.operators import pairs as pairs_of
+from locusframe.scratch import materialise
 from locusframe.testbed import MIXTURE as M
+from locusframe.testbed import SMALL_MIXTURE
 from locusframe.testbed import view, with_views
 
 QUERIES: dict = {}
@@ -84,6 +87,38 @@ def conservation_mean(spark: SparkSession, d: str) -> DataFrame:
     return intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")).select(F.col("id").alias("motif_id"), F.round("mean", 10).alias("cons"))
 
 
+#: The conservation tracks, in the order of their columns.
+TRACKS = ("pc100v", "pc46v", "pc46m", "pc46p", "pp100v", "pp46v", "pp46m", "pp46p")
+_TRACK = lambda k: f"case when (pos + {k}) % 5 < 2 then null else val * {k + 1} end"
+
+
+@query(with_views("select motif_id, " + ", ".join(f"round(case when count(t.{n}) > 0 then sum(t.{n}) / (max(en) - max(st) + 1) when min(f.{n}) < max(st) then null else 0 end, 9) as {n}" for n in TRACKS)
+  + " from motifs m left join t on t.chrom = m.chrom and t.pos between st and en left join f on f.chrom = m.chrom group by 1", "motifs", "blocks",
+  more="t as (select chrom, pos, " + ", ".join(f"{_TRACK(k)} as {n}" for k, n in enumerate(TRACKS)) + " from blocks), f as (select chrom, " + ", ".join(f"min(case when {n} is not null then pos end) as {n}" for n in TRACKS) + " from t group by 1)"))
+def conservation_tracks(spark: SparkSession, d: str) -> DataFrame:
+    blocks = view(spark, d, "blocks").selectExpr("chrom", "pos", *[f"{_TRACK(k)} as {n}" for k, n in enumerate(TRACKS)])
+    out = intervals.block_means(_sites(spark, d), blocks, TRACKS)
+    return out.select(F.col("id").alias("motif_id"), *[F.round(n, 9).alias(n) for n in TRACKS])
+
+
+_RANGE = """select motif_id, round(coalesce(sum(val), 0) / (max(b) - max(a) + 1), 8) as average, max(b) - max(a) + 1 as size, cast(coalesce(sum(val), 0) as double) as total
+  from w left join signal s on s.chrom = w.chrom and s.pos between a and b group by 1"""
+
+
+@query(with_views(_RANGE, "motifs", "signal", more="w as (select motif_id, chrom, st - 100 as a, en + 100 as b from motifs)"))
+def signal_range(spark: SparkSession, d: str) -> DataFrame:
+    out = intervals.range_query(_sites(spark, d, 100), view(spark, d, "signal"))
+    return out.select(F.col("id").alias("motif_id"), F.round("average", 8).alias("average"), "size", "total")
+
+
+@query(with_views(_RANGE, "motifs", "signal", more="""e as (select chrom, min(pos) as lo, max(pos) + 1 as hi from signal group by 1),
+w as (select motif_id, m.chrom, greatest(lo, least(st - 30100, hi)) as a, greatest(lo, least(en + 100, hi)) as b from motifs m join e using (chrom))"""))
+def signal_range_clamped(spark: SparkSession, d: str) -> DataFrame:
+    sites = _sites(spark, d, 100).withColumn("lo", F.col("lo") - 30_000)
+    out = intervals.range_query(sites, view(spark, d, "signal"), clamp=True)
+    return out.select(F.col("id").alias("motif_id"), F.round("average", 8).alias("average"), "size", "total")
+
+
 def _excluded(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "exclusion").select(F.col("chrom").alias("r_chrom"), (F.col("start0") + 1).alias("r_lo"), (F.col("end0") - 1).alias("r_hi"), "name", F.col("strand").alias("r_strand"))
 
@@ -163,6 +198,11 @@ def duplicate_counts(spark: SparkSession, d: str) -> DataFrame:
     return reads.duplicate_counts(view(spark, d, "reads"))
 
 
+@query(with_views("select rname, pos + case when flag = 83 then 31 else 4 end as cut, count(*) as n from reads where mapq >= 20 and is_dup = 0 and flag in (83, 99) group by 1, 2", "reads"))
+def single_duplicate_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reads.single_duplicate_counts(view(spark, d, "reads"), minus_flag=83, plus_flag=99)
+
+
 @query(with_views("select file_row, rname, flag, pos + case when flag in (83, 147) then -5 else 4 end as pos from reads where mapq > 30 and flag in (83, 147, 163, 99)", "reads"))
 def shifted_reads(spark: SparkSession, d: str) -> DataFrame:
     return reads.shifted(view(spark, d, "reads"))
@@ -173,7 +213,8 @@ def pileup(spark: SparkSession, d: str) -> DataFrame:
     return reads.pileup(reads.paired_cuts(view(spark, d, "reads")))
 
 
-def _sequence_sql() -> str:
+def _composition_sql(key: str) -> str:
+    """The columns of each window from w (key, p0, p100, ...)."""
     cols = []
     for w in sequence.WINDOWS:
         n = f"p{w}"
@@ -181,18 +222,38 @@ def _sequence_sql() -> str:
         cpg = f"cast((length({n}) - length(regexp_replace({n}, 'CG|Cg|cG', '', 'g'))) / 2 as double)"
         cols += [f"round({cpg}, 6) as cpg_{w}", f"round(case when {cg} = 0 then -1 else {cpg} * length({n}) / (({cg} / 2) * ({cg} / 2)) end, 6) as ratio_{w}", f"round({cg} / nullif(length({n}), 0), 6) as gc_{w}",
                  f"case when {n} = '' then 5 when regexp_full_match({n}, '[acgt]+') then 3 when regexp_full_match({n}, '[ACGT]+') then 1 else 2 end as class_{w}"]
-    parts = ", ".join(f"substr(seq, greatest(lo - {w}, 1), greatest(least(hi + {w}, length(seq)) - greatest(lo - {w}, 1) + 1, 0)) as p{w}" for w in sequence.WINDOWS)
-    return f"""with s as (select doc_id, regexp_replace(translate(text, 'eaoinrtslu', 'ACGTacgtCG'), '[^ACGTacgt]', '', 'g') as seq from documents),
-t as (select *, length(seq) // 3 + 1 as lo, least(length(seq), length(seq) // 3 + 20) as hi from s), w as (select doc_id, {parts} from t) select doc_id, {', '.join(cols)} from w"""
+    return f"select {key}, {', '.join(cols)} from w"
 
 
-@query(_sequence_sql())
+def _windows_sql(lo: str, hi: str) -> str:
+    return ", ".join(f"substr(seq, greatest({lo} - {w}, 1), greatest(least({hi} + {w}, length(seq)) - greatest({lo} - {w}, 1) + 1, 0)) as p{w}" for w in sequence.WINDOWS)
+
+
+def _rounded(out: DataFrame, key: str) -> DataFrame:
+    return out.select(F.col("id").alias(key), *[(F.round(c, 6) if not c.startswith("class") else F.col(c)).alias(c) for c in out.columns[1:]])
+
+
+@query(f"""with s as (select doc_id, regexp_replace(translate(text, 'eaoinrtslu', 'ACGTacgtCG'), '[^ACGTacgt]', '', 'g') as seq from documents),
+t as (select *, length(seq) // 3 + 1 as lo, least(length(seq), length(seq) // 3 + 20) as hi from s), w as (select doc_id, {_windows_sql('lo', 'hi')} from t) {_composition_sql('doc_id')}""")
 def sequence_features(spark: SparkSession, d: str) -> DataFrame:
     seq = F.regexp_replace(F.translate("text", "eaoinrtslu", "ACGTacgtCG"), "[^ACGTacgt]", "")
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), seq.alias("seq"))
     sites = docs.selectExpr("id", "seq", "cast(length(seq) div 3 + 1 as int) as lo", "cast(least(length(seq), length(seq) div 3 + 20) as int) as hi")
-    out = sequence.sequence_features(sites)
-    return out.select(F.col("id").alias("doc_id"), *[(F.round(c, 6) if not c.startswith("class") else F.col(c)).alias(c) for c in out.columns[1:]])
+    return _rounded(sequence.sequence_features(sites), "doc_id")
+
+
+_SEQ = f"""chr as (select chrom, string_agg(seq, '' order by start) as seq from genome group by 1),
+w as (select motif_id, {_windows_sql('st', 'en')} from (select motif_id, st, en, coalesce(seq, '') as seq from motifs left join chr using (chrom))),
+sq as ({_composition_sql('motif_id')})"""
+
+
+def _site_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.sequence_features(sequence.with_sequence(_sites(spark, d), view(spark, d, "genome")))
+
+
+@query(with_views("select * from sq", "motifs", "genome", more=_SEQ))
+def site_sequence_features(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_site_sequence(spark, d), "motif_id")
 
 
 def _log_pmf(c: str, mu: float, theta: float) -> str:
@@ -218,6 +279,11 @@ def site_calls(spark: SparkSession, d: str) -> DataFrame:
     return acc.call_sites(site_cut_counts(spark, d), M).withColumn("score", F.round("score", 6))
 
 
+def small_site_calls(spark: SparkSession, d: str) -> DataFrame:
+    """site_calls with parameters that fit the smallest tables."""
+    return acc.call_sites(site_cut_counts(spark, d), SMALL_MIXTURE)
+
+
 @query(with_views("select cast(cut_count as bigint) as count, count(*) as n from cuts group by 1", "motifs", "signal", more=_CUTS))
 def count_histogram(spark: SparkSession, d: str) -> DataFrame:
     return acc.histogram(site_cut_counts(spark, d), "cut_count")
@@ -229,45 +295,67 @@ def posterior_sums(spark: SparkSession, d: str) -> DataFrame:
     return acc.posterior_sums(count_histogram(spark, d), M).select(*[F.round(c, 4).alias(c) for c in ("zero", "one", "two")])
 
 
-_FEATURES = ["motif_score", "map", "cons", "dtss", "acces"]
-_MATRIX = f"""{_CALLS}, {_FLANKS}, {_MAP}, {_CONS}, {_TSS}, {_NEAR},
-raw as (select motif_id, m.score, distance as dtss, accessible as acces, case when cent * 10 < flank_count then 1 else 0 end as footprint, map_mean as map, cons, map_mean as cpg_wr4, coalesce(cons, 0) as gc_w4
-  from motifs m join calls using (motif_id) join flanks using (motif_id) join mp using (motif_id) join cons using (motif_id) join near using (motif_id)),
-fm as (select motif_id, dtss, map, cons, (-ln(score) - (select avg(-ln(score)) from raw)) / (select avg(-ln(score)) from raw) as motif_score,
+_FEATURES = ["motif_score", "map", "cons", "dtss", "acces", "repeats", "gc_w1", "cpg_w1"]
+_MATRIX = f"""{_CALLS}, {_FLANKS}, {_MAP}, {_CONS}, {_TSS}, {_NEAR}, {_SEQ},
+raw as (select motif_id, m.score, distance as dtss, accessible as acces, case when cent * 10 < flank_count then 1 else 0 end as footprint, map_mean as map, cons,
+  class_0 as repeats, gc_100 as gc_w1, cpg_100 as cpg_w1, ratio_400 as cpg_wr4, gc_400 as gc_w4
+  from motifs m join calls using (motif_id) join flanks using (motif_id) join mp using (motif_id) join cons using (motif_id) join near using (motif_id) join sq using (motif_id)),
+fm as (select motif_id, dtss, map, cons, repeats, gc_w1, cpg_w1, (-ln(score) - (select avg(-ln(score)) from raw)) / (select avg(-ln(score)) from raw) as motif_score,
   case when (select count(distinct dtss < 1000) from raw) < 2 then 1 when dtss < 1000 then 2 else 1 end as tss, acces + 1 as acces, footprint + 1 as footprint,
   case when cpg_wr4 > 0.6 and gc_w4 > 0.5 then 2 else 1 end as cpg_island from raw)"""
-_ALL = ("motifs", "signal", "maptrack", "blocks", "transcripts")
+_ALL = ("motifs", "signal", "maptrack", "blocks", "transcripts", "genome")
 
 
-def _matrix(spark: SparkSession, d: str) -> DataFrame:
+def _matrix(spark: SparkSession, d: str, m=M) -> DataFrame:
     by = lambda x, *c: x.select(F.col("id").alias("motif_id"), *c)
     parts = [
         view(spark, d, "motifs").select("motif_id", "score"),
         by(_nearest(spark, d), F.col("distance").alias("dtss")),
-        acc.call_sites(site_cut_counts(spark, d), M).select("motif_id", F.col("accessible").alias("acces")),
+        acc.call_sites(site_cut_counts(spark, d), m).select("motif_id", F.col("accessible").alias("acces")),
         by(footprint.flank_counts(_sites(spark, d), view(spark, d, "signal")), (F.col("cent") * 10 < F.col("count")).cast("int").alias("footprint")),
-        by(intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")), F.col("mean").alias("map"), F.col("mean").alias("cpg_wr4")),
-        by(intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")), F.col("mean").alias("cons"), F.coalesce("mean", F.lit(0.0)).alias("gc_w4")),
+        by(intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")), F.col("mean").alias("map")),
+        by(intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")), F.col("mean").alias("cons")),
+        by(_site_sequence(spark, d), *[F.col(a).alias(b) for a, b in (("class_0", "repeats"), ("gc_100", "gc_w1"), ("cpg_100", "cpg_w1"), ("ratio_400", "cpg_wr4"), ("gc_400", "gc_w4"))]),
     ]
-    return matrix.derive(matrix.assemble(parts), stats_of=parts[0].join(parts[1], "motif_id"))
+    # Written once: means and rows, and whatever standardises the result, read it again.
+    return matrix.derive(materialise(matrix.assemble(parts), "features"))
 
 
-@query(with_views("select motif_id, dtss, round(map, 6) as map, round(cons, 10) as cons, round(motif_score, 6) as motif_score, tss, acces, footprint, cpg_island from fm", *_ALL, more=_MATRIX))
+@query(with_views("select motif_id, dtss, round(map, 6) as map, round(cons, 10) as cons, repeats, round(gc_w1, 6) as gc_w1, cpg_w1, round(motif_score, 6) as motif_score, tss, acces, footprint, cpg_island from fm", *_ALL, more=_MATRIX))
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _matrix(spark, d).select("motif_id", "dtss", F.round("map", 6).alias("map"), F.round("cons", 10).alias("cons"), F.round("motif_score", 6).alias("motif_score"), "tss", "acces", "footprint", "cpg_island")
+    return _matrix(spark, d).select("motif_id", "dtss", F.round("map", 6).alias("map"), F.round("cons", 10).alias("cons"), "repeats", F.round("gc_w1", 6).alias("gc_w1"), "cpg_w1", F.round("motif_score", 6).alias("motif_score"), "tss", "acces", "footprint", "cpg_island")
+
+
+@query()
+def feature_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table as models get it: mappable sites, complete rows, a seeded sample of 500."""
+    rows = _matrix(spark, d, SMALL_MIXTURE)
+    return matrix.finish(rows, _mappable_sites(spark, d), 500)
+
+
+@query()
+def sampled_cut_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Cut counts of a quarter of the mappable sites."""
+    return matrix.cut_counts(site_cut_counts(spark, d), _mappable_sites(spark, d), 4)
+
+
+def _mappable_sites(spark: SparkSession, d: str) -> DataFrame:
+    # The fixture's mappability ends at 0.78, that of genomes at 1.
+    m = intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")).select(F.col("id").alias("motif_id"), F.least(F.col("mean") * 1.28, F.lit(1.0)).alias("mean"))
+    return acc.mappable(m, "mean", 0.05)
 
 
 _PRODUCTS = ", ".join(f'round(cast({a} * {b} as double), 8) + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
 
 
-@query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null and acces is not null", *_ALL, more=_MATRIX))
+@query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null and acces is not null and dtss is not null and gc_w1 is not null", *_ALL, more=_MATRIX))
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     out = matrix.interactions(_matrix(spark, d).na.drop("any"), _FEATURES, ["motif_id"])
     return out.select("motif_id", *[(F.round(F.col(f"`{c}`").cast("double"), 8) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
 
 
-_Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null and acces is not null)"
-_WEIGHTS = {"motif_score": 0.4, "map": 0.2, "cons": 0.7, "dtss": -0.3, "acces": 1.1}
+_Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null and acces is not null and dtss is not null and gc_w1 is not null)"
+_WEIGHTS = {"motif_score": 0.4, "map": 0.2, "cons": 0.7, "dtss": -0.3, "acces": 1.1, "repeats": -0.1, "gc_w1": 0.25, "cpg_w1": 0.15}
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
@@ -368,12 +456,22 @@ def pair_binary_x(spark: SparkSession, d: str) -> DataFrame:
     return mapping.binary_similarity(view(spark, d, "pairs_x"), 0.5)
 
 
-@query(with_views("""select b.target, case when n.value > b.value / 0.95 then 'default' else b.model end as model from
-  (select * from pc where model <> 'default' and model <> target qualify row_number() over (partition by target order by value desc, model desc) = 1) b left join (select target, value from pc where model = 'default') n using (target)""", "pairs_y", more=f"{_LOG}, {_PC}"))
+@query(with_views("""select target, case when base > value / 0.95 then 'default' else model end as model from
+  (select x.*, n.value as base from pc x left join pc n on n.model = 'default' and n.target = x.model where x.model <> 'default' and x.model <> x.target
+   qualify row_number() over (partition by x.target order by x.value desc, n.value desc nulls last, x.model desc) = 1)""", "pairs_y", more=f"{_LOG}, {_PC}"))
 def best_model_per_target(spark: SparkSession, d: str) -> DataFrame:
     return mapping.best_models(mapping.centred(mapping.log_matrix(_y(spark, d))), 0.95)
 
 
+_PS = f"""{_LOG}, {_PW}, lw as (select lm.model, target, value * coalesce(weight, 1) as value from lm left join pw using (model)),
+ps as (select x.model, x.target, case when x.model <> 'default' and x.value - m <= -2 then -300 else x.value - m end as value from lw x join (select target, avg(value) as m from lw group by 1) using (target))"""
+
+
+@query(with_views("select model, target, round(value, 8) as value from ps", "pairs_y", more=_PS))
+def pair_training_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.selected_matrix(_y(spark, d), 0.9).withColumn("value", F.round("value", 8))
+
+
 @query("select a.n_name as model, b.n_name as target, a.n_name >= b.n_name as similarity from nation a, nation b")
 def sample_pairs(spark: SparkSession, d: str) -> DataFrame:
     return mapping.sample_pairs(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("sample")))
@@ -389,10 +487,16 @@ def _regions(spark: SparkSession, d: str) -> list[str]:
     return sorted(r[0] for r in spark.read.parquet(f"{d}/region.parquet").select("r_name").collect())
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    cells = mapping.centred(mapping.log_matrix(_y(spark, d)))
-    names = _regions(spark, d)
-    return mapping.assemble(mapping.binary_similarity(view(spark, d, "pairs_x"), 0.5), mapping.symmetric(cells), names), cells, names
+#: Weight of rows that gain little, and the factor by which a model has to beat the score alone.
+_GAMMA = 0.9
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    """Features and training values of pairs, the matrix that results are read from, feature names, and the weighted logs."""
+    y, names = _y(spark, d), _regions(spark, d)
+    similar = mapping.binary_similarity(view(spark, d, "pairs_x"), 0.5)
+    pairs = mapping.assemble(similar, mapping.symmetric(mapping.selected_matrix(y, _GAMMA)), names)
+    return pairs, mapping.centred(mapping.log_matrix(y)), names, mapping.weighted(mapping.log_matrix(y), mapping.row_weights(y, _GAMMA))
 
 
 @query()
@@ -432,8 +536,7 @@ def similarity_pvalues(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fdr_filter(spark: SparkSession, d: str) -> DataFrame:
-    m = intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")).select(F.col("id").alias("motif_id"), "mean")
-    return acc.mappable(m, "mean", 0.5)
+    return _mappable_sites(spark, d)
 
 
 @query()
@@ -450,17 +553,57 @@ def l1_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def robust_fit(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _, names = _pairs(spark, d)
+    pairs, _, names, _ = _pairs(spark, d)
     return mapping.robust_fit(pairs, names, 4.685)
 
 
 @query()
 def mapping_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    pairs, cells, names = _pairs(spark, d)
-    return mapping.cross_validate(pairs, cells, names, mapping.grid(), 8)
+    pairs, cells, names, logs = _pairs(spark, d)
+    return mapping.cross_validate(pairs, cells, names, mapping.grid(), 8, _GAMMA, 1, logs)
 
 
 @query()
 def sample_mapping(spark: SparkSession, d: str) -> DataFrame:
-    pairs, cells, names = _pairs(spark, d)
-    return mapping.map_samples(pairs, cells, names)[1]
+    """Every eighth sample is held out: mapped without its performance being known."""
+    pairs, cells, names, logs = _pairs(spark, d)
+    held = [r[0] for r in spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 8 = 3").select("n_name").collect()]
+    return mapping.map_samples(pairs, cells, names, gamma=_GAMMA, logs=logs, held=held)[1]
+
+
+_MAPPED = """known as (select * from pc where model not in (select n_name from nation where n_nationkey % 8 = 3))
+select n_name as target, n_nationkey % 8 = 3 as held_out, round(o.value, 8) as own, round(b.value, 8) as base, round(k.best, 8) as best
+from nation left join pc o on o.model = n_name and o.target = n_name left join pc b on b.model = 'default' and b.target = n_name
+left join (select target, max(value) as best from known where model <> target group by 1) k on k.target = n_name"""
+
+
+@query(with_views(_MAPPED.partition("select n_name")[1] + _MAPPED.partition("select n_name")[2], "pairs_y", more=f"{_LOG}, {_PC}, " + _MAPPED.partition("select n_name")[0]))
+def sample_mapping_known(spark: SparkSession, d: str) -> DataFrame:
+    """What sample_mapping reads from the matrix, whatever the fit: own, default and best value of each target."""
+    return sample_mapping(spark, d).select("target", "held_out", *[F.round(c, 8).alias(c) for c in ("own", "base", "best")])
+
+
+_E = [f"embedding[{i}]" for i in range(1, 5)]
+_OWN = pairs_of.LinearModel({"a": 0.7, "b": -0.2, "c": 0.4}, 0.1)
+_OTHER = pairs_of.LinearModel({"a": 0.3, "c": -0.9}, -0.2)
+
+
+def _performance_sql() -> str:
+    tables, rows = [], []
+    for i, m in enumerate((_OWN, _OTHER, None)):
+        score = "d * acces" if m is None else f"{m.intercept} + " + " + ".join(f"{w} * coalesce(({c} - avg({c}) over ()) / nullif(stddev_samp({c}) over (), 0), 0)" for c, w in m.weights.items())
+        tables.append(f"""s{i} as (select vec_id as id, {score} as score, gs from v), r{i} as (select *, row_number() over (order by score desc, id) as rank from s{i}),
+k{i} as (select rank, sum(gs) over (order by rank) as hits, (select sum(gs) from v) as p, (select count(*) from v) as n from r{i}),
+c{i} as (select rank, hits / rank as prec, hits / p as rec, (rank - hits) / (n - p) as fpr from k{i}), e{i} as (select rank, prec, rec, fpr from c{i} union all select 0, prec, 0, 0 from c{i} where rank = 1),
+l{i} as (select *, lag(rec) over (order by rank) as r0, lag(prec) over (order by rank) as p0, lag(fpr) over (order by rank) as f0 from e{i})""")
+        for k, x in enumerate((f"select sum((rec - r0) * (prec + p0) / 2) from l{i}", f"select avg(prec) from e{i} where rec >= 0.05 and rec < 0.15", f"select sum((fpr - f0) * (rec + r0) / 2) from l{i}", f"select avg(rec) from e{i} where fpr >= 0.005 and fpr < 0.015")):
+            rows.append(f"select 'one' as model, 'two' as target, {1 + k + 4 * i} as metric, round(({x}), 6) as value")
+    columns = ", ".join(f"cast({e} as double) as {c}" for e, c in zip(_E, "abcd", strict=True))
+    return f"with v as (select vec_id, {columns}, label % 2 as acces, case when label = 0 then 1 else 0 end as gs from embeddings),\n" + ",\n".join(tables) + "\n" + " union all ".join(rows)
+
+
+@query(_performance_sql())
+def pair_performance(spark: SparkSession, d: str) -> DataFrame:
+    columns = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abcd")]
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), *columns, (F.col("label") % 2).alias("acces"), (F.col("label") == 0).cast("int").alias("gs"))
+    return pairs_of.performance_rows("one", "two", v, _OWN, _OTHER, score="d").withColumn("value", F.round("value", 6))

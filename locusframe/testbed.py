@@ -11,6 +11,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Parameters of the mixture that fixed-parameter queries score with.
 MIXTURE = Mixture(mu1=700.0, theta1=5.0, mu2=1400.0, theta2=8.0, prob0=0.01, prob1=0.85)
 
+#: The same for the smallest tables, whose windows hold a tenth of the counts.
+SMALL_MIXTURE = Mixture(mu1=110.0, theta1=6.0, mu2=260.0, theta2=12.0, prob0=0.01, prob1=0.85)
+
+#: Stands where DuckDB's regexp_replace needs a flag to replace all matches, as Spark's does without.
+ALL = "/*all*/"
+
 VIEWS = {
     "motifs": """select o_orderkey as motif_id, concat('chr', cast(o_custkey % 5 + 1 as varchar(9))) as chrom,
        (o_orderkey*6151) % 50021 + 201 as st, (o_orderkey*6151) % 50021 + 210 + o_custkey % 16 as en,
@@ -38,6 +44,8 @@ VIEWS = {
        (p_partkey - p_partkey % 5)*10 + 1000 + (o.l_linenumber - 1)*5 + r_regionkey as pos,
        cast((p_partkey + o.l_linenumber*3 + r_regionkey) % 64 as double) / 64E0 as val
 from part cross join (select distinct l_linenumber from lineitem where l_linenumber <= 7) o cross join region""",
+    "genome": """select chrom, cast(1 + coalesce(sum(length(seq)) over (partition by chrom order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, seq
+       from (select doc_id, concat('chr', cast(doc_id % 5 + 1 as varchar(9))) as chrom, regexp_replace(translate(text, 'eaoinrtslu', 'ACGTacgtCG'), '[^ACGTacgt]', ''/*all*/) as seq from documents)""",
     "pairs_y": """select a.n_name as model, b.n_name as target, m.metric,
        cast((a.n_nationkey*7 + b.n_nationkey*13 + m.k*29) % 97 + 1 as double) / 100E0 as value
 from nation a cross join nation b cross join (select r_regionkey + 1 as metric, r_regionkey as k from region
@@ -57,5 +65,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str, more: str = "") -> str:
     """sql after the views it reads, and further common tables."""
-    parts = [f"{n} as ({VIEWS[n]})" for n in names]
+    parts = [f"{n} as ({VIEWS[n].replace(ALL, ", 'g'")})" for n in names]
     return "with " + ",\n".join([*parts, more] if more else parts) + "\n" + sql

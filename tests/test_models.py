@@ -110,7 +110,9 @@ def test_cross_validation_has_all_cells_of_its_pairs(spark, monkeypatch):
 
 
 def test_best_model_ties_and_default(spark):
-    cells = [("a", "t", 1.0), ("b", "t", 1.0), ("default", "t", 0.5), ("a", "u", 0.1), ("default", "u", 0.9), ("u", "u", 5.0)]
-    got = mapping.best_models(spark.createDataFrame(cells, "model string, target string, value double")).collect()
-    assert sorted(map(tuple, got)) == [("t", "b"), ("u", "default")]
+    # Of equal models the one whose own default is larger; 'default' if that beats the model's value over gamma.
+    cells = [("a", "t", 1.0), ("b", "t", 1.0), ("default", "a", 0.95), ("default", "b", 0.5), ("a", "u", 0.1), ("b", "u", 0.05), ("default", "u", -9.0), ("u", "u", 5.0), ("b", "v", 0.6), ("c", "v", 0.6)]
+    table = spark.createDataFrame(cells, "model string, target string, value double")
+    assert sorted(map(tuple, mapping.best_models(table).collect())) == [("t", "a"), ("u", "default"), ("v", "b")]
+    assert sorted(map(tuple, mapping.best_models(table, 1.3).collect())) == [("t", "default"), ("u", "default"), ("v", "default")]
     assert len(mapping.grid()) == 66

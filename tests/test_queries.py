@@ -2,9 +2,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from locusframe.operators import mapping
+from locusframe.kernels.numeric import tail_q_values
+from locusframe.operators import accessibility, mapping
 from locusframe.plans.queries import ORACLES, QUERIES
 from locusframe.testbed import TABLES
 
@@ -21,7 +24,7 @@ def duck():
 
 def rows(df, columns):
     def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         return round(float(v), 7) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
@@ -59,4 +62,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).columns == ["motif_id", "cut_count", "score", "accessible"]
+    calls = e.entry(spark)
+    assert calls.columns == ["motif_id", "cut_count", "score", "accessible"]
+    assert {r[0] for r in calls.select("accessible").distinct().collect()} == {0, 1}
+
+
+def test_mappable_rows_are_those_above_the_threshold(spark):
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.random(300), r.random(200) ** 6, np.zeros(5)])
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(999, None)], "id long, m double")
+    distinct, n = np.unique(values, return_counts=True)
+    q = dict(zip(distinct, tail_q_values(distinct, n)))
+    for threshold in (0.0, 0.3, 0.6, 2.0):
+        assert {x.id for x in accessibility.mappable(d, "m", threshold).collect()} == {i for i, v in enumerate(values) if q[v] > threshold}
+    assert len({t: 1 for t in q.values()}) > 10
