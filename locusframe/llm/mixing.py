@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import materialise
 
 #: Rows of one sorted bucket, about; sections of the exponent tried in one pass; rows of budgets and of bucket sums that are broadcast.
-BUCKET_ROWS, SECTIONS, BROADCAST_SOURCES = 20_000, 64, 200_000
+BUCKET_ROWS, SECTIONS, BROADCAST_SOURCES = 5_000, 64, 200_000
 
 
 def n_tokens(text: str = "text") -> Column:
