@@ -1,6 +1,7 @@
 """Readers of the field's text and binary formats, as DataFrames with explicit row ids.
 
-Text lines keep the order of the file in `line`, which holds within a file: readers that need it read each file in one split.
+Text lines keep the order of the file in `line`, which holds within a file. Files are read in splits; line numbers, headers
+and positions are carried from split to split by small tables.
 """
 
 from __future__ import annotations
@@ -11,16 +12,57 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value): lines with their number in the file; gz and bz2 files are read too."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
-    from pyspark.sql import Window as W
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, split, at, value): lines with their file, the offset of their split in it, and a number that grows along each split."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _before(splits: DataFrame, value: Column) -> Column:
+    """The sum of value over a file's splits before each; splits has one row a split."""
+    return F.coalesce(F.sum(value).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
 
-    return lines.select("file", F.row_number().over(W.partitionBy("file").orderBy("start", "at")).cast("long").alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): lines with their number in the file; gz and bz2 files are read too.
+
+    Numbers run along each split from the lines counted in the splits before, so no file is sorted or read by one task
+    unless its compression needs that.
+    """
+    lines = _lines(spark, path)
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("base"))
+    splits = splits.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), (_before(splits, F.col("n")) - F.col("base") + 1).alias("add"))
+    return lines.join(splits, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split"))).select("file", (F.col("at") + F.col("add")).alias("line"), "value")
+
+
+def _under_headers(spark: SparkSession, path: str | list[str], header: Column, size: Column | None = None) -> DataFrame:
+    """(file, split, header, place, value): lines that aren't blank nor headers, under the last header above them, with the sum of `size` (1 a line by default) over the lines since.
+
+    Headers and sums are carried along each split, and from split to split in a small table; so a block may be longer
+    than any row or task.
+    """
+    rows = _lines(spark, path).where(F.trim("value") != "").withColumn("header", header).withColumn("size", F.when(F.col("header").isNull(), F.lit(1).cast("long") if size is None else size.cast("long")).otherwise(0))
+    along = W.partitionBy("file", "split").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("nth", F.count("header").over(along)).withColumn("own", F.last("header", True).over(along))
+    under = W.partitionBy("file", "split", "nth").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(under), F.lit(0)))
+    # Of each split: its last header, and the size of what stands under it, or of the whole split without one.
+    tails = rows.groupBy("file", "split", "nth").agg(F.max("own").alias("own"), F.sum("size").alias("tail"))
+    ends = tails.groupBy("file", "split").agg(F.max(F.struct("nth", "own", "tail")).alias("x")).select("file", "split", "x.*")
+    line = W.partitionBy("file").orderBy("split")
+    ends = ends.withColumn("run", F.count("own").over(line))
+    carried = ends.select(F.col("file").alias("e_file"), F.col("split").alias("e_split"), F.last("own", True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("outer"), F.sum("tail").over(W.partitionBy("file", "run").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("same_run"), F.lag("run").over(line).alias("run_before"), "run", "tail")
+    # What stands before a split under the header carried into it: the tails since the split of that header, which begins a run.
+    sums = ends.groupBy(F.col("file").alias("r_file"), F.col("run").alias("r_run")).agg(F.sum("tail").alias("whole"))
+    carried = carried.join(sums, (F.col("e_file") == F.col("r_file")) & (F.col("run_before") == F.col("r_run")), "left")
+    carry = F.when(F.col("run_before") == F.col("run"), F.col("same_run")).otherwise(F.col("whole"))
+    carried = carried.select("e_file", "e_split", "outer", F.coalesce(carry, F.lit(0)).alias("carry"))
+    rows = rows.join(carried, (F.col("file") == F.col("e_file")) & (F.col("split") == F.col("e_split"))).where(F.col("header").isNull())
+    return rows.select("file", "split", F.coalesce("own", "outer").alias("header"), (F.col("inside") + F.when(F.col("nth") == 0, F.col("carry")).otherwise(0)).alias("place"), "value").where("header is not null")
 
 
 def _cells(value: str = "value", sep: str = "\t") -> Column:
@@ -44,20 +86,20 @@ def gff_ranges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith("#")).selectExpr("split(value, '\t')[0] as chrom", "try_cast(get(split(value, '\t'), 3) as long) as lo", "try_cast(get(split(value, '\t'), 4) as long) as hi")
 
 
-def variable_step(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos, val) of variableStep wiggle text: the chromosome after the header's last '='; values are stored as floats."""
-    blocks = spark.read.text(path, lineSep="variableStep ").where(F.col("value").contains("chrom="))
-    lines = blocks.select(F.split("value", "\n").alias("l")).select(F.element_at(F.split(F.element_at("l", 1), "="), -1).alias("chrom"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row"))
-    return lines.where(F.trim("row") != "").selectExpr("trim(chrom) as chrom", r"try_cast(split(trim(row), '\\s+')[0] as long) as pos", r"try_cast(try_cast(get(split(trim(row), '\\s+'), 1) as float) as double) as val")
+def variable_step(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chrom, pos, val) of variableStep wiggle text: the chromosome after the header's last '='; values are stored as floats. Other headers end a block."""
+    v = F.trim("value")
+    rows = _under_headers(spark, path, F.when(v.rlike("^[A-Za-z#]"), v)).where(F.col("header").startswith("variableStep") & F.col("header").contains("chrom="))
+    return rows.selectExpr("trim(element_at(split(header, '='), -1)) as chrom", r"try_cast(split(trim(value), '\\s+')[0] as long) as pos", r"try_cast(try_cast(get(split(trim(value), '\\s+'), 1) as float) as double) as val")
 
 
-def fixed_step(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, block_start, pos, val) of fixedStep wiggle text."""
-    blocks = spark.read.text(path, lineSep="fixedStep ").where(F.col("value").contains("start="))
-    part = blocks.select(F.split("value", "\n").alias("l")).withColumn("h", F.element_at("l", 1))
-    field = lambda k: F.regexp_extract("h", rf"{k}=(\S+)", 1)
-    rows = part.select(field("chrom").alias("chrom"), field("start").cast("long").alias("block_start"), F.when(field("step") == "", 1).otherwise(F.expr("try_cast(regexp_extract(h, 'step=(\\\\S+)', 1) as long)")).alias("step"), F.posexplode(F.filter(F.slice("l", F.lit(2), F.size("l")), lambda x: F.trim(x) != "")).alias("i", "v"))
-    return rows.select("chrom", "block_start", (F.col("block_start") + F.col("i") * F.col("step")).alias("pos"), F.expr("cast(try_cast(trim(v) as float) as double)").alias("val"))
+def fixed_step(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chrom, block_start, pos, val) of fixedStep wiggle text. Other headers end a block."""
+    v = F.trim("value")
+    rows = _under_headers(spark, path, F.when(v.rlike("^[A-Za-z#]"), v)).where(F.col("header").startswith("fixedStep") & F.col("header").contains("start="))
+    field = lambda k: F.regexp_extract("header", rf"{k}=(\S+)", 1)
+    start = field("start").try_cast("long")
+    return rows.select(field("chrom").alias("chrom"), start.alias("block_start"), (start + F.col("place") * F.coalesce(F.nullif(field("step"), F.lit("")).try_cast("long"), F.lit(1))).alias("pos"), v.try_cast("float").cast("double").alias("val"))
 
 
 def bed_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +115,6 @@ def bed6_values(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _last_of(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
     return rows.withColumn("nth", F.row_number().over(W.partitionBy("chrom", "lo", "hi").orderBy(F.desc("line")))).where("nth = 1").drop("nth", "line")
 
 
@@ -97,10 +137,19 @@ def ref_gene(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("tx_start is not null and tx_end is not null and gene is not null")
 
 
+def fasta_chunks(spark: SparkSession, path: str | list[str], piece: int = 4096) -> DataFrame:
+    """(chrom, start, seq): parts of about `piece` bases of each sequence, from 1, without gaps; the name is the first word of the header, case is kept."""
+    v = F.trim("value")
+    rows = _under_headers(spark, path, F.when(v.startswith(">"), v), F.length(v))
+    rows = rows.select("file", "split", F.regexp_extract("header", r"^>\s*(\S+)", 1).alias("chrom"), (F.col("place") + 1).alias("at"), v.alias("line"))
+    parts = rows.groupBy("file", "split", "chrom", F.floor(F.col("at") / piece).alias("k")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))  # bounded by a piece and a line
+    return parts.select("chrom", F.col("x")[0]["at"].alias("start"), F.array_join(F.transform("x", lambda x: x["line"]), "").alias("seq"))
+
+
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(chrom, seq): the first word of each header, and its lines joined; case is kept."""
-    rows = spark.read.text(path, lineSep=">").where(F.trim("value") != "").select(F.split("value", "\n").alias("l"))
-    return rows.select(F.element_at(F.split(F.element_at("l", 1), r"\s+"), 1).alias("chrom"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.trim(x)), "").alias("seq"))
+    """(chrom, seq): whole sequences, one a row; for those that a row can hold."""
+    chunks = fasta_chunks(spark, path).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("x"))
+    return chunks.select("chrom", F.array_join(F.transform("x", lambda x: x["seq"]), "").alias("seq"))
 
 
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import struct
 
 import pytest
@@ -31,6 +32,42 @@ def test_wiggles(spark, here):
     assert sorted(map(tuple, readers.fixed_step(spark, p).collect())) == [("chr1", 10, 10, 0.5), ("chr1", 10, 12, 0.25), ("chr1", 100, 100, 1.0)]
 
 
+@pytest.mark.parametrize("size", [64, 700, 1 << 20])
+def test_files_in_splits(spark, here, size):
+    """Headers, places and line numbers go on over splits of any size."""
+    r = random.Random(size)
+    wig, want_v, want_f = ["track name=x"], [], []
+    for c in range(12):
+        if c % 2:
+            wig.append(f"variableStep chrom=chr{c}")
+            for p in range(1, r.randint(1, 60)):
+                wig.append(f"{p * 3} {p}.5" if p % 7 else f" {p * 3}  {p}.5")
+                want_v.append((f"chr{c}", p * 3, p + 0.5))
+        else:
+            wig.append(f"fixedStep chrom=chr{c} start={c + 1} step=2")
+            for p in range(r.randint(1, 60)):
+                wig += [""] if p % 11 == 5 else []
+                wig.append(f"{p}.25")
+                want_f.append((f"chr{c}", c + 1, c + 1 + 2 * p, p + 0.25))
+    seqs = {f"s{i}": "".join(r.choice("ACGTN") for _ in range(r.randint(1, 900))) for i in range(6)}
+    fa = "\n".join(f">{n} words\n" + "\n".join(s[i : i + 50] for i in range(0, len(s), 50)) for n, s in seqs.items())
+    w, f = put(here / "x.wig", "\n".join(wig) + "\n"), put(here / "x.fa", fa)
+    options = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        lines = readers.numbered_lines(spark, w).collect()
+        assert [x.value for x in sorted(lines, key=lambda x: x.line)] == wig and {x.line for x in lines} == set(range(1, len(wig) + 1))
+        assert sorted(map(tuple, readers.variable_step(spark, w).collect())) == sorted(want_v)
+        assert sorted(map(tuple, readers.fixed_step(spark, w).collect())) == sorted(want_f)
+        assert dict(map(tuple, readers.fasta(spark, f).collect())) == seqs
+        for x in readers.fasta_chunks(spark, f, 100).collect():
+            assert seqs[x.chrom][x.start - 1 :].startswith(x.seq) and len(x.seq) <= 200
+    finally:
+        for k in options:
+            spark.conf.unset(k)
+
+
 def test_interval_files(spark, here):
     p = put(here / "a.bg", "chr1\t0\t5\t0.5\nbad\trow\nchr1\tx\t9\t1\nchr2\t3\t4\t2\n")
     assert sorted(map(tuple, readers.bed_graph(spark, p).collect())) == [("chr1", 0, 5, 0.5), ("chr2", 3, 4, 2.0)]
