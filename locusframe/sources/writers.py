@@ -21,9 +21,10 @@ def score_table(scores: DataFrame, path: str, id_col: str = "motif_id") -> None:
     scores.repartitionByRange(id_col).sortWithinPartitions(id_col).write.csv(path, sep="\t", compression="gzip", nullValue="NA")
 
 
-def cut_sites(cuts: DataFrame, path: str) -> None:
-    """Cut sites in coordinate order."""
-    cuts.repartitionByRange("rname", "cut").sortWithinPartitions("rname", "cut").write.parquet(path)
+def cut_sites(cuts: DataFrame, path: str, by_strand: bool = False) -> None:
+    """Cut sites, with whatever columns of their reads cuts has, in coordinate order; in a folder for each strand if asked for."""
+    rows = cuts.repartitionByRange("rname", "cut").sortWithinPartitions("rname", "cut").write
+    (rows.partitionBy("strand") if by_strand else rows).parquet(path)
 
 
 def pair_matrix(pairs: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ import pytest
 
 from locusframe.kernels.numeric import tail_q_values
 from locusframe.operators import accessibility, mapping
-from locusframe.plans.queries import ORACLES, QUERIES
+from locusframe.plans.files import ORACLES, QUERIES
 from locusframe.testbed import TABLES
 
 SF = "/root/testdata/sf0.001"
