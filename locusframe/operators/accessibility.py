@@ -28,18 +28,27 @@ def _steps(mu: float, theta: float) -> Column:
     return F.when(F.col("count") == 0, F.lit(theta * math.log(theta / (theta + mu)))).otherwise(F.ln((k - 1 + theta) / F.when(k > 0, k).otherwise(1.0)) + math.log(mu / (mu + theta)))
 
 
-def score_grid(top: DataFrame, m: Mixture, column: str = "top") -> DataFrame:
-    """(count, l1, l2, score) for counts from 0 to the one value in top: log densities as running sums, and the log-likelihood ratio."""
-    grid = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col(column).cast("long"))).alias("count"))
-    upto = W.partitionBy(F.lit(0)).orderBy("count").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row a possible count, not one a site
-    grid = grid.select("count", F.sum(_steps(m.mu1, m.theta1)).over(upto).alias("l1"), F.sum(_steps(m.mu2, m.theta2)).over(upto).alias("l2"))
+def score_grid(top: DataFrame, m: Mixture, column: str = "top", block: int = 1 << 16) -> DataFrame:
+    """(count, l1, l2, score) for counts from 0 to the one value in top: log densities as running sums, and the log-likelihood ratio.
+
+    Sums run in blocks of counts, with those of the blocks before added, so the largest count sizes no row and no task.
+    """
+    first = F.col("block") * block
+    blocks = top.select(F.col(column).cast("long").alias("top")).where("top >= 0").select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / block))).alias("block"))
+    steps = blocks.select("block", F.explode(F.sequence(first, F.least(first + block - 1, F.col("top")))).alias("count")).select("block", "count", _steps(m.mu1, m.theta1).alias("s1"), _steps(m.mu2, m.theta2).alias("s2"))
+    before = steps.groupBy("block").agg(F.sum("s1").alias("b1"), F.sum("s2").alias("b2"))
+    line = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    before = before.select("block", *[F.coalesce(F.sum(b).over(line), F.lit(0.0)).alias(b) for b in ("b1", "b2")])
+    upto = W.partitionBy("block").orderBy("count").rowsBetween(W.unboundedPreceding, W.currentRow)
+    grid = steps.select("block", "count", F.sum("s1").over(upto).alias("s1"), F.sum("s2").over(upto).alias("s2")).join(F.broadcast(before), "block")
+    grid = grid.select("count", (F.col("s1") + F.col("b1")).alias("l1"), (F.col("s2") + F.col("b2")).alias("l2"))
     return grid.withColumn("score", F.col("l2") - F.col("l1") + F.lit(math.log((1 - m.prob1) / m.prob1)))
 
 
 def cutoff(grid: DataFrame) -> DataFrame:
     """(cutoff): the least count of 1 or more with a score above ln 2 and above the score before it; null if there is none."""
-    before = F.lag("score").over(W.partitionBy(F.lit(0)).orderBy("count"))
-    return grid.withColumn("before", before).where((F.col("count") >= 1) & (F.col("score") > math.log(2)) & (F.col("score") > F.col("before"))).agg(F.min("count").alias("cutoff"))
+    before = grid.select((F.col("count") + 1).alias("count"), F.col("score").alias("before"))
+    return grid.join(before, "count").where((F.col("count") >= 1) & (F.col("score") > math.log(2)) & (F.col("score") > F.col("before"))).agg(F.min("count").alias("cutoff"))
 
 
 def repaired(grid: DataFrame, m: Mixture) -> DataFrame:

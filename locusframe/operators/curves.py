@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from locusframe.operators.matrix import interactions, linear_score, standardise
 
 
+def range_cuts(d: DataFrame, column: str, buckets: int) -> DataFrame:
+    """One row: cuts, ascending values that deal the rows of d to about `buckets` ranges of like size."""
+    return d.agg(F.percentile_approx(column, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
+
+
 def curve(scored: DataFrame, buckets: int = 256) -> DataFrame:
     """(rank, prec, rec, fpr) for scored (id, score, gs): one step a row, by falling score, ties by id.
 
-    Rows are dealt to buckets by score range; ranks and running hits are those within the bucket plus the counts of the
-    buckets above, so no task sorts everything.
+    Rows are dealt to buckets by score range, and rows whose score is a range's end, such as one that many share, by
+    ranges of the id too if that is a number; ranks and running hits are those within the bucket plus the counts of the
+    buckets above, so no task sorts everything, nor all rows of one score.
     """
-    cuts = scored.agg(F.percentile_approx("score", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
-    rows = scored.crossJoin(F.broadcast(cuts))  # one row
-    rows = rows.withColumn("bucket", F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("score")))).drop("cuts")
-    inside = W.partitionBy("bucket").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("r", F.count("*").over(inside)).withColumn("hits", F.sum("gs").over(inside))
-    totals = scored.crossJoin(F.broadcast(cuts)).groupBy(F.size(F.filter(F.array_distinct("cuts"), lambda c: c > F.col("score"))).alias("b")).agg(F.count("*").alias("n"), F.sum("gs").alias("p"))
-    above = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows
-    totals = totals.select("b", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"), F.sum("n").over(W.partitionBy()).alias("n_all"), F.sum("p").over(W.partitionBy()).alias("p_all"))
-    rows = rows.join(F.broadcast(totals), F.col("bucket") == F.col("b"))
-    rank, hits = F.col("r") + F.col("n_above"), F.col("hits") + F.col("p_above")
+    by_id = isinstance(scored.schema["id"].dataType, NumericType)
+    ids = range_cuts(scored, "id", 64) if by_id else scored.sparkSession.range(1).select(F.array().cast("array<long>").alias("cuts"))
+    cuts = range_cuts(scored, "score", buckets).select(F.array_distinct("cuts").alias("cuts")).crossJoin(ids.select(F.col("cuts").alias("id_cuts")))
+    above_score = F.size(F.filter("cuts", lambda c: c > F.col("score")))
+    part = F.when(F.array_contains("cuts", F.col("score")), 1 + F.size(F.filter("id_cuts", lambda c: c < F.col("id")))).otherwise(0)
+    rows = scored.crossJoin(F.broadcast(cuts)).select("id", "score", "gs", above_score.alias("bucket"), (part if by_id else F.lit(0)).alias("part"))  # cuts is one row
+    totals = rows.groupBy(F.col("bucket").alias("b"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("gs").alias("hits"))
+    inside = W.partitionBy("bucket", "part").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.select("bucket", "part", F.count("*").over(inside).alias("r"), F.sum("gs").over(inside).alias("h"))
+    above = W.orderBy("b", "p").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
+    whole = W.partitionBy()
+    totals = totals.select("b", "p", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("p_above"), F.sum("n").over(whole).alias("n_all"), F.sum("hits").over(whole).alias("p_all"))
+    rows = rows.join(F.broadcast(totals), (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
+    rank, hits = F.col("r") + F.col("n_above"), F.col("h") + F.col("p_above")
     return rows.select(rank.alias("rank"), (hits / rank).alias("prec"), F.try_divide(hits, F.col("p_all")).alias("rec"), F.try_divide(rank - hits, F.col("n_all") - F.col("p_all")).alias("fpr"))
 
 

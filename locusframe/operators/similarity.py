@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.kernels.numeric import chi_square_p, kolmogorov_p, ks_statistic
+from locusframe.operators.curves import range_cuts
 
 #: Features with at most so many distinct values over both samples are categorical.
 CATEGORIES = 6
@@ -22,7 +23,8 @@ BUCKET_VALUES, BLOCK_DRAWS, GROUP_DRAWS = 200_000, 50_000, 1_000_000
 def ks(values: DataFrame) -> DataFrame:
     """(ks) of (value, side), side 0 or 1: the largest distance of the two distribution functions, over counts of distinct values."""
     steps = values.where("value is not null").groupBy("value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    buckets = steps.withColumn("bucket", F.floor(F.col("value") * 16))  # running counts in a value range, plus those of the ranges below
+    cuts = range_cuts(steps, "value", 256)  # running counts in a value range, plus those of the ranges below
+    buckets = steps.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")  # one row
     inside = W.partitionBy("bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = buckets.groupBy("bucket").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     below = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,14 @@ def test_tied_predictions_and_no_step_in_range(spark):
     assert m.rec10 is None and m.fpr1 is None and 0 <= m.auroc <= 1
     monotone = curves.metrics(d.withColumn("score", F.exp("score") * 3)).first()
     assert monotone == m
+
+
+def test_curve_of_scores_that_many_rows_share(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice([0.5, 0.5, 0.5, r.random()]), int(r.random() < 0.3)) for i in r.sample(range(10_000), 900)]
+    got = sorted(map(tuple, curves.curve(spark.createDataFrame(rows, "id long, score double, gs int"), 16).collect()))
+    hits, want, total = 0, [], sum(g for _, _, g in rows)
+    for k, (_, _, g) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1):
+        hits += g
+        want.append((k, hits / k, hits / total, (k - hits) / (len(rows) - total)))
+    assert np.allclose(got, want)
