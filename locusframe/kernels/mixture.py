@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 
-from locusframe.kernels.numeric import negative_binomial_log_pmf
+from locusframe.kernels.numeric import log_gamma, negative_binomial_log_pmf
 
-_TINY = 5e-324
+_TINY = float(np.finfo(float).tiny)
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def expected_log_likelihood(count: np.ndarray, n: np.ndarray, m: Mixture, zero:
     """What the EM steps bring down, and the test value of each count, for shares zero and one of the first two components.
 
     The first is minus the sum over rows and components of z * ln(p / z), the second -2 (ln(p2 / z2) - ln(p1 / z1)).
-    Shares and probabilities of 0 count as the smallest positive number.
+    Shares and probabilities of 0 count as the smallest normal number.
     """
     some = lambda x: np.where(np.asarray(x, float) == 0, _TINY, x)
     z = [some(zero), some(one), some(1 - np.asarray(zero, float) - np.asarray(one, float))]
@@ -61,7 +62,12 @@ def _theta(count: np.ndarray, weight: np.ndarray, mu: float, lo: float = 1e-3, h
     """The dispersion of most weighted likelihood at a mean, by golden section in its logarithm."""
     a, b = np.log(lo), np.log(hi)
     g = (np.sqrt(5) - 1) / 2
-    value = lambda t: float((weight * negative_binomial_log_pmf(count, mu, np.exp(t))).sum())
+    total, first = float(weight.sum()), float((weight * count).sum())
+
+    def value(t: float) -> float:  # without what doesn't depend on the dispersion
+        theta = np.exp(t)
+        return float((weight * log_gamma(count + theta)).sum()) - total * (lgamma(theta) - theta * np.log(theta / (theta + mu))) - first * np.log(theta + mu)
+
     c, d = b - g * (b - a), a + g * (b - a)
     fc, fd = value(c), value(d)
     while b - a > 1e-7:

@@ -7,7 +7,19 @@ from math import lgamma
 
 import numpy as np
 
-_lgamma = np.vectorize(lgamma, otypes=[float])
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function of positive numbers: Stirling's series from 8 on, and the recurrence below that."""
+    x = np.asarray(x, float)
+    low = x < 8
+    y = np.where(low, x + 8, x)
+    r = 1 / (y * y)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / y
+    if low.any():
+        z = np.where(low, x, 1.0)
+        out = np.where(low, out - np.log(np.prod([z + k for k in range(8)], axis=0)), out)
+    return out
+
 
 
 @lru_cache(maxsize=256)
@@ -30,7 +42,7 @@ def binomial_cdf(k: np.ndarray | float, n: float, p: float) -> np.ndarray:
 
 def negative_binomial_log_pmf(count: np.ndarray, mu: float, theta: float) -> np.ndarray:
     c = np.asarray(count, float)
-    return _lgamma(c + theta) - lgamma(theta) - _lgamma(c + 1) + theta * np.log(theta / (theta + mu)) + c * np.log(mu / (mu + theta))
+    return log_gamma(c + theta) - lgamma(theta) - log_gamma(c + 1) + theta * np.log(theta / (theta + mu)) + c * np.log(mu / (mu + theta))
 
 
 def kolmogorov_p(d: float, n: int, m: int) -> float:

@@ -60,9 +60,10 @@ def footprints(sites: DataFrame, left: DataFrame, right: DataFrame, cutoff: floa
     def points(signal: DataFrame, name: str) -> DataFrame:
         w = called.select("id", "chrom", F.col("fl").alias("lo"), (F.col("fr") + 1).alias("hi"))
         r = signal.select(F.col("chrom").alias("r_chrom"), F.col("pos").alias("r_lo"), F.col("pos").alias("r_hi"), F.col("val").cast("double").alias("val"))
-        return overlaps(w, r).groupBy("id").agg(F.collect_list(F.struct(F.col("r_lo").alias("pos"), "val")).alias(name))  # bounded by the window
+        found = overlaps(w, r).groupBy("id").agg(F.collect_list(F.struct(F.col("r_lo").alias("pos"), "val")).alias("x"))  # bounded by the window
+        return found.select("id", F.transform("x", lambda x: x["pos"].cast("long")).alias(f"{name}_at"), F.transform("x", lambda x: x["val"]).alias(name))
 
-    rows = called.join(points(left, "p"), "id", "left").join(points(right, "n"), "id", "left").select("id", "lo", "hi", "fl", "fr", "cent", "cent_r", "count", "p", "n")
+    rows = called.join(points(left, "p"), "id", "left").join(points(right, "n"), "id", "left").select("id", "lo", "hi", "fl", "fr", "cent", "cent_r", "count", "p_at", "p", "n_at", "n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -76,14 +77,14 @@ def _test(r, two_base: bool, seed: int) -> tuple:
     lo, hi, fl, fr = int(r.lo), int(r.hi), int(r.fl), int(r.fr)
     size = hi - lo + 1
 
-    def steps(points, a: int, b: int) -> np.ndarray:
+    def steps(at, values, a: int, b: int) -> np.ndarray:
         v = np.zeros(b - a + 1)
-        for p in points if points is not None else []:
-            if a <= p["pos"] <= b:
-                v[p["pos"] - a] += p["val"]
+        if at is not None:
+            inside = (at >= a) & (at <= b)
+            np.add.at(v, at[inside] - a, values[inside])
         return v[:-1] + v[1:] if two_base else v[:-1]
 
-    left, right = steps(r.p, fl, hi), steps(r.n, lo, fr)
+    left, right = steps(r.p_at, r.p, fl, hi), steps(r.n_at, r.n, lo, fr)
     pl, pr = size / (hi + 1 - fl), size / (fr + 1 - lo)
     fos = float(binomial_cdf(r.cent, left.sum(), pl) * binomial_cdf(r.cent_r, right.sum(), pr))
     rng = np.random.default_rng([seed, int(r.id) & 0xFFFFFFFF])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.operators import accessibility as acc
-from locusframe.operators import curves, footprint, intervals, mapping, matrix, reads, sequence, similarity
+from locusframe.operators import curves, footprint, intervals, mapping, matrix, reads, sequence, similarity, training
 from locusframe.operators import pairs as pairs_of
 from locusframe.scratch import materialise
 from locusframe.testbed import MIXTURE as M
@@ -522,6 +522,12 @@ def footprint_calls(spark: SparkSession, d: str) -> DataFrame:
     return footprint.footprints(_sites(spark, d), s, s, cutoff=1500.0)
 
 
+@query(with_views("select motif_id, flank_count as count, case when flank_count >= 1500 then 1e0 else 0e0 end as acces from flanks", "motifs", "signal", more=_FLANKS))
+def footprint_calls_known(spark: SparkSession, d: str) -> DataFrame:
+    """What footprint_calls knows without its permutations."""
+    return footprint_calls(spark, d).select(F.col("id").alias("motif_id"), "count", "acces")
+
+
 @query()
 def footprint_calls_stranded(spark: SparkSession, d: str) -> DataFrame:
     s = view(spark, d, "signal")
@@ -541,14 +547,10 @@ def fdr_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def l1_fit(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     terms = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0])]
-    e = e.select((F.col("label") == 0).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(t) for i, t in enumerate(terms)])
-    model = LogisticRegression(elasticNetParam=1.0, regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=terms, outputCol="features").transform(e))
-    return spark.createDataFrame([(f"x{i}", float(c)) for i, c in enumerate(model.coefficients)] + [("intercept", float(model.intercept))], "term string, coefficient double")
+    model = training.l1_logistic(e.select((F.col("label") == 0).cast("int").alias("gs"), *[F.get("embedding", F.lit(i)).alias(t) for i, t in enumerate(terms)]), terms)
+    return spark.createDataFrame([*model.weights.items(), ("intercept", model.intercept)], "term string, coefficient double")
 
 
 @query()

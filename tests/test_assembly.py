@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.kernels import mixture
+from locusframe.kernels import mixture, numeric
 from locusframe.kernels.mixture import Mixture
 from locusframe.operators import accessibility as acc
-from locusframe.operators import curves, mapping, matrix, pairs, sequence
+from locusframe.operators import curves, mapping, matrix, pairs, sequence, training
 
 M = Mixture(5.0, 2.0, 40.0, 3.0, 0.1, 0.7)
 
@@ -19,6 +19,12 @@ def nb(k, mu, theta):
     return math.exp(math.lgamma(k + theta) - math.lgamma(theta) - math.lgamma(k + 1) + theta * math.log(theta / (theta + mu)) + k * math.log(mu / (mu + theta)))
 
 
+def test_log_gamma():
+    x = np.concatenate([np.geomspace(1e-6, 1e6, 400), np.arange(1, 20)])
+    want = np.array([math.lgamma(v) for v in x])
+    assert np.allclose(numeric.log_gamma(x), want, rtol=1e-12, atol=1e-12)
+
+
 def test_both_values_of_the_likelihood():
     count, n = np.array([0, 1, 30]), np.array([4.0, 2.0, 1.0])
     z = mixture.posteriors(count, M)
@@ -167,3 +173,15 @@ def test_command_line(spark, capsys):
 
     assert main([]) == 0 and "nearest_gene" in capsys.readouterr().out
     assert main(["no_such_query", "a", "b"]) == 2
+
+
+def test_sparse_training(spark):
+    r = np.random.default_rng(7)
+    x = pd.DataFrame({"a": r.normal(3, 2, 800), "b": r.normal(size=800), "c": r.normal(size=800)})
+    x["gs"] = ((x.a - 3) / 2 + 0.3 * r.normal(size=800) > 0).astype(int)
+    x["id"] = range(800)
+    d = spark.createDataFrame(x).union(spark.createDataFrame([(None, 1.0, 1.0, 1, 900)], "a double, b double, c double, gs long, id long"))
+    m = training.l1_logistic(d, ["a", "b", "c"], penalty=0.1)
+    assert m.weights["a"] > 0.5 and m.weights["b"] == m.weights["c"] == 0
+    assert curves.evaluate(d.na.drop(), m.weights, m.intercept).first().auroc > 0.95
+    assert set(training.l1_logistic(d, ["a", "b"], products=True).weights) == {"a", "b", "a x a", "a x b", "b x b"}
