@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from locusframe.operators.matrix import interactions, linear_score, standardise
-
 
 def range_cuts(d: DataFrame, column: str, buckets: int) -> DataFrame:
     """One row: cuts, ascending values that deal the rows of d to about `buckets` ranges of like size."""
@@ -62,9 +62,11 @@ def metrics(scored: DataFrame) -> DataFrame:
 def evaluate(d: DataFrame, weights: dict[str, float], intercept: float, label: str = "gs", id_col: str = "id", products: bool = False) -> DataFrame:
     """metrics() of a linear model on d: its columns, or with products their pairwise products too, standardised over d, then weighted. A column that is the same everywhere counts 0."""
     columns = [c for c in weights if " x " not in c]
-    x = interactions(d, columns, [id_col, label]) if products else d.select(id_col, label, *columns)
-    names = [c for c in x.columns if c not in (id_col, label)]
-    plain = x.select(id_col, label, *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)])
-    scaled = standardise(plain, [f"f{i}" for i in range(len(names))], [id_col, label]).na.fill(0.0, [f"f{i}" for i in range(len(names))])
-    scored = linear_score(scaled, {f"f{i}": weights[c] for i, c in enumerate(names) if c in weights}, intercept, [id_col, label])
-    return metrics(scored.select(F.col(id_col).alias("id"), "score", F.col(label).alias("gs")))
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    value |= {f"{a} x {b}": value[a] * value[b] for i, a in enumerate(columns) for b in columns[i:]} if products else {}
+    used = [c for c in weights if c in value]
+    whole = d.agg(*[f(value[c]).alias(f"__{k}{i}") for i, c in enumerate(used) for k, f in (("m", F.avg), ("s", F.stddev_samp))])
+    # One expression for the score: standardised columns of their own would be many, and Spark infers constraints for each.
+    scaled = [F.coalesce(F.try_divide(value[c] - F.col(f"__m{i}"), F.nullif(F.col(f"__s{i}"), F.lit(0.0))), F.lit(0.0)) * F.lit(float(weights[c])) for i, c in enumerate(used)]
+    score = reduce(lambda a, b: a + b, scaled, F.lit(float(intercept)))
+    return metrics(d.crossJoin(F.broadcast(whole)).select(F.col(id_col).alias("id"), score.alias("score"), F.col(label).alias("gs")))  # one row
