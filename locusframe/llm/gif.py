@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -38,16 +39,22 @@ def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return sum(parts)[:size].astype(np.uint8).tobytes()
 
 
+@cache
+def _empty(bits: int) -> list[int]:
+    """The worker's table of codes by (code, sample); whoever uses it leaves it empty."""
+    return [0] * (_ENTRIES << bits)
+
+
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     """The compressing code stream of samples below 2^bits; the table is cleared when it is full."""
     clear = 1 << bits
     following, codes, starts = clear + 2, [clear], [1]
-    put, table = codes.append, {}
-    find, rest = table.get, iter(samples)
+    table, keys = _empty(bits), []
+    put, keep, rest = codes.append, keys.append, iter(samples)
     code = next(rest, None)
     for sample in rest:
-        key = code << 8 | sample
-        longer = find(key)
+        key = code << bits | sample
+        longer = table[key]
         if longer:
             code = longer
             continue
@@ -55,12 +62,17 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
         code = sample
         if following < _ENTRIES:
             table[key] = following
+            keep(key)
             following += 1
         else:
             put(clear)
-            table.clear()
+            for key in keys:
+                table[key] = 0
+            keys.clear()
             following = clear + 2
             starts.append(len(codes))
+    for key in keys:
+        table[key] = 0
     if code is not None:
         put(code)
     put(clear + 1)
@@ -71,51 +83,72 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     return _packed(np.array(codes, np.int64), _widths(bits)[place])
 
 
-def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
-    """The n samples of a code stream. Codes are cut out in blocks, as their widths follow from their number since the last clear code; strings are looked up one by one."""
+def _codes(data: bytes, bits: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """The codes between clear codes, and whether the stream goes on. Widths follow from a code's number since the last clear code, so codes are cut out in blocks."""
     clear = 1 << bits
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, last, since, at, got = list(base), b"", 0, 0, 0
-    out: list[bytes] = []
-    widths = _widths(bits)
-    while got < n:
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    widths, at, since, parts = _widths(bits), 0, 0, []
+    while True:
         w = widths[since : since + _ENTRIES]
         ends = at + np.cumsum(w)
         k = int(np.searchsorted(ends, len(data) * 8, side="right"))
-        if not k:
-            break
         w, ends = w[:k], ends[:k]
         place = ends - w
         byte = place >> 3
         codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7) & ((1 << w) - 1)
         special = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(special[0]) if len(special) else k
-        size = len(table)
-        for code in codes[:stop].tolist():
-            if code < size:
-                word = table[code]
-            elif code == size and last:
-                word = last + last[:1]
-            else:
-                raise ValueError("a code outside the table")
-            if last and size < _ENTRIES:
-                table.append(last + word[:1])
-                size += 1
-            out.append(word)
-            last = word
-        if stop == k:
+        parts.append(codes[:stop])
+        if stop == k and k:
             since, at = min(since + k, _ENTRIES), int(ends[-1])  # beyond a full table all codes have one width
-        elif codes[stop] == clear:
-            table, last, since, at = list(base), b"", 0, int(ends[stop])
-        else:
+            continue
+        on = bool(k) and codes[stop] == clear
+        yield np.concatenate(parts), on
+        if not on:
+            return
+        parts, since, at = [], 0, int(ends[stop])
+
+
+def _strings(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The samples that codes after a clear code stand for.
+
+    The table's entry j is what the codes so far gave from the place of code j on, one sample more than code j's own
+    string. So a code repeats an earlier place: its length is that of code j and one, and each of its samples is that of
+    a place before, or a literal. Both are followed to their literals by doubling.
+    """
+    first = (1 << bits) + 2
+    number = np.arange(len(codes), dtype=np.int32)
+    literal = codes < 1 << bits
+    parent = np.where(literal, number, codes - first).astype(np.int32)
+    if (~literal & (parent >= number)).any():
+        raise ValueError("a code outside the table")
+    size, up = (~literal).astype(np.int32), parent
+    while not ((further := up[up]) == up).all():
+        size, up = size + size[up], further
+    size = size + 1
+    ends = np.cumsum(size)
+    start = (ends - size).astype(np.int32)
+    # Each sample's place in the strings, less that of the place it repeats, is the same for a whole code.
+    back = np.repeat(start - start[parent], size)
+    source = np.arange(ends[-1] if len(codes) else 0, dtype=np.int32) - back
+    while not ((further := source[source]) == source).all():
+        source = further
+    out = np.zeros(len(source), np.uint8)
+    out[start[literal]] = codes[literal]
+    return out[source]
+
+
+def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
+    """The first n samples of a code stream."""
+    parts, got = [], 0
+    for codes, _ in _codes(data, bits):
+        parts.append(_strings(codes, bits))
+        got += len(parts[-1])
+        if got >= n:
             break
-        out = [b"".join(out)]
-        got = len(out[0])
-    samples = np.frombuffer(b"".join(out)[:n], np.uint8)
-    if len(samples) < n:
+    if got < n:
         raise ValueError("a code stream that ends early")
-    return samples
+    return np.concatenate(parts)[:n]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -196,9 +229,12 @@ def read(data: bytes) -> tuple[int, int, list[Frame]]:
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
         pixels = pixels[: area.shape[0], : area.shape[1]]
-        shown = np.ones(pixels.shape, bool) if clear is None else pixels != clear
-        area[shown, :3] = palette[pixels[shown]]
-        area[shown, 3] = 255
+        colours = np.full((max(256, len(palette)), 4), 255, np.uint8)
+        colours[: len(palette), :3] = palette
+        if clear is None:
+            area[:] = colours[pixels]
+        else:
+            area[:] = np.where((pixels != clear)[..., None], colours[pixels], area)
         frames.append(Frame(left, top, w, h, delay, disposal, canvas.copy()))
         if disposal == 2:
             area[:] = 0

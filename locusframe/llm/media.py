@@ -69,8 +69,8 @@ def text_to_gif(data: bytes) -> bytes:
 
 def histogram(pixels: np.ndarray) -> np.ndarray:
     """Counts of each of _BINS shades of red, green and blue, of pixels that aren't transparent."""
-    seen = pixels[pixels[..., 3] > 0]
-    return np.concatenate([np.bincount(seen[:, c] >> 4, minlength=_BINS) for c in range(3)])
+    seen = pixels.reshape(-1, 4) if pixels[..., 3].all() else pixels[pixels[..., 3] > 0]
+    return np.concatenate([np.bincount(seen[:, c], minlength=256).reshape(_BINS, -1).sum(axis=1) for c in range(3)])
 
 
 def gif_columns(media: bytes) -> tuple[bytes, list[dict], str]:
