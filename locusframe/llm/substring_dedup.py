@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ def sampled_positions(hashes: np.ndarray, width: int) -> np.ndarray:
 _KEY = "none boolean, doc long, sub long"
 _SAMPLES = f"name long, ctx long, {_KEY}, pos int, again boolean"
 _MARKS = f"open boolean, name long, {_KEY}, pos int"
-_CONTEXTS = f"name long, {_KEY}, start int, bytes binary"
+_CONTEXTS = f"name long, {_KEY}, start int, at int, bytes binary"
 _RANGES = f"{_KEY}, lo int, hi int, key1 long, key2 long"
 
 
@@ -82,7 +83,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 def _repeats(ctx: np.ndarray, name: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
     """Which samples have one of their name and context at an earlier place among these; a place that comes twice is no earlier one."""
-    order = np.argsort(ctx, kind="stable")
+    order = np.argsort(ctx)
     same = ctx[order][1:] == ctx[order][:-1]
     several = order[np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))]
     out = np.zeros(len(ctx), bool)
@@ -176,7 +177,7 @@ def _cutter(length: int, gram: int) -> Callable:
             for none, doc, sub, text, marks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 for m in marks:
                     lo = max(0, m["pos"] - reach)
-                    rows.append((m["name"], none, doc, sub, lo, text[lo : m["pos"] + length]))
+                    rows.append((m["name"], none, doc, sub, lo, m["pos"] - lo, text[lo : m["pos"] + length]))
                     if len(rows) == 20_000:
                         yield _batch(list(zip(*rows, strict=True)), schema)
                         rows = []
@@ -195,8 +196,8 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray,
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes + 1)
     data = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8)
-    of = np.repeat(np.arange(len(contexts)), sizes + 1)
-    symbols = data.astype(np.int64) + 1
+    of = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes + 1)
+    symbols = data.astype(np.int32) + 1
     symbols[ends - 1] = 257 + np.arange(len(contexts))
     order = suffix_array(symbols)
     order = order[order + length < ends[of[order]]]
@@ -218,13 +219,13 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray,
     return context[later], start[later]
 
 
-def _comparer(length: int, most: int) -> Callable:
-    schema = _schema(_RANGES)
+def _comparer(length: int, gram: int, most: int) -> Callable:
+    schema, half = _schema(_RANGES), (length - gram + 1) // 2
 
     def compare(rows: list[tuple]) -> pa.RecordBatch:
         keys = [r[1:4] for r in rows]
         ranks = {k: i for i, k in enumerate(sorted(set(keys)))}
-        context, start = repeated_starts([r[5] for r in rows], np.array([ranks[k] for k in keys]), np.array([r[4] for r in rows]), length)
+        context, start = repeated_starts([r[6] for r in rows], np.array([ranks[k] for k in keys]), np.array([r[4] for r in rows]), length)
         order = np.lexsort((start, context))
         context, start = context[order], start[order]
         cut = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (start[1:] > start[:-1] + length)])) if len(start) else np.zeros(0, np.int64)
@@ -234,7 +235,7 @@ def _comparer(length: int, most: int) -> Callable:
 
     def wide(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for _, none, doc, sub, lo, text in rows:
+        for _, none, doc, sub, lo, _, text in rows:
             for i in range(len(text) - length + 1):
                 d = hashlib.blake2b(text[i : i + length], digest_size=16).digest()
                 out.append((none, doc, sub, lo + i, lo + i + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
@@ -246,13 +247,14 @@ def _comparer(length: int, most: int) -> Callable:
         group: list[tuple] = []  # rows of one name; once it is too large for one array its rows go on as strings
         name, large = None, False
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if row[0] != name:
                     if large and group:
                         yield wide(group)
                     elif not large:
-                        whole += group
-                        size += sum(len(r[5]) for r in group)
+                        kept = _near(group, half, gram)
+                        whole += kept
+                        size += sum(len(r[6]) for r in kept)
                     if size >= SORT_BYTES:
                         yield compare(whole)
                         whole, size = [], 0
@@ -264,13 +266,23 @@ def _comparer(length: int, most: int) -> Callable:
         if large and group:
             yield wide(group)
         elif not large:
-            whole += group
+            whole += _near(group, half, gram)
         if whole:
             yield compare(whole)
 
     return run
 
 
+def _near(group: list[tuple], half: int, gram: int) -> list[tuple]:
+    """The contexts of a name that can share a long string with another: it reaches `half` bytes beyond the name on one side at least, so they have those bytes in common."""
+    sides = []
+    for r in group:
+        at, text = r[5], r[6]
+        sides.append((text[at - half : at] if at >= half else None, after if len(after := text[at + gram : at + gram + half]) == half else None))
+    counts = [Counter(s[k] for s in sides if s[k] is not None) for k in (0, 1)]
+    return [r for r, (left, right) in zip(group, sides, strict=True) if counts[0][left] > 1 or counts[1][right] > 1]
+
+
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
         out = []
@@ -331,7 +343,7 @@ def substring_dedup(df: DataFrame, length: int = 100, gram: int = 32, id_col: st
     both = [F.col(k) == F.col(f"m_{k}") for k in key]
     opened = per_doc(marks.where("open"), "name", "pos")
     contexts = docs.join(opened, both).select(*key, "text", "found").mapInArrow(_cutter(length, gram), _CONTEXTS)
-    compared = contexts.repartition("name").sortWithinPartitions("name", *key, "start").mapInArrow(_comparer(length, SORT_CONTEXTS), _RANGES)
+    compared = contexts.repartition("name").sortWithinPartitions("name", *key, "start").mapInArrow(_comparer(length, gram, SORT_CONTEXTS), _RANGES)
     compared = materialise(compared, "ranges")
     keyed = compared.where("key1 is not null")
     place = F.struct(*key, "lo")

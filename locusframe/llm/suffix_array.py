@@ -16,8 +16,9 @@ def _pack(*parts: np.ndarray) -> np.ndarray | None:
 
 
 def _order(*parts: np.ndarray) -> np.ndarray:
+    """An order of the rows; equal rows may come in any."""
     key = _pack(*parts)
-    return np.argsort(key, kind="stable") if key is not None else np.lexsort(parts[::-1])
+    return np.argsort(key) if key is not None else np.lexsort(parts[::-1])
 
 
 def _below(sorted_parts: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
@@ -40,21 +41,23 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 8:
         t = s.tolist()
         return np.array(sorted(range(n), key=lambda i: t[i:]), np.int64)
-    pad = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    kind = np.int32 if n < 1 << 30 and int(s.max()) < 1 << 30 else np.int64  # half the memory to move where it will do
+    pad = np.concatenate([s.astype(kind), np.zeros(3, kind)])
     end = n + (n % 3 == 1)  # one empty suffix keeps the triples of the two residues apart
-    at = np.concatenate([np.arange(1, end, 3), np.arange(2, end, 3)])
-    order = _order(pad[at], pad[at + 1], pad[at + 2])
-    a, b, c = pad[at[order]], pad[at[order] + 1], pad[at[order] + 2]
-    name = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    at = np.concatenate([np.arange(1, end, 3, kind), np.arange(2, end, 3, kind)])
+    triples = [np.concatenate([pad[1 + k : end + k : 3][: len(range(1, end, 3))], pad[2 + k : end + k : 3][: len(range(2, end, 3))]]) for k in range(3)]
+    order = _order(*triples)
+    a, b, c = (t[order] for t in triples)
+    name = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]), dtype=kind)
     if name[-1] < len(at):
-        names = np.empty(len(at), np.int64)
+        names = np.empty(len(at), kind)
         names[order] = name
         order = suffix_array(names)
     sampled = at[order]
-    rank = np.zeros(n + 3, np.int64)
-    rank[sampled] = np.arange(1, len(at) + 1)
+    rank = np.zeros(n + 3, kind)
+    rank[sampled] = np.arange(1, len(at) + 1, dtype=kind)
     sampled = sampled[sampled < n]
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, kind)
     rest = rest[_order(pad[rest], rank[rest + 1])]
     one, two = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = _below([pad[one], rank[one + 1]], [pad[rest], rank[rest + 1]]) + _below([pad[two], pad[two + 1], rank[two + 2]], [pad[rest], pad[rest + 1], rank[rest + 2]])
