@@ -220,7 +220,7 @@ def _composition_sql(key: str) -> str:
         n = f"p{w}"
         cg = f"cast(length(regexp_replace({n}, '[^CcGg]', '', 'g')) as double)"
         cpg = f"cast((length({n}) - length(regexp_replace({n}, 'CG|Cg|cG', '', 'g'))) / 2 as double)"
-        cols += [f"round({cpg}, 6) as cpg_{w}", f"round(case when {cg} = 0 then -1 else {cpg} * length({n}) / (({cg} / 2) * ({cg} / 2)) end, 6) as ratio_{w}", f"round({cg} / nullif(length({n}), 0), 6) as gc_{w}",
+        cols += [f"{cpg} as cpg_{w}", f"case when {cg} = 0 then -1 else {cpg} * length({n}) / (({cg} / 2) * ({cg} / 2)) end as ratio_{w}", f"{cg} / nullif(length({n}), 0) as gc_{w}",
                  f"case when {n} = '' then 5 when regexp_full_match({n}, '[acgt]+') then 3 when regexp_full_match({n}, '[ACGT]+') then 1 else 2 end as class_{w}"]
     return f"select {key}, {', '.join(cols)} from w"
 
@@ -229,17 +229,13 @@ def _windows_sql(lo: str, hi: str) -> str:
     return ", ".join(f"substr(seq, greatest({lo} - {w}, 1), greatest(least({hi} + {w}, length(seq)) - greatest({lo} - {w}, 1) + 1, 0)) as p{w}" for w in sequence.WINDOWS)
 
 
-def _rounded(out: DataFrame, key: str) -> DataFrame:
-    return out.select(F.col("id").alias(key), *[(F.round(c, 6) if not c.startswith("class") else F.col(c)).alias(c) for c in out.columns[1:]])
-
-
 @query(f"""with s as (select doc_id, regexp_replace(translate(text, 'eaoinrtslu', 'ACGTacgtCG'), '[^ACGTacgt]', '', 'g') as seq from documents),
 t as (select *, length(seq) // 3 + 1 as lo, least(length(seq), length(seq) // 3 + 20) as hi from s), w as (select doc_id, {_windows_sql('lo', 'hi')} from t) {_composition_sql('doc_id')}""")
 def sequence_features(spark: SparkSession, d: str) -> DataFrame:
     seq = F.regexp_replace(F.translate("text", "eaoinrtslu", "ACGTacgtCG"), "[^ACGTacgt]", "")
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), seq.alias("seq"))
     sites = docs.selectExpr("id", "seq", "cast(length(seq) div 3 + 1 as int) as lo", "cast(least(length(seq), length(seq) div 3 + 20) as int) as hi")
-    return _rounded(sequence.sequence_features(sites), "doc_id")
+    return sequence.sequence_features(sites).withColumnRenamed("id", "doc_id")
 
 
 _SEQ = f"""chr as (select chrom, string_agg(seq, '' order by start) as seq from genome group by 1),
@@ -253,7 +249,7 @@ def _site_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("select * from sq", "motifs", "genome", more=_SEQ))
 def site_sequence_features(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_site_sequence(spark, d), "motif_id")
+    return _site_sequence(spark, d).withColumnRenamed("id", "motif_id")
 
 
 def _log_pmf(c: str, mu: float, theta: float) -> str:
