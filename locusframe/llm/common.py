@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locusframe.scratch import drop_tables, final_table, materialise, recorded, shared_dir
 
-__all__ = ["ascii_lower", "drop_tables", "final_table", "materialise", "pieces", "recorded", "row_keys", "shared_dir", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "batch_rows", "drop_tables", "final_table", "materialise", "pieces", "recorded", "row_keys", "shared_dir", "table", "text_or_empty"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While jobs run inside, Arrow batches have at most so many rows: a batch of long texts is held by the JVM and by the Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of so many rows, so that what is made of a batch at once stays small."""
     for b in batches:

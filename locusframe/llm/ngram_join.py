@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import drop_tables, final_table, materialise, pieces, recorded
+from locusframe.llm.common import batch_rows, drop_tables, final_table, materialise, pieces, recorded
 from locusframe.llm.components import components
 from locusframe.llm.signature_tree import LEAF, bitmap, bytes_of, candidate_pairs, earlier, may_reach
 
@@ -242,7 +242,8 @@ def jaccard_components(df: DataFrame, words: int = 5, percent: int = 80, id_col:
     by equal class, and, so that no pair comes from more than one group, by earlier groups that all sets of both nodes
     share. Surviving pairs are verified on the whole sets, as are all links before.
     """
-    return final_table(lambda: materialise(_components(df, words, percent, id_col, text_col), "similar"))
+    with batch_rows(df.sparkSession, 500):
+        return final_table(lambda: materialise(_components(df, words, percent, id_col, text_col), "similar"))
 
 
 def _components(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
