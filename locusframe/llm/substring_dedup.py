@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import materialise, pieces, row_keys
+from locusframe.llm.common import batch_rows, materialise, pieces, row_keys
 from locusframe.llm.suffix_array import suffix_array
 
 _PRIME = 0x100000001B3
@@ -123,7 +123,7 @@ def _sampler(length: int, gram: int) -> Callable:
         return _batch([pa.array(x) for x in (name, ctx, none, doc, sub, pos, again)], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 5000):
+        for b in batches:
             if (out := sampled(b)) is not None:
                 yield out
 
@@ -334,7 +334,8 @@ def substring_dedup(df: DataFrame, length: int = 100, gram: int = 32, id_col: st
     # Known repeats only pass through, so they are spread by place.
     spread = F.when(F.col("again"), F.xxhash64("doc", "pos")).otherwise(F.col("name"))
     marks = samples.repartition(spread).sortWithinPartitions("name", "ctx", *key, "pos").mapInArrow(_marker, _MARKS)
-    marks = materialise(marks, "samples")
+    with batch_rows(df.sparkSession, 2000):
+        marks = materialise(marks, "samples")
     reach = length - gram
 
     def per_doc(rows: DataFrame, *what: str) -> DataFrame:
@@ -344,7 +345,8 @@ def substring_dedup(df: DataFrame, length: int = 100, gram: int = 32, id_col: st
     opened = per_doc(marks.where("open"), "name", "pos")
     contexts = docs.join(opened, both).select(*key, "text", "found").mapInArrow(_cutter(length, gram), _CONTEXTS)
     compared = contexts.repartition("name").sortWithinPartitions("name", *key, "start").mapInArrow(_comparer(length, gram, SORT_CONTEXTS), _RANGES)
-    compared = materialise(compared, "ranges")
+    with batch_rows(df.sparkSession, 500):
+        compared = materialise(compared, "ranges")
     keyed = compared.where("key1 is not null")
     place = F.struct(*key, "lo")
     firsts = keyed.groupBy("key1", "key2").agg(F.min(place).alias("first"))
