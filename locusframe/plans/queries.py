@@ -341,13 +341,15 @@ def _mappable_sites(spark: SparkSession, d: str) -> DataFrame:
     return acc.mappable(m, "mean", 0.05)
 
 
-_PRODUCTS = ", ".join(f'round(cast({a} * {b} as double), 8) + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
+# Products of the motif score, whose mean is a sum in any order, are rounded; the others are the same numbers everywhere.
+_PRODUCTS = ", ".join((f"round(cast({a} * {b} as double), 8)" if "motif_score" in (a, b) else f"cast({a} * {b} as double)") + f' + 0e0 as "{a} x {b}"' for i, a in enumerate(_FEATURES) for b in _FEATURES[i:])
 
 
 @query(with_views(f"select motif_id, {_PRODUCTS} from fm where cons is not null and acces is not null and dtss is not null and gc_w1 is not null", *_ALL, more=_MATRIX))
 def interactions(spark: SparkSession, d: str) -> DataFrame:
     out = matrix.interactions(_matrix(spark, d).na.drop("any"), _FEATURES, ["motif_id"])
-    return out.select("motif_id", *[(F.round(F.col(f"`{c}`").cast("double"), 8) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
+    value = lambda c: F.round(F.col(f"`{c}`").cast("double"), 8) if "motif_score" in c else F.col(f"`{c}`").cast("double")
+    return out.select("motif_id", *[(value(c) + F.lit(0.0)).alias(c) for c in out.columns if " x " in c])
 
 
 _Z = "z as (select motif_id, " + ", ".join(f"(cast({c} as double) - avg({c}) over ()) / nullif(sqrt(var_samp({c}) over ()), 0) as {c}" for c in _FEATURES) + " from fm where cons is not null and acces is not null and dtss is not null and gc_w1 is not null)"
