@@ -100,3 +100,14 @@ def test_mixing_lays_out_blocks_and_slots(spark, tmp_path, monkeypatch):
     assert got == want
     tenth = len(got) // 10
     assert all(0.3 < np.mean([d < 1500 for d in got[k : k + tenth]]) < 0.9 for k in range(0, 10 * tenth, tenth))
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert out.count() == 0 and (i == 4 or out.columns == corpus_pipeline.COLUMNS), name
+    assert corpus_pipeline.run(spark, folder).count() == 0
