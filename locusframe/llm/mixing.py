@@ -125,6 +125,8 @@ def mix(
     rows = rows.join(F.broadcast(before) if few else before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("epoch") == F.col("b_epoch")) & (F.col("bucket") == F.col("b_bucket")))
     at = (F.col("before") + F.col("inside")) / F.greatest("budget", F.lit(1).cast("long"))
     rows = rows.withColumn("block", F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("long"))
-    slot = F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("h", "epoch", F.lit("slot")), "h", "epoch")) - 1
-    out = rows.repartitionByRange("block").withColumn("slot", slot.cast("long"))
+    order = [F.xxhash64("h", "epoch", F.lit("slot")), F.col("h"), F.col("epoch")]
+    slot = F.row_number().over(W.partitionBy("block").orderBy(*order)) - 1
+    # A sort of its own, which the window takes over: rows keep their order if nobody asks for slot.
+    out = rows.repartitionByRange("block").sortWithinPartitions("block", *order).withColumn("slot", slot.cast("long"))
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "source", F.col("tokens").alias("n_tokens"), F.col("epoch").cast("int").alias("epoch"), "block", "slot")
