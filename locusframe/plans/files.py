@@ -11,6 +11,7 @@ from locusframe.operators import reads as read_ops
 from locusframe.plans.queries import ORACLES, QUERIES, query
 from locusframe.scratch import shared_dir
 from locusframe.sources import readers, writers
+from locusframe.sources.bam import bam, bam_region, write_bam
 from locusframe.testbed import view, with_views
 
 
@@ -153,6 +154,27 @@ def cut_site_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("rname", "strand", "cut").agg(F.count("*").alias("n"))
 
 
+_ALIGNED = ["concat('read', cast(file_row as varchar(9))) as qname", "rname", "cast(flag + is_dup * 1024 as int) as flag", "cast(pos as int) as pos", "cast(mapq as int) as mapq", "rlen"]
+
+
+def _bam(spark: SparkSession, d: str) -> str:
+    """Alignments of the reads as a folder of sorted, indexed BAM files."""
+    path = _path(spark, "bam")
+    reads = view(spark, d, "reads").selectExpr(*_ALIGNED, "repeat('ACGT', 9) as seq", "repeat('I', 36) as qual", "-1 as pnext", "0 as tlen")
+    write_bam(reads, path, [("chr1", 60_000), ("chr2", 60_000)])
+    return path
+
+
+@query(with_views(f"select {', '.join(_ALIGNED)} from reads", "reads"))
+def file_bam(spark: SparkSession, d: str) -> DataFrame:
+    return bam(spark, f"{_bam(spark, d)}/*.bam").select("qname", "rname", "flag", "pos", "mapq", "rlen")
+
+
+@query(with_views("select rname, flag, pos, count(*) as n from (select rname, cast(flag + is_dup * 1024 as int) as flag, cast(pos as int) as pos from reads) r where rname = 'chr2' and pos < 120 and pos + 36 > 110 group by 1, 2, 3", "reads"))
+def bam_region_reads(spark: SparkSession, d: str) -> DataFrame:
+    return bam_region(spark, _bam(spark, d), "chr2", 110, 120).groupBy("rname", "flag", "pos").agg(F.count("*").alias("n"))
+
+
 @query(with_views("select model, target, metric, value from pairs_y", "pairs_y"))
 def pair_matrix_files(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "pairs")

@@ -6,15 +6,11 @@ and positions are carried from split to split by small tables.
 
 from __future__ import annotations
 
-import gzip
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from locusframe.sources.bam import BamSource, bam  # noqa: F401  the reader of the binary format
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -194,93 +190,3 @@ def sam(spark: SparkSession, path: str, sizes: DataFrame | None = None) -> DataF
         F.length(F.col("c")[9]).alias("rlen"), F.col("c")[9].alias("seq"), F.col("c")[10].alias("qual"), (F.col("c")[7].cast("int") - 1).alias("pnext"), F.col("c")[8].cast("int").alias("tlen"), (flag.bitwiseAND(1024) > 0).alias("is_dup"),
     )
     return out if sizes is None else out.join(F.broadcast(sizes), F.col("rname") == F.col("chrom"), "left_semi")
-
-
-_BAM = "file_row long, qname string, flag int, rname string, pos int, mapq int, rlen int, seq string, qual string, pnext int, tlen int, is_dup boolean"
-#: Base codes of the binary alignment format.
-_BASES = "=ACMGRSVTWYHKDBN"
-
-
-def parse_bam(data) -> Iterator[tuple]:
-    """Records of an open BAM stream, in file order."""
-
-    def take(n: int) -> bytes:
-        b = data.read(n)
-        if len(b) < n:
-            raise EOFError
-        return b
-
-    if take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    take(struct.unpack("<i", take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
-    row = 0
-    while True:
-        head = data.read(4)
-        if len(head) < 4:
-            return
-        b = take(struct.unpack("<i", head)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, _, pnext, tlen = struct.unpack("<iiBBHHHiiii", b[:32])
-        at = 32 + l_name + 4 * n_cigar
-        packed = b[at : at + (l_seq + 1) // 2]
-        seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:l_seq]
-        qual = bytes(min(q + 33, 126) for q in b[at + len(packed) : at + len(packed) + l_seq]).decode()
-        row += 1
-        yield row, b[32 : 32 + l_name - 1].decode(), flag, names[ref] if ref >= 0 else None, pos, mapq, l_seq, seq, qual, pnext, tlen, bool(flag & 1024)
-
-
-def bam(spark: SparkSession, path: str, sizes: DataFrame | None = None) -> DataFrame:
-    """Alignments of BAM files, through Spark's binary reader: BGZF is a run of gzip members. One task a file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        names = [x.split()[0] for x in _BAM.split(", ")]
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                rows: list[tuple] = []
-                for r in parse_bam(gzip.open(io.BytesIO(content))):
-                    rows.append(r)
-                    if len(rows) == 50_000:
-                        yield _rows(rows, names)
-                        rows = []
-                if rows:
-                    yield _rows(rows, names)
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _BAM)
-    return out if sizes is None else out.join(F.broadcast(sizes), F.col("rname") == F.col("chrom"), "left_semi")
-
-
-def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-    types = [kinds[x.split()[1]] for x in _BAM.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-
-class BamSource(DataSource):
-    """spark.read.format("bam").load(path) for one BAM file on a path that executors can open."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return _BAM
-
-    def reader(self, schema) -> "DataSourceReader":
-        return _BamReader(self.options["path"])
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with gzip.open(partition.value) as data:
-            yield from parse_bam(data)
