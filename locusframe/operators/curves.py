@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+
+from locusframe.operators.scan import along, in_ranges
+from locusframe.scratch import materialise
 
 
 def range_cuts(d: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -15,48 +17,68 @@ def range_cuts(d: DataFrame, column: str, buckets: int) -> DataFrame:
     return d.agg(F.percentile_approx(column, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10_000)).alias("cuts"))
 
 
-def curve(scored: DataFrame, buckets: int = 256) -> DataFrame:
-    """(rank, prec, rec, fpr) for scored (id, score, gs): one step a row, by falling score, ties by id.
+#: The four numbers of a curve, and how many keys' totals are broadcast.
+NUMBERS, BROADCAST_KEYS = ("aupr", "rec10", "auroc", "fpr1"), 500_000
+
+
+def _steps(scored: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """(keys, rank, hits, gs, n, p): a row a step by falling score, ties by id; hits so far, and the key's rows and hits.
+
+    The input is evaluated once, to a narrow table. Ranks and hits are prefix sums over ranges of (keys, score, id), so
+    neither a key nor a score that all rows have is one task's work, whatever the id is.
+    """
+    rows = materialise(scored.select(*keys, "id", "score", "gs"), "scored")
+    placed = in_ranges(rows, [*keys, F.col("score").desc(), F.col("id")], [*keys, "gs"], "ranked", parts=ranges)
+    steps = along(placed, keys, {"rank": ("sum", F.lit(1).cast("long")), "hits": ("sum", F.col("gs").cast("long"))}, [*keys, "gs"])
+    totals = placed.groupBy(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"), F.sum("gs").alias("p"))
+    if not keys:
+        return steps.crossJoin(F.broadcast(totals))  # one row
+    same = [F.col(k).eqNullSafe(F.col(f"__t{i}")) for i, k in enumerate(keys)]
+    few = totals.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return steps.join(F.broadcast(totals) if few else totals, reduce(lambda a, b: a & b, same))
+
+
+def _point(rank: Column, hits: Column) -> dict[str, Column]:
+    return {"prec": hits / rank, "rec": F.try_divide(hits, F.col("p")), "fpr": F.try_divide(rank - hits, F.col("n") - F.col("p"))}
 
-    Rows are dealt to buckets by score range, and rows whose score is a range's end, such as one that many share, by
-    ranges of the id too if that is a number; ranks and running hits are those within the bucket plus the counts of the
-    buckets above, so no task sorts everything, nor all rows of one score.
+
+def curve(scored: DataFrame, ranges: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, rank, prec, rec, fpr) for scored (keys, id, score, gs): one step a row, by falling score (null last), ties by id, and one curve a key. Rows are dealt to so many ranges, by default as many as shuffles have."""
+    return _steps(scored, keys or [], ranges).select(*(keys or []), "rank", *[c.alias(k) for k, c in _point(F.col("rank"), F.col("hits")).items()])
+
+
+def area(points: DataFrame, x: str, y: str, rank: str = "rank", keys: list[str] | None = None) -> DataFrame:
+    """(keys, area): the trapezoid rule over points in rank order, each key's own.
+
+    Steps inside a range of ranks are summed up there; those from one range to the next come from their ends, a row a
+    range and key.
     """
-    by_id = isinstance(scored.schema["id"].dataType, NumericType)
-    ids = range_cuts(scored, "id", 64) if by_id else scored.sparkSession.range(1).select(F.array().cast("array<long>").alias("cuts"))
-    cuts = range_cuts(scored, "score", buckets).select(F.array_distinct("cuts").alias("cuts")).crossJoin(ids.select(F.col("cuts").alias("id_cuts")))
-    above_score = F.size(F.filter("cuts", lambda c: c > F.col("score")))
-    part = F.when(F.array_contains("cuts", F.col("score")), 1 + F.size(F.filter("id_cuts", lambda c: c < F.col("id")))).otherwise(0)
-    rows = scored.crossJoin(F.broadcast(cuts)).select("id", "score", "gs", above_score.alias("bucket"), (part if by_id else F.lit(0)).alias("part"))  # cuts is one row
-    totals = rows.groupBy(F.col("bucket").alias("b"), F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("gs").alias("hits"))
-    inside = W.partitionBy("bucket", "part").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.select("bucket", "part", F.count("*").over(inside).alias("r"), F.sum("gs").over(inside).alias("h"))
-    above = W.orderBy("b", "p").rowsBetween(W.unboundedPreceding, -1)  # a row a bucket
-    whole = W.partitionBy()
-    totals = totals.select("b", "p", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("p_above"), F.sum("n").over(whole).alias("n_all"), F.sum("hits").over(whole).alias("p_all"))
-    rows = rows.join(F.broadcast(totals), (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p")))
-    rank, hits = F.col("r") + F.col("n_above"), F.col("h") + F.col("p_above")
-    return rows.select(rank.alias("rank"), (hits / rank).alias("prec"), F.try_divide(hits, F.col("p_all")).alias("rec"), F.try_divide(rank - hits, F.col("n_all") - F.col("p_all")).alias("fpr"))
-
-
-def area(points: DataFrame, x: str, y: str, rank: str = "rank", block: int = 1 << 16) -> DataFrame:
-    """(area): the trapezoid rule over points in rank order; neighbours meet by an equi-join on rank, not in one sorted task."""
-    a = points.select(F.col(rank).alias("r"), F.col(x).alias("x0"), F.col(y).alias("y0"))
-    b = points.select((F.col(rank) - 1).alias("r"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    return a.join(b, "r").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y0") + F.col("y1")) / 2).alias("area"))
-
-
-def metrics(scored: DataFrame) -> DataFrame:
-    """One row: aupr, rec10 (mean precision where 0.05 <= recall < 0.15), auroc, fpr1 (mean recall where 0.005 <= false positive rate < 0.015); null where no step falls there.
-
-    The curve starts at (recall 0, the first precision) and (false positive rate 0, recall 0).
+    keys = keys or []
+    rows = in_ranges(points.select(*keys, rank, F.col(x).alias("x"), F.col(y).alias("y")), [*keys, rank], [*keys, "x", "y"], "points")
+    step = lambda w: (F.col("x") - F.lag(F.col("x")).over(w)) * (F.col("y") + F.lag(F.col("y")).over(w)) / 2
+    inside = rows.select(*keys, step(W.partitionBy("__part", *keys).orderBy("__at")).alias("s")).groupBy(*keys).agg(F.sum("s").alias("s"))
+    ends = rows.groupBy("__part", *keys).agg(F.min_by(F.struct("x", "y"), "__at").alias("a"), F.max_by(F.struct("x", "y"), "__at").alias("b"))
+    line = W.partitionBy(*keys).orderBy("__part")
+    before = F.lag("b").over(line)
+    between = ends.select(*keys, ((F.col("a")["x"] - before["x"]) * (F.col("a")["y"] + before["y"]) / 2).alias("s"))
+    return inside.unionAll(between).groupBy(*keys).agg(F.sum("s").alias("area"))
+
+
+def metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, aupr, rec10, auroc, fpr1), one row a key: rec10 is the mean precision where 0.05 <= recall < 0.15, fpr1 the mean recall where 0.005 <= false positive rate < 0.015; null where no step falls there.
+
+    The curve starts at (recall 0, the first precision) and (false positive rate 0, recall 0). The step before a row is
+    known from the row, so the areas are plain sums.
     """
-    c = curve(scored)
-    first = c.where("rank = 1").select(F.lit(0).cast("long").alias("rank"), "prec", F.lit(0.0).alias("rec"), F.lit(0.0).alias("fpr"))
-    c = c.select("rank", "prec", "rec", "fpr").unionAll(first)
-    means = c.agg(F.avg(F.when((F.col("rec") >= 0.05) & (F.col("rec") < 0.15), F.col("prec"))).alias("rec10"), F.avg(F.when((F.col("fpr") >= 0.005) & (F.col("fpr") < 0.015), F.col("rec"))).alias("fpr1"))
-    pr, roc = area(c, "rec", "prec").withColumnRenamed("area", "aupr"), area(c, "fpr", "rec").withColumnRenamed("area", "auroc")
-    return pr.crossJoin(means.select("rec10")).crossJoin(roc).crossJoin(means.select("fpr1"))  # one row each
+    now = _point(F.col("rank"), F.col("hits"))
+    before = _point(F.col("rank") - 1, F.col("hits") - F.col("gs"))
+    first = F.col("rank") == 1
+    start = {"prec": now["prec"], "rec": F.lit(0.0), "fpr": F.lit(0.0)}
+    before = {k: F.when(first, start[k]).otherwise(c) for k, c in (before | {"prec": F.try_divide(F.col("hits") - F.col("gs"), F.col("rank") - 1)}).items()}
+    slab = lambda x, y: F.sum((now[x] - before[x]) * (now[y] + before[y]) / 2)
+    mean = lambda c, at, lo, hi: F.avg(F.when((now[at] >= lo) & (now[at] < hi), now[c]))
+    found = [slab("rec", "prec"), mean("prec", "rec", 0.05, 0.15), slab("fpr", "rec"), mean("rec", "fpr", 0.005, 0.015)]
+    return _steps(scored, keys or []).groupBy(*(keys or [])).agg(*[c.alias(n) for n, c in zip(NUMBERS, found, strict=True)])
 
 
 def evaluate(d: DataFrame, weights: dict[str, float], intercept: float, label: str = "gs", id_col: str = "id", products: bool = False) -> DataFrame:

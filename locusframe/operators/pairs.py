@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators.curves import evaluate, metrics
+from locusframe.operators.curves import NUMBERS, evaluate, metrics
 from locusframe.operators.similarity import permutation_p
 
-#: The order of the four numbers of an evaluation; metrics 1 to 4, 5 to 8 and 9 to 12 are those of the own model, the other sample's and the score alone.
-NUMBERS = ("aupr", "rec10", "auroc", "fpr1")
+#: Rows of model or moment tables that are broadcast; the term of a model's constant.
+BROADCAST, INTERCEPT = 500_000, "intercept"
+
+# Metrics 1 to 4, 5 to 8 and 9 to 12 are the four NUMBERS of the own model, the other sample's and the score alone.
 
 
 @dataclass(frozen=True)
@@ -38,3 +40,51 @@ def performance_rows(model: str, target: str, d: DataFrame, own: LinearModel, ot
     parts = [evaluate(d, m.weights, m.intercept, label, id_col, m.products) for m in (own, other)] + [metrics(alone)]
     rows = [p.select(F.posexplode(F.array(*NUMBERS)).alias("k", "value")).select((F.col("k") + 1 + 4 * i).alias("metric"), "value") for i, p in enumerate(parts)]
     return reduce(DataFrame.unionAll, rows).select(F.lit(model).alias("model"), F.lit(target).alias("target"), "metric", "value")
+
+
+def _small(d: DataFrame) -> DataFrame:
+    return F.broadcast(d) if d.limit(BROADCAST + 1).count() <= BROADCAST else d
+
+
+def scores_of_pairs(data: DataFrame, models: DataFrame, pairs: DataFrame, features: list[str], products: bool = False, label: str = "gs", id_col: str = "id") -> DataFrame:
+    """(model, target, id, score, gs): the rows of each pair's target under its model.
+
+    data has (sample, id, features ..., gs), models (model, term, weight), a term being a feature, with products the
+    product 'a x b' of two in the features' order, or 'intercept'; other terms are left out, and weights of a term add up.
+    pairs has (model, target). Values are standardised over the rows of the sample, and those that are the same
+    everywhere count 0; null values count 0. A pair without model or rows gives no rows. Rows meet the models of their
+    sample by an equi-join, so what comes out is a row a row and model, and the plan is the same for any number of pairs.
+    """
+    value = {c: F.col(f"`{c}`").cast("double") for c in features}
+    value |= {f"{a} x {b}": value[a] * value[b] for i, a in enumerate(features) for b in features[i:]} if products else {}
+    rows = data.select(F.col("sample"), F.col(id_col).alias("id"), F.col(label).alias("gs"), F.array(*value.values()).alias("x"))
+    of = lambda f: F.array(*[f(F.get("x", F.lit(i))) for i in range(len(value))])
+    moments = rows.groupBy(F.col("sample").alias("m_sample")).agg(of(F.avg).alias("mean"), of(F.stddev_samp).alias("sd"))
+    rows = rows.join(_small(moments), F.col("sample").eqNullSafe(F.col("m_sample")))
+    z = F.transform("x", lambda x, i: F.coalesce(F.try_divide(x - F.get("mean", i), F.nullif(F.get("sd", i), F.lit(0.0))), F.lit(0.0)))
+    terms = models.groupBy("model", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight")).groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
+    weight = lambda t: F.coalesce(F.try_element_at("w", F.lit(t)), F.lit(0.0))
+    terms = terms.select(F.col("model").alias("t_model"), F.array(*[weight(t) for t in value]).alias("w"), weight(INTERCEPT).alias("c"))
+    asked = pairs.select("model", "target").distinct().join(_small(terms), F.col("model").eqNullSafe(F.col("t_model"))).select("model", "target", "w", "c")
+    scored = rows.select("sample", "id", "gs", z.alias("z")).join(_small(asked), F.col("sample").eqNullSafe(F.col("target")))
+    return scored.select("model", "target", "id", F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.col("c"), lambda a, b: a + b).alias("score"), "gs")
+
+
+def performance(data: DataFrame, models: DataFrame, pairs: DataFrame, features: list[str], products: bool = False, score: str = "acces_score", call: str = "acces", label: str = "gs", id_col: str = "id") -> DataFrame:
+    """(model, target, metric, value): performance_rows() of all pairs (model, target) in one job: twelve numbers on each target's rows, by the target's own model, the pair's model, and score times call.
+
+    data, models and pairs are those of scores_of_pairs(). Each model is evaluated once a target, and a target's own
+    model and its score alone once for all its pairs: curves have (model, target) as key. Numbers of models or targets
+    that there are no rows of are null. A pair that repeats counts as one.
+    """
+    pairs = pairs.select("model", "target").distinct()
+    evaluated = pairs.unionAll(pairs.select(F.col("target").alias("model"), "target"))
+    alone = data.join(_small(pairs.select("target").distinct()), F.col("sample").eqNullSafe(F.col("target"))).select(F.lit(True).alias("alone"), F.lit(None).cast(pairs.schema["model"].dataType).alias("model"), "target", F.col(id_col).alias("id"), (F.col(score) * F.col(call)).cast("double").alias("score"), F.col(label).alias("gs"))
+    scored = scores_of_pairs(data, models, evaluated, features, products, label, id_col).select(F.lit(False).alias("alone"), "*").unionAll(alone)
+    found = metrics(scored, ["alone", "model", "target"]).select(F.col("alone").alias("f_alone"), F.col("model").alias("f_model"), F.col("target").alias("f_target"), F.array(*NUMBERS).alias("numbers"))
+    none = F.lit(None).cast(pairs.schema["model"].dataType)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i == 2).alias("alone"), m.alias("by")) for i, m in enumerate((F.col("target"), F.col("model"), none))])
+    rows = pairs.select("model", "target", F.explode(wanted).alias("w")).select("model", "target", "w.*")
+    same = (F.col("alone") == F.col("f_alone")) & F.col("by").eqNullSafe(F.col("f_model")) & F.col("target").eqNullSafe(F.col("f_target"))
+    rows = rows.join(found, same, "left").withColumn("numbers", F.coalesce("numbers", F.array(*[F.lit(None).cast("double")] * len(NUMBERS))))
+    return rows.select("model", "target", (1 + 4 * F.col("i")).alias("first"), F.posexplode("numbers").alias("k", "value")).select("model", "target", (F.col("first") + F.col("k")).alias("metric"), "value")

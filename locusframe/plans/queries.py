@@ -607,3 +607,34 @@ def pair_performance(spark: SparkSession, d: str) -> DataFrame:
     columns = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abcd")]
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), *columns, (F.col("label") % 2).alias("acces"), (F.col("label") == 0).cast("int").alias("gs"))
     return pairs_of.performance_rows("one", "two", v, _OWN, _OTHER, score="d").withColumn("value", F.round("value", 6))
+
+
+#: Models of the nations, as a table of weights: five terms and a constant.
+_NATION_MODELS = """select n_name as model, 'a' as term, cast(n_nationkey * 7 % 11 - 5 as double) / 10 as weight from nation
+ union all select n_name, 'b', cast(n_nationkey * 5 % 11 - 4 as double) / 10 from nation union all select n_name, 'c', cast(n_nationkey * 3 % 7 - 2 as double) / 10 from nation
+ union all select n_name, 'd', cast(n_nationkey % 5 + 1 as double) / 10 from nation union all select n_name, 'a x b', cast(n_nationkey % 3 as double) / 10 from nation
+ union all select n_name, 'intercept', cast(n_nationkey as double) / 100 from nation"""
+
+
+@query(f"""with m as ({_NATION_MODELS}),
+w as (select model, {", ".join(f"max(weight) filter (term = '{t}') as w_{c}" for t, c in (("a", "a"), ("b", "b"), ("c", "c"), ("d", "d"), ("a x b", "ab"), ("intercept", "i")))} from m group by model),
+v as (select n_name as sample, vec_id as id, {", ".join(f"cast({e} as double) as {c}" for e, c in zip(_E, "abcd", strict=True))}, label % 2 as acces, case when label % 3 = 0 then 1 else 0 end as gs from embeddings join nation on vec_id % 25 = n_nationkey),
+x as (select *, a * b as ab from v),
+z as (select sample, id, gs, {", ".join(f"coalesce(({c} - avg({c}) over k) / nullif(stddev_samp({c}) over k, 0), 0) as z_{c}" for c in ("a", "b", "c", "d", "ab"))} from x window k as (partition by sample)),
+s as (select model, sample as target, id, w_i + z_a * w_a + z_b * w_b + z_c * w_c + z_d * w_d + z_ab * w_ab as score, gs from z cross join w union all select '', sample, id, d * acces, gs from v),
+r as (select *, row_number() over (partition by model, target order by score desc, id) as rank, sum(gs) over (partition by model, target) as p, count(*) over (partition by model, target) as n from s),
+k as (select *, sum(gs) over (partition by model, target order by rank) as hits from r),
+c as (select model, target, rank, hits / rank as prec, hits / nullif(p, 0) as rec, (rank - hits) / nullif(n - p, 0) as fpr from k),
+e as (select * from c union all select model, target, 0, prec, 0, 0 from c where rank = 1),
+l as (select *, lag(rec) over o as r0, lag(prec) over o as p0, lag(fpr) over o as f0 from e window o as (partition by model, target order by rank)),
+g as (select model, target, [sum((rec - r0) * (prec + p0) / 2), avg(prec) filter (rec >= 0.05 and rec < 0.15), sum((fpr - f0) * (rec + r0) / 2), avg(rec) filter (fpr >= 0.005 and fpr < 0.015)] as numbers from l group by model, target),
+q as (select a.n_name as model, b.n_name as target, i, case i when 0 then b.n_name when 1 then a.n_name else '' end as who from nation a cross join nation b cross join (values (0), (1), (2)) t(i))
+select q.model, q.target, cast(1 + 4 * i + j as int) as metric, round(numbers[j + 1], 6) as value from q left join g on g.model = q.who and g.target = q.target cross join (values (0), (1), (2), (3)) t(j)""")
+def all_pair_performance(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve numbers for every pair of nations, each with the vectors of its key and a model of its own."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    columns = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abcd")]
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", *columns, (F.col("label") % 2).alias("acces"), (F.col("label") % 3 == 0).cast("int").alias("gs"))
+    data = vectors.join(nation, F.col("vec_id") % 25 == F.col("n_nationkey")).select(F.col("n_name").alias("sample"), F.col("vec_id").alias("id"), *"abcd", "acces", "gs")
+    pairs = view(spark, d, "pairs_y").select("model", "target").distinct()
+    return pairs_of.performance(data, spark.sql(_NATION_MODELS), pairs, list("abcd"), products=True, score="d").withColumn("value", F.round("value", 6))
