@@ -61,17 +61,48 @@ def range_query(windows: DataFrame, signal: DataFrame, clamp: bool = False, bloc
     return w.join(range_sum(w, signal, block), "id").select("id", F.try_divide("total", size).alias("average"), size.alias("size"), "total")
 
 
+#: How many times as large the bins of a level are as those of the level below, as a power of two; how many levels there are.
+STEP, LEVELS = 3, 12
+
+
+def _level(lo: str, hi: str, bin_size: int) -> Column:
+    """The first level whose bins are as large as the interval, so that it touches two of them at most."""
+    size = F.col(hi) - F.col(lo) + 1
+    return F.size(F.filter(F.array(*[F.lit(bin_size << STEP * k) for k in range(LEVELS)]), lambda b: b < size))
+
+
+def _width(level: Column, bin_size: int) -> Column:
+    return F.lit(bin_size) * F.pow(F.lit(2.0), level * STEP).cast("long")
+
+
+def _placed(lo: str, hi: str, levels: Column, bin_size: int) -> Column:
+    """(level, bin) of the bins of those levels that an interval touches; r_hi = r_lo - 1 stands for the place between two bases."""
+    at = lambda c, level: F.floor(F.col(c) / _width(level, bin_size)).cast("long")
+    bins = lambda level: F.sequence(F.least(at(lo, level), at(hi, level)), F.greatest(at(lo, level), at(hi, level)))
+    return F.flatten(F.transform(levels, lambda level: F.transform(bins(level), lambda b: F.struct(level.alias("level"), b.alias("bin")))))
+
+
 def overlaps(left: DataFrame, right: DataFrame, bin_size: int = 1024) -> DataFrame:
     """Pairs of rows of left (chrom, lo, hi, ...) and right (r_chrom, r_lo, r_hi, ...) with overlapping closed intervals, each once.
 
-    An equi-join on (chrom, bin): both sides are repeated for the bins they touch, and a pair counts in the first bin
-    that both touch, so no chromosome is one task's work.
+    Hierarchical bins: an interval belongs to the level whose bins are just as large as it, and a pair meets at the
+    level of its longer interval, in the first bin that both touch there. So a row is repeated twice a level at most,
+    however long it is, only for levels that the other side has rows of, and meets rows that are about as near as the
+    longer interval is long. No chromosome is one task's work.
     """
-    bins = lambda lo, hi: F.explode(F.sequence(F.least(_block(lo, bin_size), _block(hi, bin_size)), F.greatest(_block(lo, bin_size), _block(hi, bin_size))))
-    a = left.where("lo <= hi").withColumn("bin", bins("lo", "hi"))
-    b = right.withColumn("r_bin", bins("r_lo", "r_hi"))  # r_hi = r_lo - 1 stands for the place between two bases
-    hit = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi"))
-    return a.join(b, hit).where(F.col("bin") == F.greatest(_block("lo", bin_size), _block("r_lo", bin_size))).drop("bin", "r_bin", "r_chrom")
+    a = left.where("lo <= hi").withColumn("__level", _level("lo", "hi", bin_size))
+    b = right.where("r_lo <= r_hi + 1").withColumn("__r_level", _level("r_lo", "r_hi", bin_size))
+    ours, theirs = ([r[0] for r in d.select(c).distinct().collect()] for d, c in ((a, "__level"), (b, "__r_level")))  # LEVELS numbers at most
+    levels = lambda found: F.array(*[F.lit(x) for x in sorted(found)]).cast("array<int>")
+    # On side 0 the left interval is at its own level and the right one is no longer; on side 1 the right one is longer.
+    own = lambda c: F.array(F.col(c)).cast("array<int>")
+    side = lambda k, placed: F.transform(placed, lambda p: F.struct(F.lit(k).alias("side"), p["level"].alias("level"), p["bin"].alias("bin")))
+    keys_a = F.concat(side(0, _placed("lo", "hi", own("__level"), bin_size)), side(1, _placed("lo", "hi", F.filter(levels(theirs), lambda x: x > F.col("__level")), bin_size)))
+    keys_b = F.concat(side(0, _placed("r_lo", "r_hi", F.filter(levels(ours), lambda x: x >= F.col("__r_level")), bin_size)), side(1, _placed("r_lo", "r_hi", F.filter(own("__r_level"), lambda x: x > F.lit(min(ours, default=LEVELS))), bin_size)))
+    a, b = a.withColumn("__k", F.explode(keys_a)).drop("__level"), b.withColumn("__r_k", F.explode(keys_b)).drop("__r_level")
+    hit = (F.col("chrom") == F.col("r_chrom")) & (F.col("__k") == F.col("__r_k")) & (F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi"))
+    first = F.floor(F.greatest("lo", "r_lo") / _width(F.col("__k.level"), bin_size)).cast("long")
+    return a.join(b, hit).where(F.col("__k.bin") == first).drop("__k", "__r_k", "r_chrom")
 
 
 def without_overlap(left: DataFrame, right: DataFrame, same: Column | None = None, bin_size: int = 1024) -> DataFrame:
@@ -80,17 +111,51 @@ def without_overlap(left: DataFrame, right: DataFrame, same: Column | None = Non
     return left.join((hits if same is None else hits.where(same)).select("id").distinct(), "id", "left_anti")
 
 
-def interval_mean(windows: DataFrame, track: DataFrame, bin_size: int = 1024) -> DataFrame:
-    """(id, mean) of track (chrom, start0, end0, val; 0-based, half-open, disjoint) over windows clamped to the covered span.
+def interval_sums(windows: DataFrame, track: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, total): the sum of track (chrom, start0, end0, val; 0-based, half-open, disjoint) over the bases of windows (id, chrom, lo, hi); 0 where there is none, or where hi < lo.
 
-    The clamp ends one base after the last covered one, and the mean divides by the clamped size; 0 without overlap.
+    The integral up to a base is the area of all intervals that begin there or before, less what of the last one lies
+    behind it. Intervals and window ends share one sort in each (chrom, block), and a small table has the area and the
+    last interval of the blocks before. An interval is one row, however long it is. What blocks before add cancels for
+    windows inside a block, so their sums are as exact as the block's own.
     """
-    t = track.select(F.col("chrom").alias("r_chrom"), (F.col("start0") + 1).alias("r_lo"), F.col("end0").alias("r_hi"), "val")
-    span = t.groupBy(F.col("r_chrom").alias("s_chrom")).agg(F.min("r_lo").alias("first"), (F.max("r_hi") + 1).alias("last"))
-    w = windows.select("id", "chrom", "lo", "hi").join(span, F.col("chrom") == F.col("s_chrom"), "left").select("id", "chrom", F.greatest("lo", "first").alias("lo"), F.least("hi", "last").alias("hi"))
-    covered = F.sum(F.col("val").cast("double") * (F.least("hi", "r_hi") - F.greatest("lo", "r_lo") + 1))
-    sums = overlaps(w, t, bin_size).groupBy("id").agg(covered.alias("total"))
-    return w.join(sums, "id", "left").select("id", F.coalesce(F.col("total") / (F.col("hi") - F.col("lo") + 1), F.lit(0.0)).alias("mean"))
+    nothing = F.lit(None).cast("struct<end0:bigint,val:double>")
+    long = lambda c: F.col(c).cast("long")
+    points = track.where("start0 < end0 and val is not null").select("chrom", (long("start0") + 1).alias("at"), ((F.col("end0") - F.col("start0")) * F.col("val").cast("double")).alias("area"), F.struct(long("end0").alias("end0"), F.col("val").cast("double").alias("val")).alias("own"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("edge"))
+    ends = F.array(F.struct(long("hi").alias("at"), F.lit(0).alias("edge")), F.struct((long("lo") - 1).alias("at"), F.lit(1).alias("edge")))
+    edges = windows.where("lo <= hi").select("chrom", F.explode(ends).alias("e"), long("id").alias("id")).select("chrom", "e.at", F.lit(0.0).alias("area"), nothing.alias("own"), "id", "e.edge")
+    rows = points.unionAll(edges).withColumn("block", _block("at", block))
+    upto = W.partitionBy("chrom", "block").orderBy("at", F.col("edge").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = rows.select("chrom", "block", "at", "id", "edge", F.sum("area").over(upto).alias("inner"), F.last("own", True).over(upto).alias("own")).where("edge is not null")
+    blocks = rows.groupBy("chrom", "block").agg(F.sum("area").alias("area"), F.max(F.when(F.col("own").isNotNull(), F.struct("at", "own")))["own"].alias("last"))
+    line = W.partitionBy("chrom").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.select("chrom", "block", F.coalesce(F.sum("area").over(line), F.lit(0.0)).alias("outer"), F.last("last", True).over(line).alias("last"))
+    rows = running.join(before, ["chrom", "block"]).withColumn("own", F.coalesce("own", "last"))
+    rows = rows.withColumn("inner", F.col("inner") - F.coalesce(F.col("own.val") * F.greatest(F.col("own.end0") - F.col("at"), F.lit(0)), F.lit(0.0)))
+    signed = lambda c: F.sum(F.when(F.col("edge") == 0, F.col(c)).otherwise(-F.col(c)))
+    sums = rows.groupBy(F.col("id").alias("s_id")).agg((signed("inner") + signed("outer")).alias("total"))
+    return windows.select("id").join(sums, F.col("id") == F.col("s_id"), "left").select("id", F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+def interval_query(windows: DataFrame, track: DataFrame, clamp: bool = True, block: int = BLOCK) -> DataFrame:
+    """(id, average, size, total) of track (chrom, start0, end0, val; 0-based, half-open, disjoint) over windows (id, chrom, lo, hi).
+
+    clamp moves the start up to the first covered base of the chromosome and the end down to one base after the last
+    covered one, each on its side only, so size shrinks with it. A window that has no base left has size 0; average is
+    total / size, and 0 for size 0. A chromosome without data clamps nothing and has total 0.
+    """
+    w = windows.select("id", "chrom", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    if clamp:
+        span = track.where("start0 < end0 and val is not null").groupBy(F.col("chrom").alias("s_chrom")).agg((F.min("start0") + 1).alias("first"), (F.max("end0") + 1).alias("last"))
+        w = w.join(span, F.col("chrom") == F.col("s_chrom"), "left").select("id", "chrom", F.greatest("lo", "first").cast("long").alias("lo"), F.least("hi", "last").cast("long").alias("hi"))
+    size = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0).cast("long"))
+    rows = w.select("id", size.alias("size")).join(interval_sums(w, track, block), "id")
+    return rows.select("id", F.coalesce(F.try_divide("total", "size"), F.lit(0.0)).alias("average"), "size", "total")
+
+
+def interval_mean(windows: DataFrame, track: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, mean): the average of interval_query(), clamped."""
+    return interval_query(windows, track, True, block).select("id", F.col("average").alias("mean"))
 
 
 def block_mean(windows: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -78,6 +78,11 @@ def mappability_mean(spark: SparkSession, d: str) -> DataFrame:
     return intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")).select(F.col("id").alias("motif_id"), F.round("mean", 6).alias("map_mean"))
 
 
+@query(with_views("select motif_id, round(map_mean, 6) as average, (select greatest(max(hi) - max(lo) + 1, 0) from cl where cl.motif_id = mp.motif_id) as size from mp", "motifs", "maptrack", more=_MAP))
+def mappability_range(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.interval_query(_sites(spark, d, 100), view(spark, d, "maptrack")).select(F.col("id").alias("motif_id"), F.round("average", 6).alias("average"), "size")
+
+
 _CONS = """cons as (select motif_id, case when count(b.pos) > 0 then sum(b.val) / (max(en) - max(st) + 1) when min(f.first) < max(st) then null else 0 end as cons
   from motifs m left join blocks b on b.chrom = m.chrom and b.pos between st and en left join (select chrom, min(pos) as first from blocks group by 1) f on f.chrom = m.chrom group by 1)"""
 

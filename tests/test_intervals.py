@@ -42,6 +42,56 @@ def test_overlaps_once_each(spark, bins):
     assert sorted(x.id for x in intervals.without_overlap(left, right, None, bins).collect()) == sorted({x[0] for x in a} - {i for i, _ in want})
 
 
+def test_overlaps_of_mixed_lengths(spark):
+    r = random.Random(4)
+    make = lambda n: [(i, r.choice("ab"), lo, lo + int(10 ** r.uniform(0, 8)) - 1) for i, lo in enumerate(r.randint(1, 200_000_000) if r.random() < 0.5 else r.randint(1, 9000) for _ in range(n))]
+    a, b = make(150), [*make(150), (900, "a", 1, 250_000_000), (901, "a", 77, 76)]
+    left = spark.createDataFrame(a, "id long, chrom string, lo long, hi long")
+    right = spark.createDataFrame([(c, lo, hi, i) for i, c, lo, hi in b], "r_chrom string, r_lo long, r_hi long, r_id long")
+    for size in (10, 1024):
+        got = intervals.overlaps(left, right, size)
+        assert sorted((x.id, x.r_id) for x in got.collect()) == sorted((i, j) for i, c, lo, hi in a for j, d, l2, h2 in b if c == d and lo <= h2 and l2 <= hi)
+    assert intervals.overlaps(left.limit(0), right).count() == 0 and intervals.overlaps(left, right.limit(0)).count() == 0
+
+
+def test_a_long_interval_is_few_rows(spark):
+    # Two a level at most, on each side of the join.
+    left = spark.createDataFrame([(1, "a", 1, 200_000_000), (2, "a", 5000, 5010)], "id long, chrom string, lo long, hi long")
+    right = left.toDF("r_id", "r_chrom", "r_lo", "r_hi")
+    levels = {1: 6, 2: 0}
+    for row in left.withColumn("level", intervals._level("lo", "hi", 1024)).collect():
+        assert row.level == levels[row.id]
+    placed = left.select("id", F.size(intervals._placed("lo", "hi", F.array(F.lit(6)), 1024)).alias("n"))
+    assert max(x.n for x in placed.collect()) <= 2
+    assert sorted((x.id, x.r_id) for x in intervals.overlaps(left, right).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("block", [4, 64, 1 << 18])
+def test_interval_query_equals_bases_one_by_one(spark, block):
+    r = random.Random(block)
+    track, base = [], {}
+    for c in "ab":
+        at = r.randint(0, 30)
+        for _ in range(25):
+            at += r.choice([0, 0, r.randint(1, 20)])
+            end, v = at + r.randint(1, 30), r.choice([r.random(), -1.5, None])
+            track.append((c, at, end, v))
+            base |= {(c, x): v for x in range(at + 1, end + 1) if v is not None}
+            at = end
+    windows = [(i, r.choice("abz"), lo, lo + r.randint(-2, 90)) for i, lo in enumerate(r.randint(-20, 700) for _ in range(120))]
+    w = spark.createDataFrame(windows, "id long, chrom string, lo long, hi long")
+    t = spark.createDataFrame([*track, ("a", 9, 9, 5.0)], "chrom string, start0 long, end0 long, val double")
+    for clamp in (True, False):
+        got = {x.id: x for x in intervals.interval_query(w, t, clamp, block).collect()}
+        assert len(got) == len(windows)
+        for i, c, lo, hi in windows:
+            covered = [p for d, p in base if d == c]
+            if clamp and covered:
+                lo, hi = max(lo, min(covered)), min(hi, max(covered) + 1)
+            total, size = sum(base.get((c, x), 0.0) for x in range(lo, hi + 1)), max(hi - lo + 1, 0)
+            assert got[i].size == size and got[i].total == pytest.approx(total, abs=1e-9) and got[i].average == pytest.approx(total / size if size else 0.0, abs=1e-9)
+
+
 def test_end_at_start_is_no_overlap(spark):
     # an annotation that ends at a site's start is no hit: its last base is left out
     left = spark.createDataFrame([(1, "a", 10, 20)], "id long, chrom string, lo long, hi long")
