@@ -101,8 +101,12 @@ def tails(model: Model, idx: np.ndarray, val: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", rating_col: str = "quality") -> Model:
-    """Fits the ratings of a bounded sample (see Settings); rows without id or rating are left out, of several ratings the mean counts, rounded to the nearest rating."""
-    rated = labels.where(F.col(id_col).isNotNull() & F.col(rating_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.median(F.col(rating_col).cast("double")).alias("rating"))
+    """Fits the ratings of a bounded sample (see Settings) in one task; the driver gets the model.
+
+    Rows without id or rating are left out. Of several ratings of an id the median counts, of two middle ones the lower,
+    so every grade is a rating that occurs. Of rows of docs that repeat an id one counts, that with the least features.
+    """
+    rated = labels.where(F.col(id_col).isNotNull() & F.col(rating_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.expr(f"percentile_disc(0.5) within group (order by cast(`{rating_col}` as double))").alias("rating"))
     grades = sorted(r.rating for r in rated.select("rating").distinct().limit(101).collect())
     if len(grades) > 100:
         raise ValueError("ratings are to have at most 100 grades")
@@ -120,9 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("rating"), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["doc_id", "rating", "idx", "val"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, rating double, idx binary, val binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.idx), bytes(r.val)))
-    return fit([(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in rows], [r.rating for r in rows], s)
+    rows = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, rating double, idx binary, val binary")
+    rows = rows.groupBy("doc_id", "rating").agg(F.min(F.struct("idx", "val")).alias("x")).select("doc_id", "rating", "x.*")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        m = fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, _, i, v in got], [r[1] for r in got], s)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((list(m.grades), pa.list_(pa.float64())), (m.weights.tobytes(), pa.binary()), (list(m.thresholds), pa.list_(pa.float64())))], ["grades", "weights", "thresholds"])
+
+    made = rows.repartition(1).mapInArrow(fitted, "grades array<double>, weights binary, thresholds array<double>").first()
+    return fit([], [], s) if made is None else Model(list(made.grades), np.frombuffer(made.weights, np.float64), np.array(made.thresholds))
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

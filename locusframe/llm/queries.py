@@ -16,8 +16,7 @@ def _fold(c: str = "doc_id"):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL has runs of 3 lines and single lines only, so shorter passages of several lines stay here; the pipeline deletes them.
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), most_lines=1).withColumnRenamed("kept", "text")
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "text")
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +89,10 @@ ORACLES = {
 with d as (select doc_id, coalesce(text, '') as text from documents),
 raw as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
 l as (select *, trim(line, ' ' || chr(9) || chr(13)) as x from raw),
-n as (select *, row_number() over (partition by doc_id order by i) as k from l where x <> ''),
+n as (select *, row_number() over (partition by doc_id order by i) as k, len(regexp_extract_all(x, '[^ ' || chr(9) || chr(13) || ']+')) as words from l where x <> ''),
 u as (select doc_id, k, 3 as size, x || chr(10) || lead(x) over w || chr(10) || lead(x, 2) over w as unit from n window w as (partition by doc_id order by k)
-      union all select doc_id, k, 1, x from n where len(regexp_extract_all(x, '[^ ' || chr(9) || chr(13) || ']+')) >= 50),
+      union all select doc_id, k, 1, x from n where words >= 50
+      union all select doc_id, k, 2, x || chr(10) || lead(x) over w || chr(10) from n window w as (partition by doc_id order by k) qualify words < 50 and lead(words) over w < 50 and words + lead(words) over w >= 50),
 r as (select *, row_number() over (partition by size, unit order by doc_id, k) as nth from u where unit is not null),
 g as (select distinct doc_id, k + s as k from r, (values (0), (1), (2)) t(s) where nth > 1 and s < size),
 m as (select n.*, g.k is not null as gone from n left join g using (doc_id, k)),

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import quality, toxicity
 
@@ -145,3 +146,14 @@ def test_quality_scores_against_plain_loops(spark):
     # Tokens that differ behind a long common beginning have features of their own.
     a, b = (set(quality.features(t, s)[0].tolist()) for t in (long + "x", long + "y"))
     assert a != b
+
+
+def test_quality_of_repeated_ratings_and_ids(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 3} text {i}") for i in range(60)] + [(5, "another text")] * 40 + [(7, "long " * 200_000)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)] + [(3, 0), (4, 1), (8, 1), (8, 1)]
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model.grades == [0.0, 1.0]  # never one between
+    again = quality.train(docs.repartition(7), spark.createDataFrame(labels[::-1], "doc_id long, quality int"))
+    assert np.allclose(model.weights, again.weights) and np.allclose(model.thresholds, again.thresholds)
+    clashing = docs.select("doc_id", "text", F.lit(1).alias("rating"), F.lit("x").alias("quality"))
+    assert np.allclose(quality.train(clashing, spark.createDataFrame(labels, "doc_id long, quality int")).weights, model.weights)
