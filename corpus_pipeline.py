@@ -13,6 +13,8 @@ from locusframe.llm import common, line_dedup, mixing, ngram_join, packing, toxi
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids of kept documents, two long columns, are broadcast up to so many.
 BROADCAST_IDS = 500_000
+#: Bytes of the texts that go to a Python worker at once: the JVM and the worker both hold them, in executors that run all stages.
+BATCH_BYTES = "8m"
 _scratch: list[str] = []
 
 
@@ -54,6 +56,7 @@ def _clean(stage: Callable) -> Callable:
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.drop_tables(spark, _scratch)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         out, written = common.recorded(lambda: stage(spark, docs, sf_dir))
         _scratch.extend(written)
         return out
