@@ -42,10 +42,11 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of so many rows, so that what is made of a batch at once stays small."""
+    """Arrow batches in slices of so many rows, so that what is made of a batch at once stays small. In the end the worker gives back what Arrow holds free."""
     for b in batches:
         for at in range(0, max(1, b.num_rows), rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def row_keys(df: DataFrame, id_col: str, text: Column) -> tuple[list[Column], bool]:
