@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusframe.operators.scan import running
+from locusframe.scratch import materialise
+
 
 def assemble(parts: list[DataFrame]) -> DataFrame:
     """Joins feature tables on motif_id."""
@@ -42,12 +47,35 @@ def finish(d: DataFrame, mappable: DataFrame | None = None, n: int | None = None
 def cut_counts(counts: DataFrame, mappable: DataFrame, one_in: float = 1.0, seed: int = 1) -> DataFrame:
     """counts (motif_id, cut_count, ...) at mappable sites, and of them one in so many, rounded, without replacement."""
     kept = counts.join(mappable.select("motif_id"), "motif_id", "left_semi")
-    return kept if one_in == 1 else take_sample(kept, int(kept.count() / one_in + 0.5), seed)
+    return kept if one_in == 1 else take_share(kept, one_in, seed)
+
+
+def take_share(d: DataFrame, one_in: float, seed: int = 1, id_col: str = "motif_id") -> DataFrame:
+    """take_sample() of one row in so many, rounded."""
+    return take_sample(d, lambda rows: int(rows / one_in + 0.5), seed, id_col)
 
 
-def take_sample(d: DataFrame, n: int, seed: int = 1, id_col: str = "motif_id") -> DataFrame:
-    """n rows without replacement: those of smallest seeded hash, the same on any partitioning."""
-    return d.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(n)
+def take_sample(d: DataFrame, n: int | Callable[[int], int], seed: int = 1, id_col: str = "motif_id") -> DataFrame:
+    """n rows without replacement (n may depend on how many there are): those of smallest seeded hash, ties by id, the same on any partitioning. Of rows that share an id any are taken first; a null id is an id.
+
+    A histogram of hash prefixes, of 65,536 rows at most, tells which prefix the n-th row has. Rows of smaller ones are taken
+    by a filter, and those of that prefix by their ranks, a prefix scan; no task sorts the sample.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    prefix = F.substring("__hash", 1, 4)
+    hashed = d.withColumn("__hash", key)
+    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("rows"))
+    line = W.orderBy("prefix")  # 65,536 rows at most
+    counts = materialise(counts.select("prefix", F.sum("rows").over(line).alias("upto"), "rows"), "prefixes")
+    total = counts.agg(F.max("upto")).first()[0] or 0
+    n = n(total) if callable(n) else n
+    if n >= total:
+        return d
+    if n <= 0:
+        return d.where(F.lit(False))
+    edge = counts.where(F.col("upto") >= n).orderBy("prefix").first()
+    ranked = running(hashed.where(prefix == edge.prefix), [], ["__hash", id_col], {"__rank": ("sum", F.lit(1).cast("long"))}, name="edge")
+    return hashed.where(prefix < edge.prefix).select(*d.columns).unionAll(ranked.where(F.col("__rank") <= n - (edge.upto - edge.rows)).select(*d.columns))
 
 
 def interactions(d: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -614,6 +614,12 @@ def pair_performance(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of.performance_rows("one", "two", v, _OWN, _OTHER, score="d").withColumn("value", F.round("value", 6))
 
 
+@query(with_views("select motif_id, chrom, st, en from motifs qualify row_number() over (order by md5(concat('7:', cast(motif_id as varchar))), motif_id) <= cast(floor(count(*) over () / 4 + 0.5) as bigint)", "motifs"))
+def site_sample(spark: SparkSession, d: str) -> DataFrame:
+    """One site in four, those of smallest seeded hash."""
+    return matrix.take_share(view(spark, d, "motifs").select("motif_id", "chrom", "st", "en"), 4, 7)
+
+
 #: Models of the nations, as a table of weights: five terms and a constant.
 _NATION_MODELS = """select n_name as model, 'a' as term, cast(n_nationkey * 7 % 11 - 5 as double) / 10 as weight from nation
  union all select n_name, 'b', cast(n_nationkey * 5 % 11 - 4 as double) / 10 from nation union all select n_name, 'c', cast(n_nationkey * 3 % 7 - 2 as double) / 10 from nation

@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import curves, pairs
+from locusframe.operators import curves, matrix, pairs
 from locusframe.operators.scan import in_ranges, running
 
 
@@ -100,3 +101,14 @@ def test_all_pairs_equal_one_pair_at_a_time(spark):
             for g in pairs.performance_rows(a, b, df.where(f"sample = '{b}'"), models[b], models[a]).collect():
                 assert got[a, b, g.metric] == pytest.approx(g.value), (a, b, g.metric)
     assert all(got["m0", "nobody", k] is None for k in range(1, 13)) and got["nomodel", "m1", 5] is None and got["nomodel", "m1", 1] == got["m0", "m1", 1]
+
+
+def test_samples_equal_the_sorted_rule(spark, many_ranges):
+    r = random.Random(6)
+    rows = [(i, r.random()) for i in range(900)] + [(5, 0.5)] * 400 + [(None, 0.25)] * 3  # one id for a third of all
+    df = spark.createDataFrame(rows, "motif_id long, x double")
+    in_order = sorted(rows, key=lambda x: (hashlib.md5(f"3:{'' if x[0] is None else x[0]}".encode()).hexdigest(), x[0] or 0))
+    for n in (0, 1, 17, 640, len(rows) - 1, len(rows), 5000):
+        got = matrix.take_sample(df, n, 3).collect()
+        assert sorted(str(g.motif_id) for g in got) == sorted(str(x[0]) for x in in_order[:n])
+    assert matrix.take_share(df, 4, 3).count() == int(len(rows) / 4 + 0.5) and matrix.take_sample(df.limit(0), 5).count() == 0
