@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from locusframe.sources.bam import BamSource, bam  # noqa: F401  the reader of the binary format
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, split, at, value): lines with their file, the offset of their split in it, and a number that grows along each split."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+def _lines(spark: SparkSession, path: str | list[str], names: str | None = None) -> DataFrame:
+    """(file, split, at, value): lines with their file, the offset of their split in it, and a number that grows along each split; only of files whose name fits the pattern, if given, as others aren't opened."""
+    reader = spark.read if names is None else spark.read.option("pathGlobFilter", names)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
 
 
 def _before(splits: DataFrame, value: Column) -> Column:
@@ -23,13 +24,13 @@ def _before(splits: DataFrame, value: Column) -> Column:
     return F.coalesce(F.sum(value).over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], names: str | None = None) -> DataFrame:
     """(file, line, value): lines with their number in the file; gz and bz2 files are read too.
 
     Numbers run along each split from the lines counted in the splits before, so no file is sorted or read by one task
     unless its compression needs that.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path, names)
     splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("base"))
     splits = splits.select(F.col("file").alias("s_file"), F.col("split").alias("s_split"), (_before(splits, F.col("n")) - F.col("base") + 1).alias("add"))
     return lines.join(splits, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split"))).select("file", (F.col("at") + F.col("add")).alias("line"), "value")
@@ -65,10 +66,11 @@ def _cells(value: str = "value", sep: str = "\t") -> Column:
     return F.split(F.col(value), sep)
 
 
-def bed_sites(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(motif_id, tf, chrom, lo, hi, name, score, strand) of headerless BED files named <tf><chrom>.bed[.gz]: score in column 5, strand in the last one."""
+def bed_sites(spark: SparkSession, path: str | list[str], chrom: str | None = None, tf: str | None = None) -> DataFrame:
+    """(motif_id, tf, chrom, lo, hi, name, score, strand) of headerless BED files named <tf><chrom>.bed[.gz]: score in column 5, strand in the last one. With chrom or tf only the files that are named by it are opened."""
     c = _cells()
-    rows = numbered_lines(spark, path)
+    names = None if chrom is None and tf is None else f"{tf or '*'}{chrom or 'chr*'}.bed{{,.gz,.bz2}}"
+    rows = numbered_lines(spark, path, names)
     tf = F.regexp_extract("file", r"([^/]*?)(chr[0-9A-Za-z]+)\.bed(\.gz|\.bz2)?$", 1)
     key = F.xxhash64("file").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 32) + F.col("line")
     return rows.where(F.size(c) >= 3).select(

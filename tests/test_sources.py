@@ -138,3 +138,15 @@ def test_sinks(spark, here):
     writers.cut_sites(spark.createDataFrame([("c", 5)], "rname string, cut long"), str(here / "c"))
     writers.predictions(spark.createDataFrame([("c", 1, 2, 0.5)], "chrom string, lo long, hi long, score double"), str(here / "z"))
     assert spark.read.parquet(str(here / "c")).count() == 1 and spark.read.text(str(here / "z")).first().value == "c\t1\t2\t0.5"
+
+
+def test_only_the_files_of_a_chromosome_are_opened(spark, here):
+    for tf in ("CTCF", "JUN"):
+        for chrom in ("chr1", "chr11", "chrX"):
+            put(here / f"sites/{tf}{chrom}.bed", f"{chrom}\t5\t9\tm\t0.5\t+\n")
+    sites = str(here / "sites")
+    one = readers.bed_sites(spark, sites, "chr1")
+    assert sorted((r.tf, r.chrom) for r in one.collect()) == [("CTCF", "chr1"), ("JUN", "chr1")] and len(one.inputFiles()) == 2
+    assert len(readers.bed_sites(spark, sites, tf="JUN").inputFiles()) == 3
+    assert [(r.tf, r.chrom) for r in readers.bed_sites(spark, sites, "chrX", "CTCF").collect()] == [("CTCF", "chrX")]
+    assert readers.bed_sites(spark, sites).count() == 6
