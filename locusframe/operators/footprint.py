@@ -14,6 +14,8 @@ from locusframe.operators.intervals import overlaps, range_sums
 
 #: Flank widths in site lengths, permutations, and which smallest value is the cutoff.
 FLANK, STRANDED_FLANK, PERMUTATIONS, NTH = 1.75, 2.0, 500, 5
+#: Numbers of a matrix that is held at once.
+BLOCK = 1 << 22
 
 
 def with_flanks(sites: DataFrame, factor: float) -> DataFrame:
@@ -44,7 +46,7 @@ def footprints(sites: DataFrame, left: DataFrame, right: DataFrame, cutoff: floa
 
     Sites with fewer than cutoff cuts around them have (count, 0, 1 + 1 / (count + 1), -1, -1). For others fos is the
     product of two binomial probabilities of as few cuts in the site as seen, given each side; fps is 1 if fos is no
-    larger than the fifth smallest of 500 values of shuffled sides. Shuffles are seeded by id. Without strands give the
+    larger than the fifth smallest of 500 values of shuffled sides. Sites of one shape share their shuffles, which are seeded by it. Without strands give the
     same signal for left and right.
     """
     counts = flank_counts(sites, left)
@@ -67,29 +69,56 @@ def footprints(sites: DataFrame, left: DataFrame, right: DataFrame, cutoff: floa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [_test(r, two_base, seed) for r in b.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["id", "count", "acces", "fos", "fos_cutoff", "fps"])
+            lo, hi, fl, fr = (b[c].to_numpy(np.int64) for c in ("lo", "hi", "fl", "fr"))
+            shapes, member = np.unique(np.stack([hi - lo, lo - fl, fr - hi], axis=1), axis=0, return_inverse=True)
+            for k, shape in enumerate(shapes.tolist()):
+                step = max(1, BLOCK // (sum(shape) + 1))
+                mine = np.flatnonzero(member.reshape(-1) == k)
+                for at in range(0, len(mine), step):
+                    yield _tests(b.iloc[mine[at : at + step]], *shape, two_base, seed)
 
     return few.unionByName(rows.mapInPandas(run, "id long, count double, acces double, fos double, fos_cutoff double, fps double"))
 
 
-def _test(r, two_base: bool, seed: int) -> tuple:
-    lo, hi, fl, fr = int(r.lo), int(r.hi), int(r.fl), int(r.fr)
-    size = hi - lo + 1
-
-    def steps(at, values, a: int, b: int) -> np.ndarray:
-        v = np.zeros(b - a + 1)
-        if at is not None:
-            inside = (at >= a) & (at <= b)
-            np.add.at(v, at[inside] - a, values[inside])
-        return v[:-1] + v[1:] if two_base else v[:-1]
-
-    left, right = steps(r.p_at, r.p, fl, hi), steps(r.n_at, r.n, lo, fr)
-    pl, pr = size / (hi + 1 - fl), size / (fr + 1 - lo)
-    fos = float(binomial_cdf(r.cent, left.sum(), pl) * binomial_cdf(r.cent_r, right.sum(), pr))
-    rng = np.random.default_rng([seed, int(r.id) & 0xFFFFFFFF])
-    shuffled_l = rng.permuted(np.tile(left, (PERMUTATIONS, 1)), axis=1)[:, lo - fl :].sum(axis=1)
-    shuffled_r = rng.permuted(np.tile(right, (PERMUTATIONS, 1)), axis=1)[:, :size].sum(axis=1)
-    null = binomial_cdf(shuffled_l, left.sum(), pl) * binomial_cdf(shuffled_r, right.sum(), pr)
-    limit = float(np.sort(null)[NTH - 1])
-    return int(r.id), float(r.count), 1.0, fos, limit, float(fos <= limit)
+def _side(at: pd.Series, values: pd.Series, first: np.ndarray, width: int, two_base: bool) -> np.ndarray:
+    """Values at width steps from first on, a row a site; a step takes in the next base if two_base."""
+    out = np.zeros((len(at), width + 1))
+    held = [0 if x is None else len(x) for x in at]
+    if sum(held):
+        row = np.repeat(np.arange(len(held)), held)
+        place = np.concatenate([x for x in at if x is not None]).astype(np.int64) - first[row]
+        inside = (place >= 0) & (place <= width)
+        np.add.at(out, (row[inside], place[inside]), np.concatenate([x for x in values if x is not None])[inside])
+    return out[:, :-1] + out[:, 1:] if two_base else out[:, :-1]
+
+
+def _shuffled(values: np.ndarray, inside: int, rng: np.random.Generator) -> np.ndarray:
+    """What falls into a site of so many steps when each row's steps are shuffled, by the same shuffles for all rows."""
+    width = values.shape[1]
+    site, out, step = np.arange(width) < inside, [], max(1, BLOCK // max(1, width))
+    for at in range(0, PERMUTATIONS, step):
+        picked = rng.permuted(np.tile(site, (min(step, PERMUTATIONS - at), 1)), axis=1)
+        out.append(values @ picked.T.astype(float))
+    return np.concatenate(out, axis=1)
+
+
+def _below(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Binomial probabilities of at most k (a row a site) of n cuts; sites of one n are looked up together."""
+    out = np.empty(k.shape)
+    for total in np.unique(n):
+        out[n == total] = binomial_cdf(k[n == total], total, p)
+    return out
+
+
+def _tests(b: pd.DataFrame, inner: int, before: int, behind: int, two_base: bool, seed: int) -> pd.DataFrame:
+    """The tests of sites of one shape: inner + 1 bases, and flanks of so many. Shuffles are seeded by the shape, so they don't depend on which sites a batch holds."""
+    left = _side(b["p_at"], b["p"], b["fl"].to_numpy(np.int64), before + inner, two_base)
+    right = _side(b["n_at"], b["n"], b["lo"].to_numpy(np.int64), inner + behind, two_base)
+    rng = np.random.default_rng([seed, inner, before, behind])
+    null = seen = 1.0
+    for side, cent, inside in ((left, "cent", inner), (right, "cent_r", inner + 1)):
+        n, p = np.floor(side.sum(axis=1)), (inner + 1) / (side.shape[1] + 1)
+        seen = seen * _below(b[cent].to_numpy(float)[:, None], n, p)[:, 0]
+        null = null * _below(_shuffled(side, inside, rng), n, p)
+    limit = np.partition(null, NTH - 1, axis=1)[:, NTH - 1]
+    return pd.DataFrame({"id": b["id"].to_numpy(np.int64), "count": b["count"].to_numpy(float), "acces": 1.0, "fos": seen, "fos_cutoff": limit, "fps": (seen <= limit).astype(float)})

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from locusframe.operators import reads as read_ops
 from locusframe.plans.queries import ORACLES, QUERIES, query
 from locusframe.scratch import shared_dir
-from locusframe.sources import readers, writers
+from locusframe.sources import bigwig, readers, writers
 from locusframe.sources.bam import bam, bam_region, write_bam
+from locusframe.sources.parts import named_texts
 from locusframe.testbed import view, with_views
 
 
@@ -175,6 +176,58 @@ def bam_region_reads(spark: SparkSession, d: str) -> DataFrame:
     return bam_region(spark, _bam(spark, d), "chr2", 110, 120).groupBy("rname", "flag", "pos").agg(F.count("*").alias("n"))
 
 
+@query(with_views("select chrom, start0, end0, cast(cast(val as float) as double) as val from maptrack", "maptrack"))
+def file_big_wig(spark: SparkSession, d: str) -> DataFrame:
+    return bigwig.big_wig(spark, f"{_big_wig(spark, d)}/*.bw")
+
+
+@query(with_views("select chrom, start0, end0, cast(cast(val as float) as double) as val from maptrack where chrom = 'chr2' and start0 < 3000 and end0 > 1000", "maptrack"))
+def big_wig_region(spark: SparkSession, d: str) -> DataFrame:
+    return bigwig.big_wig(spark, f"{_big_wig(spark, d)}/*.bw", "chr2", 1000, 3000)
+
+
+def _big_wig(spark: SparkSession, d: str) -> str:
+    track, path = view(spark, d, "maptrack"), _path(spark, "bigwig")
+    bigwig.write_big_wig(track, path, [tuple(r) for r in track.groupBy("chrom").agg(F.max("end0")).collect()])  # a row a chromosome
+    return path
+
+
+@query(with_views("select 'OCT' as tf, cast(motif_id as varchar) as name, chrom, st as lo, en as hi, score, strand from motifs where chrom = 'chr2' and motif_id % 3 = 1", "motifs"))
+def file_sites_of_chromosome(spark: SparkSession, d: str) -> DataFrame:
+    """Sites in files named by factor and chromosome, some of each; those of one factor and chromosome are opened."""
+    line = "concat_ws('\t', chrom, st, en, motif_id, score, strand) as value"
+    rows = view(spark, d, "motifs").selectExpr("concat(pmod(xxhash64(motif_id), 8), '/', element_at(array('CTCF', 'OCT', 'SOX'), cast(motif_id % 3 + 1 as int)), chrom, '.bed.gz') as name", "motif_id as at", line)
+    path = _path(spark, "sites")
+    named_texts(rows, path)
+    return readers.bed_sites(spark, f"{path}/*/", "chr2", "OCT").select("tf", "name", "chrom", "lo", "hi", "score", "strand")
+
+
+#: Cells that stand for the samples of pairs, by the length of a name.
+_CELL = "case length({0}) % 3 when 0 then 'K562' when 1 then 'HepG2' else 'GM12878' end"
+_SAMPLE = "concat(upper(replace({0}, ' ', '_')), " + _CELL + ")"
+
+
+def _pair_files(spark: SparkSession, d: str) -> str:
+    """A performance file for each pair: a header, and a line a metric."""
+    rows = view(spark, d, "pairs_y").selectExpr(f"concat({_SAMPLE.format('model')}, {_SAMPLE.format('target')}, 'x4.txt') as name", "metric as at", "concat('\"m', metric, '\" ', value) as value")
+    heads = rows.select("name").distinct().selectExpr("name", "cast(0 as long) as at", "'\"x\"' as value")
+    path = _path(spark, "pairs")
+    named_texts(rows.withColumn("at", F.col("at").cast("long")).unionByName(heads), path)
+    return path
+
+
+@query(with_views(f"select {_SAMPLE.format('model')} as model, {_SAMPLE.format('target')} as target, cast(row_number() over (partition by model, target order by metric) as int) as row, concat('m', metric) as name, value from pairs_y", "pairs_y"))
+def file_pair_tables(spark: SparkSession, d: str) -> DataFrame:
+    return readers.pair_tables(spark, _pair_files(spark, d), ["K562", "HepG2", "GM12878"])
+
+
+@query(with_views(f"select distinct upper(replace(model, ' ', '_')) as model_tf, {_CELL.format('model')} as model_cell, upper(replace(target, ' ', '_')) as target_tf, {_CELL.format('target')} as target_cell, model = target as diagonal from pairs_y", "pairs_y"))
+def pair_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Factors and cells of the samples of pairs, from the names of their files."""
+    files = spark.read.format("binaryFile").load(_pair_files(spark, d) + "/*x4.txt").select(F.element_at(F.split("path", "/"), -1).alias("base"))
+    return files.select(*[c.alias(k) for k, c in readers.pair_names(F.col("base"), ["K562", "HepG2", "GM12878"], r"x4\.txt").items()])
+
+
 @query(with_views("select model, target, metric, value from pairs_y", "pairs_y"))
 def pair_matrix_files(spark: SparkSession, d: str) -> DataFrame:
     path = _path(spark, "pairs")

@@ -537,6 +537,31 @@ def footprint_calls_stranded(spark: SparkSession, d: str) -> DataFrame:
     return footprint.footprints(_sites(spark, d), s.where("pos % 2 = 0"), s.where("pos % 2 = 1"), cutoff=1500.0, factor=footprint.STRANDED_FLANK, stranded=True)
 
 
+def _fos(left: str, right: str, factor: str, before: str) -> str:
+    """fos of the called sites: for each side, the sum of the binomial probabilities of 0 to the site's cuts, by log-gammas."""
+    side = lambda name, cuts, lo, hi: f"""{name} as (select motif_id, cast(floor(coalesce(sum(s.val) filter (s.pos between w.st and w.en), 0)) as bigint) as cent,
+  cast(floor(coalesce(sum(s.val * (case when s.pos between {lo} and {hi} - 1 then 1 else 0 end + case when s.pos between {lo} + 1 and {hi} then 1 else 0 end)), 0)) as bigint) as n,
+  cast(any_value(w.en - w.st + 1) as double) / any_value({hi} + 1 - {lo}) as p from w left join signal s on s.chrom = w.chrom and s.pos between w.fl and w.fr and {cuts} group by 1)"""
+    term = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))"
+    cdf = lambda name: f"{name}_cdf as (select motif_id, least(1, sum(case when n = 0 then 1 - least(j, 1) else {term} end)) as q from (select *, unnest(range(least(cent, n) + 1)) as j from {name}) t group by 1)"
+    return f"""{_FLANKS}, w as (select m.*, greatest(0, st - cast(floor({factor} * (en - st + 1) + 0.5) as bigint)) as fl, en + cast(floor({factor} * (en - st + 1) + 0.5) as bigint) as fr from motifs m join flanks using (motif_id) where flank_count >= 1500),
+{side("l", left, "w.fl", "w.en")}, {side("r", right, "w.st", "w.fr")}, {cdf("l")}, {cdf("r")}, {before}"""
+
+
+_FOS = "fos as (select f.motif_id, flank_count as count, case when flank_count >= 1500 then 1e0 else 0e0 end as acces, round(case when flank_count >= 1500 then a.q * b.q else 1 + 1 / (flank_count + 1) end, 7) as fos from flanks f left join l_cdf a using (motif_id) left join r_cdf b using (motif_id))"
+
+
+@query(with_views("select * from fos", "motifs", "signal", more=_fos("true", "true", "1.75", _FOS)))
+def footprint_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What footprint_calls knows without its permutations, scores too."""
+    return footprint_calls(spark, d).select(F.col("id").alias("motif_id"), "count", "acces", F.round("fos", 7).alias("fos"))
+
+
+@query(with_views("select * from fos", "motifs", "signal", more=_fos("s.pos % 2 = 0", "s.pos % 2 = 1", "2.0", _FOS)))
+def footprint_scores_stranded(spark: SparkSession, d: str) -> DataFrame:
+    return footprint_calls_stranded(spark, d).select(F.col("id").alias("motif_id"), "count", "acces", F.round("fos", 7).alias("fos"))
+
+
 @query()
 def similarity_pvalues(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"), (F.col("label") % 3).alias("c"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gzip
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from locusframe.scratch import materialise
+from locusframe.sources.parts import PartsWriter, Written, open_at
 
 SCHEMA = "file_row long, qname string, flag int, rname string, pos int, mapq int, rlen int, seq string, qual string, pnext int, tlen int, is_dup boolean"
 #: First bytes of a block, base codes, and the empty block at the end of a file.
@@ -394,12 +394,6 @@ def encode(qname: str, flag: int, ref: int, pos: int, mapq: int, seq: str, qual:
     return struct.pack("<i", len(body)) + body
 
 
-def _open(path: str):
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class _Part:
     """One sorted part: blocks as they fill, and what the index has of them: chunks by bin, and the first block of each window of 2^14 bases."""
 
@@ -454,51 +448,24 @@ class _Part:
         return b"".join(index)
 
 
-class _Writer(DataSourceArrowWriter):
+class _Writer(PartsWriter):
     def __init__(self, path: str, refs: list[tuple[str, int]]):
-        self.path, self.refs, self.trial = path.rstrip("/"), refs, f"_trial-{uuid.uuid4().hex}"
+        super().__init__(path)
+        self.refs = refs
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        fs, base = _open(self.path)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.bam"
-        folder = f"{base}/{self.trial}"
-        fs.create_dir(folder)
+        fs, folder, name = self.trial()
         number = {n: i for i, (n, _) in enumerate(self.refs)}
-        with fs.open_output_stream(f"{folder}/{name}") as out:
+        with fs.open_output_stream(f"{folder}/{name}.bam") as out:
             part = _Part(out, self.refs)
             for b in iterator:
                 for qname, flag, rname, pos, mapq, seq, qual, pnext, tlen in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in WRITTEN), strict=True):
                     ref = number[rname] if rname is not None else -1
                     part.add(ref, pos, len(seq), encode(qname, flag, ref, pos, mapq, seq, qual, pnext, tlen))
             index = part.close()
-        with fs.open_output_stream(f"{folder}/{name}.bai") as out:
+        with fs.open_output_stream(f"{folder}/{name}.bam.bai") as out:
             out.write(index)
-        return _Written(name if part.n else None)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """The parts of tasks that ended well move to their place; empty parts and what lost tasks left go."""
-        fs, base = _open(self.path)
-        for m in messages:
-            for end in ("", ".bai") if m is not None and m.name else ():
-                fs.move(f"{base}/{self.trial}/{m.name}{end}", f"{base}/{m.name}{end}")
-        fs.delete_dir(f"{base}/{self.trial}")
-        with fs.open_output_stream(f"{base}/_SUCCESS"):
-            pass
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        import pyarrow.fs
-
-        fs, base = _open(self.path)
-        if fs.get_file_info(f"{base}/{self.trial}").type != pyarrow.fs.FileType.NotFound:
-            fs.delete_dir(f"{base}/{self.trial}")
-
-
-class _Written(WriterCommitMessage):
-    def __init__(self, name: str | None):
-        self.name = name
+        return Written([f"{name}.bam", f"{name}.bam.bai"] if part.n else [])
 
 
 #: Columns of alignments that are written.
@@ -531,7 +498,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(partition.value)
+        fs, path = open_at(partition.value)
         data, refs, row = b"", None, 1
         with fs.open_input_file(path) as raw, gzip.open(raw) as f:
             while chunk := f.read(CHUNK):
@@ -627,7 +594,7 @@ def bam_region(spark: SparkSession, path: str, rname: str, start: int, end: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, file = _open(name.removesuffix(".bai"))
+                fs, file = open_at(name.removesuffix(".bai"))
                 with fs.open_input_file(file) as data:
                     first, refs = b"", None
                     at = 0
