@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +75,36 @@ def test_footprints(spark):
     assert (first[2]["count"], first[2].acces, first[2].fos, first[2].fos_cutoff, first[2].fps) == (0.0, 0.0, 2.0, -1.0, -1.0)
 
 
+def test_footprints_of_many_shapes(spark, monkeypatch):
+    """Sites of mixed lengths, also at the chromosome's start: scores equal plain sums, and tests don't depend on partitions, batches or blocks."""
+    r = np.random.default_rng(5)
+    val = {int(p): int(v) for p, v in zip(r.permutation(900)[:600], r.integers(1, 9, 600))}
+    sites = [(i, "a", lo, lo + int(r.integers(4, 12))) for i, lo in enumerate([0, 3, 9, *r.integers(20, 860, 40).tolist()])]
+    signal = spark.createDataFrame([("a", p, float(v)) for p, v in val.items()], "chrom string, pos long, val double")
+    d = spark.createDataFrame(sites, "id long, chrom string, lo long, hi long")
+    for stranded, factor in ((False, footprint.FLANK), (True, footprint.STRANDED_FLANK)):
+        plus, minus = (signal.where("pos % 2 = 0"), signal.where("pos % 2 = 1")) if stranded else (signal, signal)
+        make = lambda k, s=stranded, f=factor, a=plus, b=minus: {x.id: x for x in footprint.footprints(d.repartition(k), a, b, 1.0, f, stranded=s).collect()}
+        got = make(1)
+        assert got == make(4) and len(got) == len(sites)
+        for i, _, lo, hi in sites:
+            flank = int(np.floor(factor * (hi - lo + 1) + 0.5))
+            fl, fr, fos = max(0, lo - flank), hi + flank, 1.0
+            for odd, a, b in ((0, fl, hi), (1, lo, fr)):
+                v = lambda p, odd=odd: val.get(p, 0) if not stranded or p % 2 == odd else 0
+                n, k, q = sum(v(p) + v(p + 1) for p in range(a, b)), sum(v(p) for p in range(lo, hi + 1)), (hi - lo + 1) / (b - a + 1)
+                fos *= min(1.0, sum(math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(min(k, n) + 1)))
+            assert got[i].acces == 1.0 and abs(got[i].fos - fos) < 1e-9 and got[i].fps == float(got[i].fos <= got[i].fos_cutoff)
+    b = pd.DataFrame({"id": [1, 2, 3], "lo": [50, 150, 250], "hi": [59, 159, 259], "fl": [32, 132, 232], "fr": [77, 177, 277], "cent": 9.0, "cent_r": 9.0, "count": 50.0})
+    for c in ("p", "n"):
+        b[f"{c}_at"], b[c] = [np.arange(30, 80), None, np.arange(240, 260)], [r.integers(0, 5, 50).astype(float), None, np.ones(20)]
+    one = footprint._tests(b, 9, 18, 18, True, 1)
+    monkeypatch.setattr(footprint, "BLOCK", 100)
+    for part in (b, b.iloc[[2, 1, 0]]):
+        assert footprint._tests(part, 9, 18, 18, True, 1).sort_values("id").reset_index(drop=True).equals(one)
+    assert footprint._tests(b.iloc[[1]], 9, 18, 18, True, 1).iloc[0].tolist() == one.iloc[1].tolist()
+
+
 def test_similarity(spark):
     r = np.random.default_rng(1)
     table = lambda shift: spark.createDataFrame([(float(r.normal(shift)), int(r.integers(0, 3))) for _ in range(300)], "x double, k int")
