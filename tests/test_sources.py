@@ -5,7 +5,7 @@ import struct
 
 import pytest
 
-from locusframe.sources import readers, writers
+from locusframe.sources import parts, readers, writers
 
 
 def put(path, text):
@@ -150,3 +150,13 @@ def test_only_the_files_of_a_chromosome_are_opened(spark, here):
     assert len(readers.bed_sites(spark, sites, tf="JUN").inputFiles()) == 3
     assert [(r.tf, r.chrom) for r in readers.bed_sites(spark, sites, "chrX", "CTCF").collect()] == [("CTCF", "chrX")]
     assert readers.bed_sites(spark, sites).count() == 6
+
+
+def test_named_texts(spark, here):
+    rows = [("a.txt", 2, "second"), ("a.txt", 1, "first"), ("k/b.txt.gz", 1, "x\ty"), (None, 1, "no"), ("c.txt", 1, None), ("k/b.txt.gz", 2, "")]
+    parts.named_texts(spark.createDataFrame(rows, "name string, at long, value string"), str(here / "n"))
+    assert (here / "n/a.txt").read_text() == "first\nsecond\n" and gzip.open(here / "n/k/b.txt.gz", "rt").read() == "x\ty\n\n"
+    assert sorted(p.name for p in (here / "n").rglob("*") if p.is_file() and p.name[0] != "_") == ["a.txt", "b.txt.gz"]
+    assert not list((here / "n").glob("_trial*"))
+    parts.named_texts(spark.createDataFrame([], "name string, at long, value string"), str(here / "none"))
+    assert [p.name for p in (here / "none").iterdir()] == ["_SUCCESS"]
