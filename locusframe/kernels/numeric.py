@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from math import lgamma
+from math import erfc, lgamma
 
 import numpy as np
 
@@ -100,6 +100,29 @@ def chi_square_p(table: np.ndarray) -> float:
     return gamma_q(df / 2, x / 2) if df else 1.0
 
 
+_erfc = np.frompyfunc(erfc, 1, 1)
+
+
+def chi_square_ps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """chi_square_p() of many tables at once: a and b are (tables, levels), the counts of the two sides."""
+    levels, na, nb = (a + b).astype(float), a.sum(axis=1, keepdims=True), b.sum(axis=1, keepdims=True)
+    x, total = np.zeros(len(a)), np.maximum(na + nb, 1)
+    for side, n in ((a, na), (b, nb)):
+        e = levels * n / total
+        x += np.divide((side - e) ** 2, e, out=np.zeros_like(e), where=e > 0).sum(axis=1)
+    df = np.where((na > 0) & (nb > 0), (levels > 0).sum(axis=1, keepdims=True) - 1, 0)[:, 0]
+    # Tail areas of half the degrees of freedom, from those of 1 or 2 degrees up.
+    half, out = x / 2, np.ones(len(a))
+    for odd in (0, 1):
+        s = 1 - odd / 2
+        tail = _erfc(np.sqrt(half)).astype(float) if odd else np.exp(-half)
+        for d in range(2 - odd, int(df.max(initial=0)) + 1, 2):
+            out = np.where(df == d, tail, out)
+            tail = tail + np.exp(np.log(np.maximum(half, 1e-300)) * s - half - lgamma(s + 1))
+            s += 1
+    return out
+
+
 def bisquare_fit(x: np.ndarray, y: np.ndarray, c: float = 4.685, rounds: int = 1000, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (intercept first) and weights of Tukey's bisquare M-estimate: least squares start, scale from the median absolute residual."""
     a = np.column_stack([np.ones(len(x)), x])

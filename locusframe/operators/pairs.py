@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.curves import NUMBERS, evaluate, metrics
-from locusframe.operators.similarity import permutation_p
+from locusframe.operators.similarity import pair_tests, permutation_p
 
 #: Rows of model or moment tables that are broadcast; the term of a model's constant.
 BROADCAST, INTERCEPT = 500_000, "intercept"
@@ -30,10 +30,15 @@ def similarity_rows(model: str, target: str, a: DataFrame, b: DataFrame, feature
     """(model, target, feature, pvalue) of the permutation tests between two samples' tables; None where target precedes model, as each pair is tested once."""
     if model < target:
         return None
-    p = permutation_p(a, b, features, size, permutations, category_size=category_size)
+    p = permutation_p(a, b, features, size, permutations, category_size=category_size, names=(model, target)) if model != target else permutation_p(a, b, features, size, permutations, category_size=category_size)
     return p.select(F.lit(model).alias("model"), F.lit(target).alias("target"), "feature", "pvalue")
 
 
+def similarity(data: DataFrame, pairs: DataFrame, features: list[str], size: int = 500, permutations: int = 10_000, category_size: int = 10_000) -> DataFrame:
+    """(model, target, feature, kind, n, pvalue): similarity_rows() of all pairs (model, target) of data's samples in one job; pairs whose target precedes the model are left out, as each is tested once."""
+    return pair_tests(data, pairs.where("model >= target"), features, size, permutations, category_size=category_size)
+
+
 def performance_rows(model: str, target: str, d: DataFrame, own: LinearModel, other: LinearModel, score: str = "acces_score", call: str = "acces", label: str = "gs", id_col: str = "id") -> DataFrame:
     """(model, target, metric, value): twelve numbers on the target's table d, by its own model, the other sample's, and score times call."""
     alone = d.select(F.col(id_col).alias("id"), (F.col(score) * F.col(call)).alias("score"), F.col(label).alias("gs"))

@@ -674,3 +674,22 @@ def all_pair_performance(spark: SparkSession, d: str) -> DataFrame:
     data = vectors.join(nation, F.col("vec_id") % 25 == F.col("n_nationkey")).select(F.col("n_name").alias("sample"), F.col("vec_id").alias("id"), *"abcd", "acces", "gs")
     pairs = view(spark, d, "pairs_y").select("model", "target").distinct()
     return pairs_of.performance(data, spark.sql(_NATION_MODELS), pairs, list("abcd"), products=True, score="d").withColumn("value", F.round("value", 6))
+
+
+@query()
+def all_pair_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation tests of three features for every pair of regions, each with the vectors of its key, itself included."""
+    region = spark.read.parquet(f"{d}/region.parquet")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 5).alias("key"), F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"), (F.col("label") % 3).alias("c"))
+    data = e.join(region, F.col("key") == F.col("r_regionkey")).select(F.col("r_name").alias("sample"), "a", "b", "c")
+    return pairs_of.similarity(data, mapping.sample_pairs(region.select(F.col("r_name").alias("sample"))), list("abc"))
+
+
+@query(f"""with v as (select r_name as sample, cast({_E[0]} as double) as a, cast({_E[1]} as double) as b, cast(label % 3 as double) as c from embeddings join region on vec_id % 5 = r_regionkey),
+l as (select sample, feature, value from v unpivot (value for feature in (a, b, c))),
+s as (select sample, feature, count(*) as rows from l group by 1, 2)
+select m.sample as model, t.sample as target, feature, case when levels <= 6 then 'chi2' else 'ks' end as kind, cast(least(m.rows, t.rows, case when levels <= 6 then 10000 else 500 end) as int) as n
+from s m join s t using (feature) join lateral (select count(distinct value) as levels from l where l.feature = m.feature and l.sample in (m.sample, t.sample)) on true where m.sample >= t.sample""")
+def all_pair_similarity_known(spark: SparkSession, d: str) -> DataFrame:
+    """What all_pair_similarity knows without its permutations: each pair's kind of test, and rows of a sub-sample."""
+    return all_pair_similarity(spark, d).select("model", "target", "feature", "kind", "n")

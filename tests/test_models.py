@@ -130,6 +130,45 @@ def test_similarity_draws_from_all_rows(spark, monkeypatch):
     assert empty.kind == "ks" and empty.pvalue is None
 
 
+def test_similarity_of_all_pairs_is_that_of_each(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(s, float(np.round(r.normal(i / 3), 1)), int(r.integers(0, 3 + i)), None if s == "c" else float(r.integers(0, 2))) for i, s in enumerate("abcd") for _ in range(200 + 50 * i)]
+    data = spark.createDataFrame([*rows, (None, 1.0, 1, 1.0), ("e", 9.0, 9, 9.0)], "sample string, x double, k int, few double")
+    pairs = spark.createDataFrame([(m, t) for m in "abcd" for t in "abcd" if m >= t] + [("d", "a"), (None, "a"), ("d", "z")], "model string, target string")
+    call = lambda: {(p.model, p.target, p.feature): (p.kind, p.n, p.pvalue) for p in similarity.pair_tests(data, pairs, ["x", "k", "few"], 60, 150, 1, 90).collect()}
+    got = call()
+    assert len(got) == 10 * 3 - 1 + 3  # c has no values of few: no row for the pair with itself; z has no rows
+    assert got["d", "z", "x"] == ("ks", 0, None) and got["c", "a", "few"] == ("chi2", 0, None) and got["d", "a", "few"][:2] == ("chi2", 90)
+    assert [got[m, m, "k"][0] for m in "abcd"] == ["chi2"] * 4 and got["d", "a", "k"][0] == "chi2"
+    assert got["d", "a", "x"][2] < 0.1 < min(got[m, m, "x"][2] for m in "abcd") and got["b", "a", "x"][1] == 60
+    for m, t in (("b", "a"), ("d", "c"), ("c", "a")):
+        one, two = (data.where(F.col("sample") == s).drop("sample") for s in (m, t))
+        for p in similarity.permutation_p(one, two, ["x", "k", "few"], 60, 150, 1, 90, names=(m, t)).collect():
+            assert (p.kind, p.pvalue) == (got[m, t, p.feature][0], got[m, t, p.feature][2])
+    monkeypatch.setattr(similarity, "BLOCK_DRAWS", 4_000)
+    monkeypatch.setattr(similarity, "GROUP_DRAWS", 3_000)
+    assert call() == got
+    with monkeypatch.context() as m:
+        m.setattr(similarity, "MAX_PAIRS", 3)
+        with pytest.raises(ValueError, match="pairs"):
+            call()
+    none = similarity.pair_tests(data.limit(0), pairs, ["x"], 60, 150)
+    assert none.count() == 0 and similarity.pair_tests(data, pairs.limit(0), ["x"], 60, 150).count() == 0
+
+
+def test_p_values_of_many_tables_and_samples():
+    r = np.random.default_rng(6)
+    for levels in range(1, 7):
+        a, b = r.integers(0, 5, (200, levels)), r.integers(0, 5, (200, levels))
+        a[0], b[1], a[2], b[2] = 0, 0, 0, 0
+        want = [numeric.chi_square_p(np.stack(t)) for t in zip(a, b)]
+        assert np.allclose(numeric.chi_square_ps(a, b), want, atol=1e-10)
+    a, b = np.round(r.normal(size=(300, 40)), 1), np.round(r.normal(0.5, 1, (300, 40)), 1)
+    a[:5, 3], b[:3, 7] = np.nan, np.nan
+    want = [numeric.kolmogorov_p(numeric.ks_statistic(x, y), 40, 40) for x, y in zip(a, b)]
+    assert np.allclose(similarity._ks_ps(a, b), want, atol=1e-12)
+
+
 def test_cross_validation_has_all_cells_of_its_pairs(spark, monkeypatch):
     r = np.random.default_rng(3)
     names = [f"s{i}" for i in range(6)]
