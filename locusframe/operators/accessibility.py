@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from locusframe.kernels import mixture
 from locusframe.kernels.mixture import Mixture
+from locusframe.scratch import materialise
 
 #: Distinct counts that a histogram may have for a fit; far beyond what windows of some hundred bases hold.
 MAX_COUNTS = 5_000_000
@@ -59,13 +60,16 @@ def repaired(grid: DataFrame, m: Mixture) -> DataFrame:
     return grid.crossJoin(F.broadcast(low)).withColumn("score", F.when(F.col("count") < F.col("low.count"), F.col("low.score") - F.col("low.count") + F.col("count")).otherwise(F.col("score"))).drop("low")
 
 
-def call_sites(counts: DataFrame, m: Mixture, legacy: bool = False) -> DataFrame:
-    """counts (motif_id, cut_count) with score and accessible (count >= cutoff; null without a cutoff)."""
-    counts = counts.withColumn("count", F.rint("cut_count").cast("long"))
-    grid = score_grid(counts.agg(F.max("count").alias("top")), m)
+def call_sites(counts: DataFrame, m: Mixture, legacy: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """counts (motif_id, cut_count, and what keep names) with score and accessible (count >= cutoff; null without a cutoff).
+
+    Counts are written once, as their largest and the calls both read them, and scored a row a different count.
+    """
+    counts = materialise(counts.select("motif_id", "cut_count", *keep, F.rint("cut_count").cast("long").alias("count")), "counts")
+    grid = materialise(score_grid(counts.agg(F.max("count").alias("top")), m), "grid")
     used = repaired(grid, m) if legacy else grid
     rows = counts.join(used.select("count", "score"), "count").crossJoin(F.broadcast(cutoff(grid)))  # one row
-    return rows.select("motif_id", "cut_count", "score", (F.col("count") >= F.col("cutoff")).cast("int").alias("accessible"))
+    return rows.select("motif_id", "cut_count", *keep, "score", (F.col("count") >= F.col("cutoff")).cast("int").alias("accessible"))
 
 
 def posterior_sums(hist: DataFrame, m: Mixture) -> DataFrame:

@@ -309,11 +309,12 @@ _ALL = ("motifs", "signal", "maptrack", "blocks", "transcripts", "genome")
 
 def _matrix(spark: SparkSession, d: str, m=M) -> DataFrame:
     by = lambda x, *c: x.select(F.col("id").alias("motif_id"), *c)
+    # The flanks are the window of the cut counts without the site, so one pass over the signal gives both.
+    cuts = by(intervals.range_sums(_sites(spark, d), {"cent": ("lo", "hi"), "cut_count": (F.col("lo") - 100, F.col("hi") + 100)}, view(spark, d, "signal")), "cent", "cut_count")
     parts = [
         view(spark, d, "motifs").select("motif_id", "score"),
         by(_nearest(spark, d), F.col("distance").alias("dtss")),
-        acc.call_sites(site_cut_counts(spark, d), m).select("motif_id", F.col("accessible").alias("acces")),
-        by(footprint.flank_counts(_sites(spark, d), view(spark, d, "signal")), (F.col("cent") * 10 < F.col("count")).cast("int").alias("footprint")),
+        acc.call_sites(cuts, m, keep=("cent",)).select("motif_id", F.col("accessible").alias("acces"), (F.col("cent") * 10 < F.col("cut_count") - F.col("cent")).cast("int").alias("footprint")),
         by(intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")), F.col("mean").alias("map")),
         by(intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")), F.col("mean").alias("cons")),
         by(_site_sequence(spark, d), *[F.col(a).alias(b) for a, b in (("class_0", "repeats"), ("gc_100", "gc_w1"), ("cpg_100", "cpg_w1"), ("ratio_400", "cpg_wr4"), ("gc_400", "gc_w4"))]),
