@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators.curves import NUMBERS, evaluate, metrics
-from locusframe.operators.similarity import pair_tests, permutation_p
+from locusframe.operators.scan import running
+from locusframe.operators.similarity import CATEGORIES, pair_tests, permutation_p
+from locusframe.scratch import materialise
 
 #: Rows of model or moment tables that are broadcast; the term of a model's constant.
 BROADCAST, INTERCEPT = 500_000, "intercept"
@@ -39,6 +41,31 @@ def similarity(data: DataFrame, pairs: DataFrame, features: list[str], size: int
     return pair_tests(data, pairs.where("model >= target"), features, size, permutations, category_size=category_size)
 
 
+def statistics(data: DataFrame, pairs: DataFrame, features: list[str]) -> DataFrame:
+    """(model, target, feature, kind, statistic, df) of each pair of data's samples (sample, features ...) and each feature that one of them has values of, over all their rows.
+
+    kind is chi2 for features of at most CATEGORIES distinct values over both samples: the statistic of the table of
+    values and samples, and its degrees of freedom; else it is ks: the largest distance of the two distribution
+    functions, without df. Without values on one side the statistic is null. Null samples and repeated pairs are left
+    out. Values are counted once a sample, and the counts of a pair's samples by value are one key of a prefix scan, so
+    neither a pair nor a value is one task's work.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in features]))
+    counted = materialise(data.select("sample", values.alias("x")).where("x.value is not null").groupBy("sample", "x.feature", "x.value").agg(F.count("*").alias("n")), "counted")
+    pairs = _small(pairs.select("model", "target").distinct())
+    sides = [counted.join(pairs, F.col("sample") == F.col(side)).select("model", "target", "feature", "value", *[(F.col("n") if c == side else F.lit(0)).cast("long").alias(k) for k, c in (("a", "model"), ("b", "target"))]) for side in ("model", "target")]
+    key = ["model", "target", "feature"]
+    upto = running(sides[0].unionAll(sides[1]).groupBy(*key, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), key, ["value"], {"ca": ("sum", F.col("a")), "cb": ("sum", F.col("b"))})
+    whole = upto.groupBy(*[F.col(k).alias(f"k_{k}") for k in key]).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count("*").alias("levels"))
+    rows = upto.join(_small(materialise(whole, "whole")), [F.col(k) == F.col(f"k_{k}") for k in key])
+    gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
+    expected = lambda n: (F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))
+    cell = lambda seen, n: F.try_divide(F.pow(F.col(seen) - expected(n), F.lit(2)), expected(n))
+    found = rows.groupBy(*key, "levels").agg(F.max(gap).alias("ks"), F.sum(cell("a", "na") + cell("b", "nb")).alias("chi2"))
+    few = F.col("levels") <= CATEGORIES
+    return found.select(*key, F.when(few, "chi2").otherwise("ks").alias("kind"), F.when(few, F.col("chi2")).otherwise(F.col("ks")).alias("statistic"), F.when(few & F.col("chi2").isNotNull(), F.col("levels") - 1).cast("int").alias("df"))
+
+
 def performance_rows(model: str, target: str, d: DataFrame, own: LinearModel, other: LinearModel, score: str = "acces_score", call: str = "acces", label: str = "gs", id_col: str = "id") -> DataFrame:
     """(model, target, metric, value): twelve numbers on the target's table d, by its own model, the other sample's, and score times call."""
     alone = d.select(F.col(id_col).alias("id"), (F.col(score) * F.col(call)).alias("score"), F.col(label).alias("gs"))

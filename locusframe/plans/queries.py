@@ -694,3 +694,19 @@ from s m join s t using (feature) join lateral (select count(distinct value) as
 def all_pair_similarity_known(spark: SparkSession, d: str) -> DataFrame:
     """What all_pair_similarity knows without its permutations: each pair's kind of test, and rows of a sub-sample."""
     return all_pair_similarity(spark, d).select("model", "target", "feature", "kind", "n")
+
+
+@query(f"""with v as (select n_name as sample, cast({_E[0]} as double) as a, cast({_E[1]} as double) as b, cast(label % 3 as double) as c from embeddings join nation on vec_id % 25 = n_nationkey),
+l as (select sample, feature, value from v unpivot (value for feature in (a, b, c))), p as (select a.n_name as model, b.n_name as target from nation a join nation b on a.n_name >= b.n_name),
+x as (select model, target, feature, value, sum(one) as a, sum(two) as b from (select model, target, feature, value, 1 as one, 0 as two from p join l on sample = model union all select model, target, feature, value, 0, 1 from p join l on sample = target) group by 1, 2, 3, 4),
+y as (select *, sum(a) over w as ca, sum(b) over w as cb, sum(a) over k as na, sum(b) over k as nb, count(*) over k as levels from x window w as (partition by model, target, feature order by value), k as (partition by model, target, feature))
+select model, target, feature, case when levels <= 6 then 'chi2' else 'ks' end as kind,
+  round(case when levels <= 6 then (max(na) + max(nb)) * (sum(a * a / ((a + b) * na) + b * b / ((a + b) * nb)) - 1) else max(abs(ca / na - cb / nb)) end, 8) + 0e0 as statistic, cast(case when levels <= 6 then levels - 1 end as int) as df
+from y group by model, target, feature, levels""")
+def all_pair_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Two-sample statistics of three features for every pair of nations, each with the vectors of its key, itself included."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 25).alias("key"), F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"), (F.col("label") % 3).alias("c"))
+    data = e.join(nation, F.col("key") == F.col("n_nationkey")).select(F.col("n_name").alias("sample"), "a", "b", "c")
+    pairs = mapping.sample_pairs(nation.select(F.col("n_name").alias("sample"))).where("model >= target")
+    return pairs_of.statistics(data, pairs, list("abc")).withColumn("statistic", F.round("statistic", 8) + F.lit(0.0))

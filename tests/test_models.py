@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.kernels import mixture, numeric
 from locusframe.kernels.mixture import Mixture
 from locusframe.operators import accessibility as acc
-from locusframe.operators import footprint, mapping, similarity
+from locusframe.operators import footprint, mapping, pairs, similarity
 
 TRUE = Mixture(10, 3, 98, 5, 0.01, 0.89)
 
@@ -134,8 +134,8 @@ def test_similarity_of_all_pairs_is_that_of_each(spark, monkeypatch):
     r = np.random.default_rng(5)
     rows = [(s, float(np.round(r.normal(i / 3), 1)), int(r.integers(0, 3 + i)), None if s == "c" else float(r.integers(0, 2))) for i, s in enumerate("abcd") for _ in range(200 + 50 * i)]
     data = spark.createDataFrame([*rows, (None, 1.0, 1, 1.0), ("e", 9.0, 9, 9.0)], "sample string, x double, k int, few double")
-    pairs = spark.createDataFrame([(m, t) for m in "abcd" for t in "abcd" if m >= t] + [("d", "a"), (None, "a"), ("d", "z")], "model string, target string")
-    call = lambda: {(p.model, p.target, p.feature): (p.kind, p.n, p.pvalue) for p in similarity.pair_tests(data, pairs, ["x", "k", "few"], 60, 150, 1, 90).collect()}
+    asked = spark.createDataFrame([(m, t) for m in "abcd" for t in "abcd" if m >= t] + [("d", "a"), (None, "a"), ("d", "z")], "model string, target string")
+    call = lambda: {(p.model, p.target, p.feature): (p.kind, p.n, p.pvalue) for p in similarity.pair_tests(data, asked, ["x", "k", "few"], 60, 150, 1, 90).collect()}
     got = call()
     assert len(got) == 10 * 3 - 1 + 3  # c has no values of few: no row for the pair with itself; z has no rows
     assert got["d", "z", "x"] == ("ks", 0, None) and got["c", "a", "few"] == ("chi2", 0, None) and got["d", "a", "few"][:2] == ("chi2", 90)
@@ -152,8 +152,25 @@ def test_similarity_of_all_pairs_is_that_of_each(spark, monkeypatch):
         m.setattr(similarity, "MAX_PAIRS", 3)
         with pytest.raises(ValueError, match="pairs"):
             call()
-    none = similarity.pair_tests(data.limit(0), pairs, ["x"], 60, 150)
-    assert none.count() == 0 and similarity.pair_tests(data, pairs.limit(0), ["x"], 60, 150).count() == 0
+    none = similarity.pair_tests(data.limit(0), asked, ["x"], 60, 150)
+    assert none.count() == 0 and similarity.pair_tests(data, asked.limit(0), ["x"], 60, 150).count() == 0
+
+
+def test_statistics_of_all_pairs_are_those_of_each(spark):
+    r = np.random.default_rng(8)
+    rows = [(s, float(np.round(r.normal(i / 3), 1)), int(r.integers(0, 3 + i)), None if s == "c" else 1.0) for i, s in enumerate("abc") for _ in range(90 + 50 * i)]
+    data = spark.createDataFrame([*rows, (None, 1.0, 1, 1.0)], "sample string, x double, k int, few double").repartition(7)
+    asked = [("b", "a"), ("c", "a"), ("a", "a"), ("b", "a"), ("c", "z")]
+    out = pairs.statistics(data, spark.createDataFrame(asked, "model string, target string"), ["x", "k", "few"])
+    got = {(p.model, p.target, p.feature): (p.kind, p.statistic, p.df) for p in out.collect()}
+    assert len(got) == out.count() == 11 and got["c", "z", "x"] == ("ks", None, None) and got["c", "a", "few"] == ("chi2", None, None) and got["b", "a", "few"] == ("chi2", 0.0, 0)
+    side = lambda m, t, c: data.where(F.col("sample") == m).select(F.col(c).alias("value"), F.lit(0).alias("side")).unionAll(data.where(F.col("sample") == t).select(c, F.lit(1)))
+    for m, t in asked[:3]:
+        assert got[m, t, "x"][1] == pytest.approx(similarity.ks(side(m, t, "x")).first().ks, abs=1e-12)
+        one = similarity.chi2(side(m, t, "k")).first()
+        assert got[m, t, "k"] == ("chi2", pytest.approx(one.chi2, abs=1e-9), one.df)
+    assert got["a", "a", "x"][1] == 0.0
+    assert pairs.statistics(data.limit(0), spark.createDataFrame(asked, "model string, target string"), ["x"]).count() == 0
 
 
 def test_p_values_of_many_tables_and_samples():
