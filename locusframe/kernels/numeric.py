@@ -40,6 +40,42 @@ def binomial_cdf(k: np.ndarray | float, n: float, p: float) -> np.ndarray:
     return np.where(k < 0, 0.0, table[np.clip(k, 0, max(n, 0))])
 
 
+def binomial_cdfs(k: np.ndarray, n: np.ndarray, p: np.ndarray | float) -> np.ndarray:
+    """P(X <= k) of binomial counts, element by element; k and n are rounded down. Time doesn't grow with n: the regularised incomplete beta function, by its continued fraction."""
+    k, n, p = (np.asarray(x, float) for x in np.broadcast_arrays(k, n, p))
+    k, n = np.floor(k), np.floor(n)
+    out = np.where((k < 0) | (p >= 1) & (k < n), 0.0, 1.0)
+    some = (k >= 0) & (k < n) & (p > 0) & (p < 1)
+    a, b, p = n[some] - k[some], k[some] + 1, p[some]
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log1p(-p) + b * np.log(p))
+    swap = (1 - p) * (a + b + 2) > a + 1  # the fraction converges fast on one side of the mean
+    part = front * _beta_fraction(np.where(swap, b, a), np.where(swap, a, b), np.where(swap, p, 1 - p))
+    out[some] = np.clip(np.where(swap, 1 - part / b, part / a), 0.0, 1.0)
+    return out
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function by Lentz's method; terms are added until they change nothing."""
+    tiny, out, at = 1e-300, np.ones(len(a)), np.arange(len(a))
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones(len(a)), 1 / safe(1 - (a + b) * x / (a + 1))
+    h, m = d.copy(), 0
+    while len(at):
+        m += 1
+        term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / safe(1 + term * d), safe(1 + term / c)
+        h = h * d * c
+        term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / safe(1 + term * d), safe(1 + term / c)
+        h = h * d * c
+        done = (np.abs(d * c - 1) < 1e-15) | (m >= 1_000_000)
+        if done.any():
+            out[at[done]] = h[done]
+            left = ~done
+            a, b, x, c, d, h, at = (v[left] for v in (a, b, x, c, d, h, at))
+    return out
+
+
 def negative_binomial_log_pmf(count: np.ndarray, mu: float, theta: float) -> np.ndarray:
     c = np.asarray(count, float)
     return log_gamma(c + theta) - lgamma(theta) - log_gamma(c + 1) + theta * np.log(theta / (theta + mu)) + c * np.log(mu / (mu + theta))

@@ -105,6 +105,39 @@ def test_footprints_of_many_shapes(spark, monkeypatch):
     assert footprint._tests(b.iloc[[1]], 9, 18, 18, True, 1).iloc[0].tolist() == one.iloc[1].tolist()
 
 
+def test_binomial_probabilities_of_many_cuts():
+    """Probabilities that don't walk through all counts are those that do, for few and many cuts, at and beyond both ends."""
+    for n in (0, 1, 7, 300, 40_000):
+        for p in (0.0, 0.05, 0.31, 0.9, 1.0):
+            k = np.unique(np.clip(np.concatenate([[-1, 0, 1, n - 1, n, n + 3], n * p + np.sqrt(n + 1) * np.arange(-9, 9)]), -1, n + 3))
+            assert np.allclose(numeric.binomial_cdfs(k, np.full(len(k), n), p), numeric.binomial_cdf(k, n, p), rtol=1e-7, atol=1e-11)
+    assert 0.49 < float(numeric.binomial_cdfs(np.array([3e8]), np.array([1e9]), 0.3)[0]) < 0.51
+
+
+def test_footprint_limit_is_that_of_all_shuffles():
+    """Leaving out shuffles that others undercut on both sides keeps the fifth smallest product, with ties and without cuts too."""
+    r = np.random.default_rng(8)
+    a, b = r.integers(0, 30, (40, 500)).astype(float), r.integers(0, 60, (40, 500)).astype(float)
+    a[0], b[0], a[1], b[2] = 0.0, 0.0, 4.0, 7.0
+    n, m = a.max(axis=1) * 2, b.max(axis=1) * 2
+    every = np.stack([numeric.binomial_cdfs(x, u, 0.3) * numeric.binomial_cdfs(y, v, 0.4) for x, y, u, v in zip(a, b, n, m)])
+    assert np.allclose(footprint._smallest((a, b), (n, m), (0.3, 0.4)), np.sort(every, axis=1)[:, 4], rtol=1e-12)
+
+
+def test_footprints_test_a_place_once(spark, monkeypatch):
+    """Sites of one place are one test, however many they are, and each gets its row; windows may be wider than a bin."""
+    signal = spark.createDataFrame([("a", p, float(p % 7)) for p in range(1, 9000)], "chrom string, pos long, val double")
+    sites = spark.createDataFrame([(i, "a", lo, lo + size) for i, (lo, size) in enumerate([(3000, 9), (3000, 9), (2040, 9), (2047, 9), (3000, 3000), (0, 9)] * 2)], "id long, chrom string, lo long, hi long")
+    got = {x.id: x for x in footprint.footprints(sites, signal, signal, 1.0).collect()}
+    assert sorted(got) == list(range(12)) and all(got[i][1:] == got[i + 6][1:] for i in range(6)) and got[0][1:] == got[1][1:]
+    monkeypatch.setattr(footprint, "BIN", 64)
+    assert {x.id: x for x in footprint.footprints(sites, signal, signal, 1.0).collect()} == got
+    seen = spark.sparkContext.accumulator(0)
+    draws = footprint._draws
+    monkeypatch.setattr(footprint, "_draws", lambda b, *a: seen.add(len(b)) or draws(b, *a))
+    assert footprint.footprints(sites, signal, signal, 1.0).count() == 12 and seen.value <= 6
+
+
 def test_similarity(spark):
     r = np.random.default_rng(1)
     table = lambda shift: spark.createDataFrame([(float(r.normal(shift)), int(r.integers(0, 3))) for _ in range(300)], "x double, k int")
