@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.operators import reads as read_ops
@@ -28,11 +29,14 @@ def _text(lines: DataFrame, name: str, *columns: str, compression: str = "none")
 
 
 def _blocks(rows: DataFrame, header: str, line: str, key: list[str], order: str, name: str) -> str:
-    """One header line for each key, then its lines in order; a chromosome stays in one file."""
-    heads = rows.select(*key).distinct().selectExpr("chrom", *[k for k in key if k != "chrom"], "cast(-1 as long) as o", f"{header} as value")
-    body = rows.selectExpr("chrom", *[k for k in key if k != "chrom"], f"cast({order} as long) as o", f"{line} as value")
+    """One header line for each key, then its lines in order; a key stays in one file, and a file has many.
+
+    The header comes with the key's first line: a table of headers joined by a union may be dealt to other tasks than the lines.
+    """
+    first = F.row_number().over(W.partitionBy(*key).orderBy("o")) == 1
+    lines = rows.selectExpr(*key, f"cast({order} as long) as o", f"{header} as header", f"{line} as line").withColumn("first", first).sortWithinPartitions(*key, "o")
     path = _path(rows.sparkSession, name)
-    heads.unionByName(body).repartition("chrom").sortWithinPartitions(*key, "o").select("value").write.text(path)
+    lines.select(F.explode(F.when(F.col("first"), F.array("header", "line")).otherwise(F.array("line"))).alias("value")).write.text(path)
     return path
 
 
@@ -50,7 +54,8 @@ def file_gff_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("select chrom, pos, cast(cast(val as float) as double) as val from signal", "signal"))
 def file_variable_step(spark: SparkSession, d: str) -> DataFrame:
-    path = _blocks(view(spark, d, "signal"), "concat('variableStep chrom=', chrom)", "concat(pos, '\t', val)", ["chrom"], "pos", "variable")
+    rows = view(spark, d, "signal").withColumn("piece", F.expr("pos div 4096"))  # a chromosome is many blocks, as no task has to write it all
+    path = _blocks(rows, "concat('variableStep chrom=', chrom)", "concat(pos, '\t', val)", ["chrom", "piece"], "pos", "variable")
     return readers.variable_step(spark, path)
 
 

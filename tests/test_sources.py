@@ -4,7 +4,10 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from locusframe.plans import files
 from locusframe.sources import parts, readers, writers
 
 
@@ -160,3 +163,21 @@ def test_named_texts(spark, here):
     assert not list((here / "n").glob("_trial*"))
     parts.named_texts(spark.createDataFrame([], "name string, at long, value string"), str(here / "none"))
     assert [p.name for p in (here / "none").iterdir()] == ["_SUCCESS"]
+
+
+def test_blocks_keep_their_headers_in_any_number_of_tasks(spark):
+    """Headers stand above their lines also where small shuffles are put together and large ones aren't; a key's lines are in one file."""
+    sets = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4kb", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8kb"}
+    before = {k: spark.conf.get(k) for k in sets}
+    for k, v in sets.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(6000).selectExpr("concat('chr', id % 5) as chrom", "id div 5 as at", "repeat('ACGT', 20) as seq").withColumn("at", F.sum(F.lit(1)).over(W.partitionBy("chrom").orderBy("at")))
+        path = files._blocks(rows, "concat('>', chrom)", "seq", ["chrom"], "at", "blocks")
+        assert {(r.chrom, len(r.seq)) for r in readers.fasta(spark, path).collect()} == {(f"chr{i}", 96_000) for i in range(5)}
+        path = files._blocks(rows.selectExpr("*", "at div 100 as piece"), "concat('fixedStep chrom=', chrom, ' start=', piece, ' step=1')", "cast(at as string)", ["chrom", "piece"], "at", "fixed")
+        assert {r.n for r in readers.fixed_step(spark, path).groupBy("chrom", "block_start").agg(F.count("*").alias("n")).collect()} <= {99, 100, 1}
+        assert len({r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()}) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
