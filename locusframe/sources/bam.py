@@ -25,6 +25,8 @@ from locusframe.sources.parts import PartsWriter, Written, open_at
 
 SCHEMA = "file_row long, qname string, flag int, rname string, pos int, mapq int, rlen int, seq string, qual string, pnext int, tlen int, is_dup boolean"
 #: First bytes of a block, base codes, and the empty block at the end of a file.
+#: Bytes of records of a region that are decoded at once.
+REGION_BATCH = 1 << 20
 MAGIC = b"\x1f\x8b\x08\x04"
 BASES = b"=ACMGRSVTWYHKDBN"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -525,7 +527,8 @@ def write_bam(alignments: DataFrame, path: str, references: list[tuple[str, int]
     spark.dataSource.register(BamSource)
     number = F.array_position(F.array(*[F.lit(n) for n, _ in references]), F.col("rname"))
     rows = alignments.select(*WRITTEN, F.coalesce(number, F.lit(1 << 31)).alias("ref"))
-    rows = rows.repartitionByRange("ref", "pos").sortWithinPartitions("ref", "pos").select(*WRITTEN)
+    # Names deal the records of one position to parts, however many there are.
+    rows = rows.repartitionByRange("ref", "pos", "qname").sortWithinPartitions("ref", "pos").select(*WRITTEN)
     rows.write.format("bam").mode("append").option("references", ",".join(f"{n}:{size}" for n, size in references)).save(path)
 
 
@@ -560,9 +563,9 @@ def chunks_over(index: bytes, ref: int, start: int, end: int) -> list[tuple[int,
     return [(a, b) for a, b in merged]
 
 
-def region_records(data, chunks: list[tuple[int, int]], ref: int, start: int, end: int) -> tuple[list[bytes], int]:
-    """The records over [start, end) in these chunks of an open file, and how many blocks were opened for them."""
-    out, opened = [], 0
+def region_batches(data, chunks: list[tuple[int, int]], ref: int, start: int, end: int, size: int) -> Iterator[tuple[list[bytes], int]]:
+    """The records over [start, end) in these chunks of an open file, some `size` bytes at a time, and how many blocks were opened until then; in the end what is left, if only the number."""
+    out, opened, taken = [], 0, 0
     for a, b in chunks:
         at, skip, held = a >> 16, a & 0xFFFF, b""
         while at <= b >> 16:
@@ -570,23 +573,36 @@ def region_records(data, chunks: list[tuple[int, int]], ref: int, start: int, en
             head = data.read(18)
             if len(head) < 18:
                 break
-            size = block_size(head[4:]) + len(MAGIC)
-            block, opened = inflate(head[4:] + data.read(size - 18)), opened + 1
+            length = block_size(head[4:]) + len(MAGIC)
+            block, opened = inflate(head[4:] + data.read(length - 18)), opened + 1
             held += block[skip : b & 0xFFFF] if at == b >> 16 else block[skip:]
-            at, skip = at + size, 0
+            at, skip = at + length, 0
             starts, done = starts_of(held, 0)
             for s in starts:
                 _, r, pos, *_, l_seq, _, _, _ = _HEAD.unpack_from(held, s)
                 if r > ref or r == ref and pos >= end:
-                    return out, opened
+                    yield out, opened
+                    return
                 if r == ref and pos + max(l_seq, 1) > start:
                     out.append(held[s : s + 4 + struct.unpack_from("<i", held, s)[0]])
+                    taken += len(out[-1])
             held = held[done:]
+            if taken >= size:
+                yield out, opened
+                out, taken = [], 0
+    yield out, opened
+
+
+def region_records(data, chunks: list[tuple[int, int]], ref: int, start: int, end: int) -> tuple[list[bytes], int]:
+    """All records of region_batches(), and how many blocks were opened for them."""
+    out, opened = [], 0
+    for records, opened in region_batches(data, chunks, ref, start, end, REGION_BATCH):
+        out += records
     return out, opened
 
 
 def bam_region(spark: SparkSession, path: str, rname: str, start: int, end: int) -> DataFrame:
-    """Alignments that cover a base of [start, end) (0-based) of rname, from a folder of write_bam(), and opened, the blocks that were read of their part for them.
+    """Alignments that cover a base of [start, end) (0-based) of rname, from a folder of write_bam(), and opened, the blocks that were read of their part up to them.
 
     Indices come through Spark, a part each; executors open the parts at the blocks that these name, so the folder has to
     be one that they can open.
@@ -608,12 +624,12 @@ def bam_region(spark: SparkSession, path: str, rname: str, start: int, end: int)
                     if rname not in names:
                         continue
                     ref = names.index(rname)
-                    records, opened = region_records(data, chunks_over(index, ref, start, end), ref, start, end)
-                if records:
-                    places = np.cumsum([0, *map(len, records[:-1])])
-                    got = decode(b"".join(records), list(places))
-                    columns = {"qname": got["qname"], "flag": got["flag"], "pos": got["pos"], "mapq": got["mapq"], "rlen": got["rlen"], "seq": got["seq"], "opened": np.full(len(records), opened, np.int32)}
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+                    for records, opened in region_batches(data, chunks_over(index, ref, start, end), ref, start, end, REGION_BATCH):
+                        if records:
+                            places = np.cumsum([0, *map(len, records[:-1])])
+                            got = decode(b"".join(records), list(places))
+                            columns = {"qname": got["qname"], "flag": got["flag"], "pos": got["pos"], "mapq": got["mapq"], "rlen": got["rlen"], "seq": got["seq"], "opened": np.full(len(records), opened, np.int32)}
+                            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
     indices = spark.read.format("binaryFile").option("pathGlobFilter", "*.bai").load(path).select("path", "content")
     return indices.mapInArrow(run, "qname string, flag int, pos int, mapq int, rlen int, seq string, opened int").withColumn("rname", F.lit(rname))

@@ -1,3 +1,4 @@
+import io
 import random
 import struct
 
@@ -135,3 +136,23 @@ def test_a_region_opens_few_blocks(tmp_path):
     assert len(got) == len([p for p in range(0, 1 << 23, 64) if p < 5_001_000 and p + 50 > 5_000_000])
     assert opened <= 4 < blocks / 20
     assert np.frombuffer(got[0], "<i4")[2] >= 4_999_950
+
+
+def test_many_records_of_one_position_are_in_many_parts_and_read_in_batches(spark, tmp_path, monkeypatch):
+    """Neither a part nor what a task holds grows with the reads of one position."""
+    rows = spark.range(20_000).selectExpr("concat('r', id) as qname", "99 as flag", "'chr1' as rname", "100 as pos", "40 as mapq", "repeat('ACGT', 9) as seq", "repeat('I', 36) as qual", "-1 as pnext", "0 as tlen")
+    path = str(tmp_path / "deep")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bam.write_bam(rows, path, [("chr1", 1000)])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(tmp_path.glob("deep/*.bam"))
+    assert len(parts) > 1
+    monkeypatch.setattr(bam, "REGION_BATCH", 10_000)
+    got = bam.bam_region(spark, path, "chr1", 90, 110)
+    assert got.select("qname").distinct().count() == got.count() == 20_000
+    data = parts[0].read_bytes()
+    index = (tmp_path / "deep" / f"{parts[0].name}.bai").read_bytes()
+    sizes = [len(b) for b, _ in bam.region_batches(io.BytesIO(data), bam.chunks_over(index, 0, 90, 110), 0, 90, 110, 10_000)]
+    assert len(sizes) > 2 and max(sizes) < 2000 and sum(sizes) == len(bam.region_records(io.BytesIO(data), bam.chunks_over(index, 0, 90, 110), 0, 90, 110)[0])
