@@ -140,7 +140,9 @@ def same_strand_excluded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("select motif_id, string_agg(distinct name, ',' order by name) as names from motifs m join exclusion e on e.chrom = m.chrom and start0 + 1 <= en and end0 > st group by 1", "motifs", "exclusion"))
 def overlap_names(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.overlaps(_sites(spark, d), _excluded(spark, d)).groupBy(F.col("id").alias("motif_id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    excluded = _excluded(spark, d)
+    names = lambda places: intervals.overlaps(places, excluded).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    return intervals.per_place(_sites(spark, d), ["chrom", "lo", "hi"], names).withColumnRenamed("id", "motif_id")
 
 
 _TSS = """kept as (select t.*, case when strand = '+' then tx_start else tx_end end as ts, case when strand = '+' then tx_end else tx_start end as te from transcripts t
@@ -157,9 +159,9 @@ _NEAR = """near as (select motif_id, concat(gene, '__', tx) as gene_tx, abs(ts -
   left join tss using (chrom) qualify row_number() over (partition by motif_id order by abs(ts - mid), ts desc) = 1)"""
 
 
-def _nearest(spark: SparkSession, d: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, sites: DataFrame | None = None) -> DataFrame:
     tss = intervals.transcript_starts(view(spark, d, "transcripts")).select("chrom", "ts", F.concat_ws("__", "gene", "tx").alias("info"))
-    mids = _sites(spark, d).select("id", "chrom", F.expr("lo + (hi - lo) div 2").alias("mid"))
+    mids = (_sites(spark, d) if sites is None else sites).select("id", "chrom", F.expr("lo + (hi - lo) div 2").alias("mid"))
     return intervals.nearest(mids, tss)
 
 
@@ -248,13 +250,13 @@ w as (select motif_id, {_windows_sql('st', 'en')} from (select motif_id, st, en,
 sq as ({_composition_sql('motif_id')})"""
 
 
-def _site_sequence(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.sequence_features(sequence.with_sequence(_sites(spark, d), view(spark, d, "genome")))
+def _site_sequence(spark: SparkSession, d: str, sites: DataFrame) -> DataFrame:
+    return sequence.sequence_features(sequence.with_sequence(sites, view(spark, d, "genome")))
 
 
 @query(with_views("select * from sq", "motifs", "genome", more=_SEQ))
 def site_sequence_features(spark: SparkSession, d: str) -> DataFrame:
-    return _site_sequence(spark, d).withColumnRenamed("id", "motif_id")
+    return intervals.per_place(_sites(spark, d), ["chrom", "lo", "hi"], lambda places: _site_sequence(spark, d, places)).withColumnRenamed("id", "motif_id")
 
 
 def _log_pmf(c: str, mu: float, theta: float) -> str:
@@ -309,18 +311,23 @@ _ALL = ("motifs", "signal", "maptrack", "blocks", "transcripts", "genome")
 
 def _matrix(spark: SparkSession, d: str, m=M) -> DataFrame:
     by = lambda x, *c: x.select(F.col("id").alias("motif_id"), *c)
-    # The flanks are the window of the cut counts without the site, so one pass over the signal gives both.
-    cuts = by(intervals.range_sums(_sites(spark, d), {"cent": ("lo", "hi"), "cut_count": (F.col("lo") - 100, F.col("hi") + 100)}, view(spark, d, "signal")), "cent", "cut_count")
-    parts = [
-        view(spark, d, "motifs").select("motif_id", "score"),
-        by(_nearest(spark, d), F.col("distance").alias("dtss")),
-        acc.call_sites(cuts, m, keep=("cent",)).select("motif_id", F.col("accessible").alias("acces"), (F.col("cent") * 10 < F.col("cut_count") - F.col("cent")).cast("int").alias("footprint")),
-        by(intervals.interval_mean(_sites(spark, d, 100), view(spark, d, "maptrack")), F.col("mean").alias("map")),
-        by(intervals.block_mean(_sites(spark, d), view(spark, d, "blocks")), F.col("mean").alias("cons")),
-        by(_site_sequence(spark, d), *[F.col(a).alias(b) for a, b in (("class_0", "repeats"), ("gc_100", "gc_w1"), ("cpg_100", "cpg_w1"), ("ratio_400", "cpg_wr4"), ("gc_400", "gc_w4"))]),
-    ]
+
+    def features(places: DataFrame) -> DataFrame:
+        """All but a site's own score: what its place says."""
+        # The flanks are the window of the cut counts without the site, so one pass over the signal gives both.
+        cuts = by(intervals.range_sums(places, {"cent": ("lo", "hi"), "cut_count": (F.col("lo") - 100, F.col("hi") + 100)}, view(spark, d, "signal"), shared=False), "cent", "cut_count")
+        wide = places.select("id", "chrom", (F.col("lo") - 100).alias("lo"), (F.col("hi") + 100).alias("hi"))
+        return matrix.assemble([
+            by(_nearest(spark, d, places), F.col("distance").alias("dtss")),
+            acc.call_sites(cuts, m, keep=("cent",)).select("motif_id", F.col("accessible").alias("acces"), (F.col("cent") * 10 < F.col("cut_count") - F.col("cent")).cast("int").alias("footprint")),
+            by(intervals.interval_mean(wide, view(spark, d, "maptrack"), shared=False), F.col("mean").alias("map")),
+            by(intervals.block_mean(places, view(spark, d, "blocks"), shared=False), F.col("mean").alias("cons")),
+            by(_site_sequence(spark, d, places), *[F.col(a).alias(b) for a, b in (("class_0", "repeats"), ("gc_100", "gc_w1"), ("cpg_100", "cpg_w1"), ("ratio_400", "cpg_wr4"), ("gc_400", "gc_w4"))]),
+        ]).withColumnRenamed("motif_id", "id")
+
+    sites = view(spark, d, "motifs").select("motif_id", "score")
     # Written once: means and rows, and whatever standardises the result, read it again.
-    return matrix.derive(materialise(matrix.assemble(parts), "features"))
+    return matrix.derive(materialise(matrix.assemble([sites, by(intervals.per_place(_sites(spark, d), ["chrom", "lo", "hi"], features), "dtss", "acces", "footprint", "map", "cons", "repeats", "gc_w1", "cpg_w1", "cpg_wr4", "gc_w4")]), "features"))
 
 
 @query(with_views("select motif_id, dtss, round(map, 6) as map, round(cons, 10) as cons, repeats, round(gc_w1, 6) as gc_w1, cpg_w1, round(motif_score, 6) as motif_score, tss, acces, footprint, cpg_island from fm", *_ALL, more=_MATRIX))
