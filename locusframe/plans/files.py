@@ -34,9 +34,10 @@ def _blocks(rows: DataFrame, header: str, line: str, key: list[str], order: str,
     The header comes with the key's first line: a table of headers joined by a union may be dealt to other tasks than the lines.
     """
     first = F.row_number().over(W.partitionBy(*key).orderBy("o")) == 1
-    lines = rows.selectExpr(*key, f"cast({order} as long) as o", f"{header} as header", f"{line} as line").withColumn("first", first).sortWithinPartitions(*key, "o")
+    rows = rows.withColumn("o", F.expr(f"cast({order} as long)")).withColumn("first", first).sortWithinPartitions(*key, "o")
     path = _path(rows.sparkSession, name)
-    lines.select(F.explode(F.when(F.col("first"), F.array("header", "line")).otherwise(F.array("line"))).alias("value")).write.text(path)
+    # Lines are made after the sort, which so holds what they are made of and no header.
+    rows.select(F.explode(F.when(F.col("first"), F.array(F.expr(header), F.expr(line))).otherwise(F.array(F.expr(line)))).alias("value")).write.text(path)
     return path
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from locusframe.sources.bam import BamSource, bam  # noqa: F401  the reader of the binary format
 
+#: Bytes of text that one task sorts, about; lines of a split that go to one task together.
+TASK_BYTES, PIECE_LINES = 8 << 20, 1 << 14
+
 
 def _lines(spark: SparkSession, path: str | list[str], names: str | None = None) -> DataFrame:
     """(file, split, at, value): lines with their file, the offset of their split in it, and a number that grows along each split; only of files whose name fits the pattern, if given, as others aren't opened."""
@@ -36,30 +39,37 @@ def numbered_lines(spark: SparkSession, path: str | list[str], names: str | None
     return lines.join(splits, (F.col("file") == F.col("s_file")) & (F.col("split") == F.col("s_split"))).select("file", (F.col("at") + F.col("add")).alias("line"), "value")
 
 
+def _tasks(spark: SparkSession, path: str | list[str]) -> int:
+    """How many tasks of about TASK_BYTES of text the files make, at least one a core; only the files' lengths are read."""
+    length = F.col("length") * F.when(F.col("path").rlike(r"\.(gz|bz2)$"), 8).otherwise(1)
+    text = spark.read.format("binaryFile").load(path).agg(F.sum(length)).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-text // TASK_BYTES))
+
+
 def _under_headers(spark: SparkSession, path: str | list[str], header: Column, size: Column | None = None) -> DataFrame:
-    """(file, split, header, place, value): lines that aren't blank nor headers, under the last header above them, with the sum of `size` (1 a line by default) over the lines since.
+    """(file, split, header, place, value): lines that aren't blank nor headers, under the last header above them, with the sum of `size` (1 a line by default) over the lines since. file is a hash of the name.
 
-    Headers and sums are carried along each split, and from split to split in a small table; so a block may be longer
-    than any row or task.
+    Headers and sums are carried along pieces of PIECE_LINES lines of a split, and from piece to piece in a small table; so
+    a block or a split may be longer than any row or task, and tasks are as many as the text needs.
     """
-    rows = _lines(spark, path).where(F.trim("value") != "").withColumn("header", header).withColumn("size", F.when(F.col("header").isNull(), F.lit(1).cast("long") if size is None else size.cast("long")).otherwise(0))
-    along = W.partitionBy("file", "split").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("nth", F.count("header").over(along)).withColumn("own", F.last("header", True).over(along))
-    under = W.partitionBy("file", "split", "nth").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(under), F.lit(0)))
-    # Of each split: its last header, and the size of what stands under it, or of the whole split without one.
-    tails = rows.groupBy("file", "split", "nth").agg(F.max("own").alias("own"), F.sum("size").alias("tail"))
-    ends = tails.groupBy("file", "split").agg(F.max(F.struct("nth", "own", "tail")).alias("x")).select("file", "split", "x.*")
-    line = W.partitionBy("file").orderBy("split")
-    ends = ends.withColumn("run", F.count("own").over(line))
-    carried = ends.select(F.col("file").alias("e_file"), F.col("split").alias("e_split"), F.last("own", True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("outer"), F.sum("tail").over(W.partitionBy("file", "run").orderBy("split").rowsBetween(W.unboundedPreceding, -1)).alias("same_run"), F.lag("run").over(line).alias("run_before"), "run", "tail")
-    # What stands before a split under the header carried into it: the tails since the split of that header, which begins a run.
-    sums = ends.groupBy(F.col("file").alias("r_file"), F.col("run").alias("r_run")).agg(F.sum("tail").alias("whole"))
-    carried = carried.join(sums, (F.col("e_file") == F.col("r_file")) & (F.col("run_before") == F.col("r_run")), "left")
-    carry = F.when(F.col("run_before") == F.col("run"), F.col("same_run")).otherwise(F.col("whole"))
-    carried = carried.select("e_file", "e_split", "outer", F.coalesce(carry, F.lit(0)).alias("carry"))
-    rows = rows.join(carried, (F.col("file") == F.col("e_file")) & (F.col("split") == F.col("e_split"))).where(F.col("header").isNull())
-    return rows.select("file", "split", F.coalesce("own", "outer").alias("header"), (F.col("inside") + F.when(F.col("nth") == 0, F.col("carry")).otherwise(0)).alias("place"), "value").where("header is not null")
+    lines = _lines(spark, path).where(F.trim("value") != "").select(F.xxhash64("file").alias("file"), "split", F.expr(f"at div {PIECE_LINES}").alias("piece"), "at", "value")
+    key = ["file", "split", "piece"]
+    # What is made of a line comes after the sort, so that rows are short there.
+    lines = lines.repartition(_tasks(spark, path), *key).sortWithinPartitions(*key, "at")
+    rows = lines.withColumn("header", header).withColumn("size", F.when(F.col("header").isNull(), F.lit(1).cast("long") if size is None else size.cast("long")).otherwise(0))
+    along = W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("own", F.last("header", True).over(along)).withColumn("upto", F.sum("size").over(along))
+    rows = rows.withColumn("since", F.coalesce(F.last(F.when(F.col("header").isNotNull(), F.col("upto")), True).over(along), F.lit(0)))
+    # Of each piece: its last header, and the size of what stands under it, or of the whole piece without one.
+    ends = rows.groupBy(*key).agg(F.max_by("own", "at").alias("own"), (F.max("upto") - F.max("since")).alias("tail"))
+    before = W.partitionBy("file").orderBy("split", "piece").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("upto", F.coalesce(F.sum("tail").over(before), F.lit(0)))
+    # What stands before a piece under the header carried into it: the tails since the piece of that header, its own included.
+    since = F.coalesce(F.last(F.when(F.col("own").isNotNull(), F.col("upto")), True).over(before), F.lit(0))
+    carried = ends.select(*[F.col(k).alias(f"e_{k}") for k in key], F.last("own", True).over(before).alias("outer"), (F.col("upto") - since).alias("carry"))
+    rows = rows.join(carried, [F.col(k) == F.col(f"e_{k}") for k in key]).where(F.col("header").isNull())
+    place = F.col("upto") - F.col("size") - F.col("since") + F.when(F.col("own").isNull(), F.col("carry")).otherwise(0)
+    return rows.select("file", "split", F.coalesce("own", "outer").alias("header"), place.alias("place"), "value").where("header is not null")
 
 
 def _cells(value: str = "value", sep: str = "\t") -> Column:

@@ -2,6 +2,7 @@ import gzip
 import io
 import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window as W
@@ -181,3 +182,23 @@ def test_blocks_keep_their_headers_in_any_number_of_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_lines_of_one_split_are_many_tasks(spark, here, monkeypatch):
+    """Headers and places go on from piece to piece, and no task gets all lines of a split."""
+    wig, want = ["track name=x"], []
+    for start, n in ((1, 40_000), (100_000, 3), (200_000, 0), (300_000, 33_333), (400_000, 1), (500_000, 20_000)):
+        wig.append(f"fixedStep chrom=chr1 start={start} step=3")
+        wig += [str(i % 64) for i in range(n)]
+        want += [("chr1", start, start + 3 * i, float(i % 64)) for i in range(n)]
+    path = put(here / "long.wig", "\n".join(wig) + "\n")
+    rows = readers.fixed_step(spark, path).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:4] for r in rows) == want
+    assert max(Counter(r.task for r in rows).values()) < len(want)
+    monkeypatch.setattr(readers, "PIECE_LINES", 7)
+    monkeypatch.setattr(readers, "TASK_BYTES", 20_000)
+    rows = readers.fixed_step(spark, path).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:4] for r in rows) == want
+    assert max(Counter(r.task for r in rows).values()) < len(want) / 5
+    fa = put(here / "long.fa", ">a x\nACGT\nAC\n>b\n>c\n" + "GATTACA\n" * 50 + ">d\nT\n")
+    assert dict(map(tuple, readers.fasta(spark, fa).collect())) == {"a": "ACGTAC", "c": "GATTACA" * 50, "d": "T"}
