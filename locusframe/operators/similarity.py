@@ -9,6 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,6 +82,16 @@ def _ks_ps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _ks_p(k)[ahead.max(axis=1)]
 
 
+def _look_up(drawn: pa.Table, held: pa.Table) -> pa.Table:
+    """Values of the rows drawn from a bucket: held has its values and how many rows have each. Arrow, as the draws would be Python objects on their way from pandas."""
+    value, n = held["value"].to_numpy(), held["n"].to_numpy()
+    order = np.argsort(value)
+    rows = pa.concat_arrays(drawn["row"].chunks) if drawn.num_rows else pa.array([], drawn.schema.field("row").type)
+    found = value[order][np.searchsorted(np.cumsum(n[order]), rows.flatten().to_numpy(), side="right")]
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return drawn.select(["feature", "block", "sample", "side", "at"]).append_column("value", pa.ListArray.from_arrays(offsets, found))
+
+
 def pair_tests(data: DataFrame, pairs: DataFrame, columns: list[str], size: int = 500, permutations: int = 10_000, seed: int = 1, category_size: int = 10_000) -> DataFrame:
     """(model, target, feature, kind, n, pvalue) for each pair of samples and each column that one of them has values of: how rarely two sub-samples of their pooled values differ as much as sub-samples of the two do.
 
@@ -182,12 +194,6 @@ def _pair_tests(data: DataFrame, pairs: DataFrame, columns: list[str], size: int
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 yield pd.DataFrame([(c, s, int(bucket[x[0]]), block % shared.value[2][c, s], side, block, at[x], row[x]) for x in np.split(order, cuts)], columns=["feature", "sample", "bucket", "part", "side", "block", "at", "row"])
 
-    def look_up(d: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("value")
-        value, upto = held["value"].to_numpy(float), np.cumsum(held["n"].to_numpy(np.int64))
-        found = [value[np.searchsorted(upto, np.asarray(row), side="right")] for row in d["row"]]
-        return pd.DataFrame({"feature": d["feature"], "block": d["block"], "sample": d["sample"], "side": d["side"], "at": d["at"], "value": pd.Series(found, dtype=object, index=d.index)})
-
     def test_ranks(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         c, block = key[0], int(key[1])
         n = min(per_block, permutations - block * per_block)
@@ -215,7 +221,7 @@ def _pair_tests(data: DataFrame, pairs: DataFrame, columns: list[str], size: int
         numbers = jobs(drawn, "feature string, sample string, side int", per_block).mapInPandas(draw, "feature string, sample string, bucket int, part int, side int, block int, at array<int>, row array<long>")
         held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         on = ["feature", "sample", "bucket", "part"]
-        looked = numbers.groupBy(on).cogroup(held.groupBy(on)).applyInPandas(look_up, "feature string, block int, sample string, side int, at array<int>, value array<double>")
+        looked = numbers.groupBy(on).cogroup(held.groupBy(on)).applyInArrow(_look_up, "feature string, block int, sample string, side int, at array<int>, value array<double>")
         found = found.unionAll(looked.groupBy("feature", "block").applyInPandas(test_ranks, fields))
     p = found.groupBy("feature", "model", "target").applyInPandas(p_value, "f string, m string, t string, pvalue double")
     all_tests = spark.createDataFrame(tests, "model string, target string, feature string, kind string, n int")

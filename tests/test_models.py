@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,23 @@ def test_similarity_draws_from_all_rows(spark, monkeypatch):
     assert empty.kind == "ks" and empty.pvalue is None
 
 
+def test_draws_are_looked_up_in_arrow():
+    """A draw costs what its row and value need, not Python objects; a bucket that nothing is drawn from gives nothing."""
+    r = np.random.default_rng(4)
+    value, n, row = r.permutation(3_000) / 7, r.integers(1, 4, 3_000), [r.integers(0, 3_000, 40_000) for _ in range(10)]
+    held = pa.table({"value": value, "n": n})
+    drawn = pa.table({"feature": ["x"] * 10, "block": range(10), "sample": ["a"] * 10, "side": [0] * 10, "at": [[0]] * 10, "row": pa.array(row, pa.list_(pa.int64()))})
+    drawn = pa.concat_tables([drawn[:3], drawn[3:]])
+    tracemalloc.start()
+    got = similarity._look_up(drawn, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = np.repeat(np.sort(value), n[np.argsort(value)])
+    assert all((rows[x] == y).all() for x, y in zip(row, got["value"].to_numpy(), strict=True)) and got.column_names == ["feature", "block", "sample", "side", "at", "value"]
+    assert peak < 30 * 400_000
+    assert similarity._look_up(drawn[:0], held).num_rows == 0
+
+
 def test_similarity_of_all_pairs_is_that_of_each(spark, monkeypatch):
     r = np.random.default_rng(5)
     rows = [(s, float(np.round(r.normal(i / 3), 1)), int(r.integers(0, 3 + i)), None if s == "c" else float(r.integers(0, 2))) for i, s in enumerate("abcd") for _ in range(200 + 50 * i)]
